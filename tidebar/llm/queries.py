@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses
+from . import chat, licenses, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op4_licenses": licenses.query,
     "op6_chat": chat.query,
+    "op8_simhash": simhash.query,
 }
 
 ORACLE_SQL = {

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, simhash, toxicity
+from . import bpe, chat, licenses, mixing, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op3_toxicity": toxicity.query,
     "op4_licenses": licenses.query,
+    "op5_pii": pii.query,
     "op6_chat": chat.query,
     "op8_simhash": simhash.query,
+    "op9_mixing": mixing.query,
 }
 
 ORACLE_SQL = {

@@ -23,6 +23,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 _FOLD = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES, **{chr(c): chr(c + 32) for c in range(65, 91)}}.items()}
 _WORD = re.compile(r"[^\W\d_]+")
+#: Marks an entry of the lexicon that is the beginning of a word; lengths of such entries.
+START, LENGTHS = "^", range(4, 9)
 
 
 def fold(text: str) -> str:
@@ -42,19 +44,19 @@ class Model:
 def _matcher(model: Model):
     """A function from a text to its matched weight, number of words' worth of letters, and hits."""
     find = ahocorasick.Automaton()
-    for word, w in model.weights.items():
-        find.add_word(word, (word, w))
+    for entry, w in model.weights.items():
+        find.add_word(entry.removeprefix(START), (entry, w))
     find.make_automaton()
     some = bool(model.weights)
     before, after = re.compile(r"([^\W\d_]+)[\W\d_]*$"), re.compile(r"[\W\d_]*([^\W\d_]+)")
 
     def hits(text: str) -> list[tuple[str, float, str, str]]:
-        """Whole-word matches with the words beside them."""
+        """Matches of whole words, and of beginnings of words, with the words beside them."""
         found = []
         flat = fold(text)
         for end, (word, w) in find.iter(flat) if some else ():
-            start = end + 1 - len(word)
-            if (start and flat[start - 1].isalpha()) or (end + 1 < len(flat) and flat[end + 1].isalpha()):
+            start = end + 1 - len(word.removeprefix(START))
+            if (start and flat[start - 1].isalpha()) or (word[0] != START and end + 1 < len(flat) and flat[end + 1].isalpha()):
                 continue
             left, right = before.search(flat[max(0, start - 40) : start]), after.match(flat[end + 1 : end + 41])
             found.append((word, w, left[1] if left else "", right[1] if right else ""))
@@ -101,10 +103,28 @@ def _count(batch: pa.RecordBatch, each, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], [*names, "pos", "neg"])
 
 
+def _entries(text: str) -> set[tuple[str]]:
+    """The words of a text that may enter the lexicon, whole and by their beginnings."""
+    words = {w for w in _WORD.findall(fold(text)) if len(w) < 40}
+    return {(w,) for w in words} | {(START + w[:k],) for w in words for k in LENGTHS if len(w) > k}
+
+
+def _apart(found: list[tuple[str, float]], most: int) -> dict[str, float]:
+    """The first ``most`` entries of which none is the beginning of another, so that no place counts twice."""
+    kept: dict[str, float] = {}
+    taken: set[str] = set()
+    for entry, w in found:
+        plain = entry.removeprefix(START)
+        if len(kept) < most and plain not in taken and not any(START + plain[:k] in kept for k in LENGTHS):
+            kept[entry] = w
+            taken.update(plain[:k] for k in (*LENGTHS, len(plain)))
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size: int = 2_000, min_texts: int = 3, z: float = 4.0) -> Model:
     """A model from at most about ``bound`` labelled training texts.
 
-    A word's weight is its smoothed log odds between toxic and other texts; words whose odds are ``z`` standard errors
+    An entry is a word or the beginning of one; its weight is its smoothed log odds between toxic and other texts; those whose odds are ``z`` standard errors
     above nothing and that at least ``min_texts`` toxic texts hold enter, the surest ``lexicon_size``. A word with its
     neighbour is an exception if the pair is found at least ``min_texts`` times in other texts and no likelier in toxic ones.
     Without labels of both kinds the model has no words and gives every text the share of toxic labels (0.5 if none).
@@ -117,11 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size:
         flat = Model({}, frozenset(), (float(np.log(share / (1 - share))), 0.0, 0.0))
         if not n_pos or not n_neg:
             return flat
-        words = _counted(rows, lambda: lambda b: _count(b, lambda t: {(w,) for w in _WORD.findall(fold(t)) if len(w) < 40}, ["word"]), "word string, pos long, neg long", ["word"])
+        words = _counted(rows, lambda: lambda b: _count(b, _entries, ["word"]), "word string, pos long, neg long", ["word"])
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
         error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-        best = words.where(F.col("pos") >= min_texts).select("word", odds.alias("w"), (odds / error).alias("z")).where(F.col("z") > z).orderBy(F.desc("z"), "word").limit(lexicon_size)
-        weights = {r["word"]: r["w"] for r in best.collect()}  # at most lexicon_size rows
+        best = words.where(F.col("pos") >= min_texts).select("word", odds.alias("w"), (odds / error).alias("z")).where(F.col("z") > z).orderBy(F.desc("z"), "word").limit(8 * lexicon_size)
+        weights = _apart([(r["word"], r["w"]) for r in best.collect()], lexicon_size)  # at most 8 * lexicon_size rows
         if not weights:
             return flat
         plain = Model(weights, frozenset(), flat.coef)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, mixing, pii, simhash, toxicity
+from . import bpe, chat, licenses, lm, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_licenses": licenses.query,
     "op5_pii": pii.query,
     "op6_chat": chat.query,
+    "op7_lm": lm.query,
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
 }

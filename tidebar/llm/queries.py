@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, lm, mixing, pii, simhash, toxicity
+from . import ann, bpe, chat, licenses, lm, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_lm": lm.query,
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
+    "op10_ann": ann.query,
 }
 
 ORACLE_SQL = {

@@ -26,7 +26,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Bits of the shared-chunk bitmap: 2 MB whatever the input; and words that a task's memo holds.
-BITMAP_BITS, MEMO_WORDS = 1 << 24, 300_000
+BITMAP_BITS, MEMO_WORDS = 1 << 24, 200_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
         return run
 
-    shared = arrow_map(base, sketch, "h binary, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = arrow_map(base, sketch, "h binary, n long", rows=2048).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bitmap = base.sparkSession.sparkContext.broadcast(_bitmap(shared.select("h"), BITMAP_BITS))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     done_schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"

@@ -43,15 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that ``make`` builds once in each task."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 256) -> DataFrame:
+    """``mapInArrow`` with a function that ``make`` builds once in each task and that gets at most ``rows`` rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            out = f(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                out = f(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, licenses, lm, mixing, pii, simhash, toxicity
+from . import ann, bpe, chat, licenses, lm, minhash, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_minhash": minhash.query,
     "op3_toxicity": toxicity.query,
     "op4_licenses": licenses.query,
     "op5_pii": pii.query,

@@ -12,6 +12,9 @@ tasks. Where hashes collide in it, a chunk is only treated as shared without nee
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +29,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Bits of the shared-chunk bitmap: 2 MB whatever the input; and words that a task's memo holds.
-BITMAP_BITS, MEMO_WORDS = 1 << 24, 200_000
-_GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+BITMAP_BITS, MEMO_WORDS = 1 << 24, 400_000
+_GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
+#: Words that normalising leaves alone but for lower case: Latin letters without marks to compose.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def chunk_ends(text: str) -> list[int]:
@@ -40,9 +45,9 @@ def chunk_ends(text: str) -> list[int]:
     rolled = gear.copy()
     width = 1
     while width < WINDOW:  # sum of the last WINDOW values, each shifted by its distance, in log2(WINDOW) steps
-        rolled[width:] += rolled[:-width] << np.uint64(width)
+        rolled[width:] += rolled[:-width] << np.uint32(width)
         width *= 2
-    marks = np.flatnonzero((rolled >> np.uint64(20)) % np.uint64(MEAN - LEAST) == 0) + 1
+    marks = np.flatnonzero(rolled < np.uint32((1 << 32) // (MEAN - LEAST))) + 1
     ends, at = [], 0
     for m in marks.tolist():
         while m - at > MOST:
@@ -63,37 +68,58 @@ def _digest(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Encodes by words, with a bounded memo. Blanks and line ends stand in no token and join with nothing, so words are exact units."""
+    """Encodes by words, with a bounded memo. Blanks and line ends stand in no token and join with nothing, so words are exact units.
+
+    Words of Latin letters alone need no normalising but lower case, and one following full stop or comma is a unit of its
+    own: these go to the merges directly. All other words take the library's whole way.
+    """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.memo: dict[str, tuple[int, ...]] = {}
         self.most = memo
+        self.chars = 0
+        self.marks = {m: tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+
+    def _learn(self, words: set[str]) -> None:
+        memo, rest = self.memo, []
+        for w in words:
+            mark = w[-1:] if w[-1:] in self.marks else ""
+            bare = w[: len(w) - len(mark)]
+            if not _PLAIN(bare):
+                rest.append(w)
+                continue
+            low = bare.lower()
+            ids = memo.get(low)
+            if ids is None:
+                ids = tuple([t.id for t in self.merges(low if low.isascii() else "".join([self.letters[b] for b in low.encode()]))])
+            memo[w] = ids + self.marks[mark] if mark else ids
+        memo.update((w, tuple(e.ids)) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        self.chars += sum(map(len, words))
 
     def ids(self, text: str) -> list[int]:
         """The ids of a text, as the library gives for it."""
         words = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        try:
-            out: list[int] = []
-            for w in words:
-                out += memo[w]
-            return out
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        own = dict(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(memo) + len(own) > self.most:
-            memo.clear()
-        if len(own) <= self.most:
-            memo.update((w, i) for w, i in own.items() if len(w) <= 64)
-        out = []
-        for w in words:
-            out += own[w] if w in own else memo[w] if w in memo else self.tokenizer.encode(w, add_special_tokens=False).ids
-        return out
+        new = set(words).difference(self.memo)
+        if new:
+            if len(self.memo) + len(new) > self.most or self.chars > 64 * self.most:
+                self.memo.clear()
+                self.chars = 0
+                new = set(words)
+            self._learn(new)
+        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
 
 
 def _last_edge(text: str, before: int) -> int:
@@ -142,6 +168,10 @@ def join_all(encoder: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
     return settled + ids
 
 
+def _picked(of: list[str], ids: list[int]) -> str:
+    return " ".join(itemgetter(*ids)(of)) if len(ids) > 1 else of[ids[0]] if ids else ""
+
+
 class Decoder:
     """Decodes as the library does for a vocabulary without a decoder: tokens joined by one blank; unknown ids are left out."""
 
@@ -153,10 +183,17 @@ class Decoder:
             raise ValueError("this decoder is for vocabularies whose tokens are joined by blanks")
         size = max(t.get_vocab(with_added_tokens=True).values()) + 1
         self.tokens = [t.id_to_token(i) for i in range(size)]
+        self.whole = None not in self.tokens
+        self.numbers = list(map(str, range(size)))
 
     def text(self, ids: list[int]) -> str:
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if 0 <= i < len(tokens) and tokens[i] is not None])
+        if not self.whole or (ids and not 0 <= min(ids) <= max(ids) < len(self.tokens)):
+            ids = [i for i in ids if 0 <= i < len(self.tokens) and self.tokens[i] is not None]
+        return _picked(self.tokens, ids)
+
+    def decimal(self, ids: list[int]) -> str:
+        """The ids in decimals, joined by one blank."""
+        return _picked(self.numbers, ids)
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -202,7 +239,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
     done_schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
     def finish(decoder: Decoder, rows: list[tuple[int | None, list[int]]]) -> list[pa.Array]:
-        ids = [" ".join(map(str, i)) for _, i in rows]
+        ids = [decoder.decimal(i) for _, i in rows]
         return [pa.array([d for d, _ in rows], pa.int64()), pa.array([len(i) for _, i in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in ids], pa.string()),
                 pa.array([hashlib.sha256(decoder.text(i).encode("utf-8", "surrogatepass")).hexdigest() for _, i in rows], pa.string()), pa.array([_pack(i) if keep_ids else None for _, i in rows], pa.binary())]
 

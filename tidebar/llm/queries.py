@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, bpe, chat, licenses, lm, minhash, mixing, pii, simhash, toxicity
 
 QUERIES = {
@@ -15,8 +17,11 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
     "op10_ann": ann.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op6_chat": chat.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -36,17 +36,22 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of each row."""
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``fp`` (the 64 bits as a signed long) and ``th`` (a hash of the text) of each row."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("th")], ["doc_id", "fp", "th"])
 
         return run
 
-    return arrow_map(texts(docs, id_col, text_col), make, "doc_id long, fp long")
+    return arrow_map(texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text")), make, "doc_id long, fp long, th long")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of each row."""
+    return _marked(docs, id_col, text_col).select("doc_id", "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -203,6 +208,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _named(classes: DataFrame, max_diff: int) -> DataFrame:
+    """Each fingerprint class with the ``root`` of its component."""
+    roots = components(links(classes.select("fp"), max_diff)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = MAX_DIFF) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
 
@@ -212,11 +223,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     """
     marked = cut(fingerprints(docs, id_col, text_col))  # 16 bytes a row; the texts are read once
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(classes.select("fp"), max_diff)).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = _named(classes, max_diff)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = MAX_DIFF) -> DataFrame:
+    """The rows of docs, all columns, of which one of each linked group stays: the one with the smallest id (null ids last, then by a hash of the text).
+
+    Of repeated rows one stays as well. An empty table stays empty.
+    """
+    key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
+    rows = docs.select(*key, F.struct("*").alias("row"))
+    marked = cut(_marked(docs, id_col, text_col))
+    named = _named(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), max_diff)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th"))
+    kept = marked.join(named.select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.th")
+    held = rows.alias("r").join(kept.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.th") == F.col("k.th")), "left_semi")
+    return held.dropDuplicates(["id", "th"]).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))

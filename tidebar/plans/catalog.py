@@ -300,7 +300,7 @@ def features_v2_chunked(spark, d):
 
 def _summed(df: DataFrame) -> DataFrame:
     total = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 3))
-    return df.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), F.round(total, 2).alias("total"), F.round(F.element_at("seq", 1)[3].cast("double"), 3).alias("first_close"))
+    return df.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), F.round(total, 3).alias("total"), F.round(F.element_at("seq", 1)[3].cast("double"), 3).alias("first_close"))
 
 
 @query

@@ -132,7 +132,7 @@ run AS (
   CASE WHEN k.now < r.until THEN NULL WHEN r.held AND k.score < 0.61 THEN 'SELL' WHEN NOT r.held AND k.score > 0.63 THEN 'BUY' END
  FROM run r JOIN tk k ON k.symbol = r.symbol AND k.n = r.n + 1)"""
 
-_SUMMED = "CAST(32 AS BIGINT) AS steps, round(total, 2) AS total, round(CAST(CAST(first_close AS FLOAT) AS DOUBLE), 3) AS first_close"
+_SUMMED = "CAST(32 AS BIGINT) AS steps, round(total, 3) AS total, round(CAST(CAST(first_close AS FLOAT) AS DOUBLE), 3) AS first_close"
 _ROWSUM = " + ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 3)" for c in FEATURES)
 
 _V1 = f"""{_GAPS}, {_i("g")}, {_REC},

@@ -86,12 +86,12 @@ ids AS (SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id
                least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS n_both FROM n GROUP BY 1),
 p AS (SELECT ids.*, CAST(coalesce(d.i - 1, n_both) AS BIGINT) AS n_prompt FROM ids LEFT JOIN differ d USING (pair_id)),
 r AS (SELECT n.pair_id, n.side, n.i, n.role, n.i <= p.n_prompt AS shared, '<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10) AS s FROM n JOIN p USING (pair_id)),
-m AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r),
+m AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_ FROM r),
 g AS (SELECT pair_id, coalesce(string_agg(s, '' ORDER BY i) FILTER (shared AND side = 0), '') AS prompt,
   coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT shared AND side = 0), '') AS chosen,
   coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT shared AND side = 1), '') AS rejected,
-  coalesce(string_agg(CAST(at + length(role) + 5 AS BIGINT) || '-' || CAST(at + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg(CAST(at + length(role) + 5 AS BIGINT) || '-' || CAST(at + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+  coalesce(string_agg(CAST(pos_ + length(role) + 5 AS BIGINT) || '-' || CAST(pos_ + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(pos_ + length(role) + 5 AS BIGINT) || '-' || CAST(pos_ + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_mask
   FROM m GROUP BY 1)
 SELECT pair_id, chosen_id, rejected_id, n_prompt, prompt, CASE WHEN chosen_id IS NOT NULL THEN chosen END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN rejected END AS rejected,
   CASE WHEN chosen_id IS NOT NULL THEN chosen_mask END AS chosen_mask, CASE WHEN rejected_id IS NOT NULL THEN rejected_mask END AS rejected_mask

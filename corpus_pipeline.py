@@ -19,8 +19,10 @@ TOXIC_FROM, MAX_REPEAT = 0.3, 1.25
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon model, trained on the labels, scores under the threshold."""
+    """Documents that the lexicon model, trained on the labels, scores under the threshold; without a lexicon all stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not model.weights:
+        return docs
     return docs.where(toxicity.score_column(F.col("text"), model) < TOXIC_FROM)
 
 

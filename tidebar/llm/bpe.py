@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table, texts
+from .common import arrow_map, stored, table, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
         return run
 
-    scanned = cut(arrow_map(base, scan, f"{done_schema}, text string, key binary, refs array<struct<h:binary,a:int,b:int>>"))
+    scanned = stored(arrow_map(base, scan, f"{done_schema}, text string, key binary, refs array<struct<h:binary,a:int,b:int>>"))
     met = scanned.where("key is not null").select("doc_id", "key", "text", "refs")
 
     def chunks():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import table, texts
 
-SHINGLE, BIN_BITS, CODE_BITS, ATTEMPTS = 5, 7, 8, 24
+SHINGLE, BIN_BITS, CODE_BITS, ATTEMPTS = 5, 8, 8, 24
 BINS = 1 << BIN_BITS
 #: Rows of a bucket of neighbouring ids, and the most buckets; a row of two numbers each is what reaches the driver.
 BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 16

@@ -23,6 +23,11 @@ BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 16
 _STEP = 64
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array; as one text, which the optimizer folds, it costs one call however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with value computed once, however often it is used and within whatever lambda."""
     return F.transform(F.array(value), use).getItem(0)
@@ -48,10 +53,10 @@ def codes(hashes: Column) -> Column:
     least hashes and, where a bin is empty, its stand-in.
     """
     rng = random.Random(11)
-    tables = [F.array(*(F.lit(rng.randrange(BINS)) for _ in range(BINS))) for _ in range(ATTEMPTS)]
+    tables = [_longs([rng.randrange(BINS) for _ in range(BINS)]).cast("array<int>") for _ in range(ATTEMPTS)]
     shift = 64 - BIN_BITS
     top = (1 << shift) - 1
-    stand_ins = F.array(*(F.lit((j << shift) | top) for j in range(-BINS // 2, BINS // 2)))
+    stand_ins = _longs([(j << shift) | top for j in range(-BINS // 2, BINS // 2)])
 
     def least(s: Column) -> Column:
         return F.filter(s, lambda x, i: F.coalesce(F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), shift) != 0, F.lit(True)))
@@ -92,11 +97,10 @@ def _bucket(bounds: list[int], key: Column) -> Column:
     """How many of the ascending bounds are at most the key, found in two steps; a null key has none."""
     if not bounds:
         return F.lit(0)
-    groups = [bounds[i : i + _STEP] for i in range(0, len(bounds), _STEP)]
     upto = lambda found: F.size(F.filter(found, lambda b: b <= key))
-    tops = F.array(*(F.lit(g[0]) for g in groups))
-    all_groups = F.array(*(F.array(*map(F.lit, g)) for g in groups))
-    return F.coalesce(F.when(key >= bounds[0], _let(upto(tops) - 1, lambda g: g * _STEP + upto(F.get(all_groups, g)))), F.lit(0)).cast("int")
+    every = _longs(bounds)
+    fine = lambda g: g * _STEP + upto(F.slice(every, g * _STEP + 1, F.lit(_STEP)))
+    return F.coalesce(F.when(key >= bounds[0], _let(upto(_longs(bounds[::_STEP])) - 1, fine)), F.lit(0)).cast("int")
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -98,6 +98,15 @@ def test_lookback_sequences_start_anew(spark):
         assert np.allclose(np.array(got[i - 100]["seq"]), want.astype(np.float32), rtol=1e-4, atol=1e-4)
 
 
+def test_lookback_sequences_of_v1_start_anew(spark):
+    rows = walk(140, 16)
+    got = sequences.sequence_lookback_v1(features.add_features_v1(frame(spark, rows))).orderBy("ts").collect()
+    assert len(got) == 40
+    for i in (100, 121, 139):
+        want = features.add_features_v1(frame(spark, rows[i - 100 : i])).orderBy("ts").toPandas()[list(clean.FEATURE_COLS)].to_numpy()[-32:]
+        assert np.allclose(np.array(got[i - 100]["seq"]), want.astype(np.float32), rtol=1e-4, atol=1e-4)
+
+
 def test_sequences_need_all_steps(spark):
     f = features.add_features_v2(frame(spark, walk(31, 7) + walk(33, 8, "b")))
     assert [r["symbol"] for r in sequences.sequence_tail(f).collect()] == ["b"]

@@ -29,7 +29,7 @@ def add_features_v1(df: DataFrame, bar: int = HOUR, leak_free: bool = False, kee
     base = base.withColumn("returns", pct_change_inf("close") if keep_inf else F.coalesce("_raw", F.lit(0.0)))
     base = ind.with_moves(base).withColumn("vol_14", rolling_std("_raw", 14)).withColumn("bb_width", ind.bb_width_pct())
     safe = ffill(base.withColumn("_close", F.col("close")), ["close"]).withColumn("close", F.coalesce("close", F.lit(0.0))).withColumn("tr", F.coalesce("tr", F.lit(0.0)))
-    out = ind.atr_wilder(ind.macd_line(ind.rsi_wilder(safe, bar=bar), bar=bar), bar=bar).withColumn("close", F.col("_close"))
+    out = ind.v1_averages(safe, bar).withColumn("close", F.col("_close"))
     filled = ffill(out, FEATURE_COLS)
     return project_features(fill_defaults(filled if leak_free else bfill_leading(filled, FEATURE_COLS)))
 

@@ -69,3 +69,11 @@ def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, ba
     """Line less its own average, all averages starting from the first value."""
     lines = ewm(df, [Ewm("_f", "close", span(fast)), Ewm("_s", "close", span(slow))], bar).withColumn("_m", F.col("_f") - F.col("_s"))
     return ewm(lines, [Ewm("_sig", "_m", span(signal))], bar).withColumn(name, F.col("_m") - F.col("_sig")).drop("_f", "_s", "_m", "_sig")
+
+
+def v1_averages(df: DataFrame, bar: int = HOUR) -> DataFrame:
+    """``rsi``, ``macd`` and ``atr`` of the first feature set from one scan instead of three."""
+    zeros = df.withColumns({"_g": F.coalesce("gain", F.lit(0.0)), "_l": F.coalesce("loss", F.lit(0.0))})
+    specs = [Ewm("_ag", "_g", 1 / 14, "adjusted", 14, 1), Ewm("_al", "_l", 1 / 14, "adjusted", 14, 1), Ewm("_f", "close", span(12), "seeded", 12), Ewm("_s", "close", span(26), "seeded", 26), Ewm("atr", "tr", 1 / 14, "adjusted", 14)]
+    out = ewm(zeros, specs, bar)
+    return out.withColumns({"rsi": F.try_divide(100 * F.col("_ag"), F.col("_ag") + F.col("_al")), "macd": F.col("_f") - F.col("_s")}).drop("_g", "_l", "_ag", "_al", "_f", "_s")

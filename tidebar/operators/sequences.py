@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.clean import FEATURE_COLS, finite, series
 from tidebar.functions.ewm import HOUR, Ewm, ewm, span
-from tidebar.functions.windows import sigmoid
+from tidebar.functions.windows import rolling_mean, sigmoid
 
 from .bars import tail
+from .indicators import with_moves
 
 LENGTH, LOOKBACK = 32, 100
 
@@ -65,6 +66,42 @@ def sequence_lookback(features: DataFrame, lookback: int = LOOKBACK, n: int = LE
     return rows.select("symbol", "ts", seq.alias("seq"))
 
 
+def sequence_lookback_v1(features: DataFrame, lookback: int = LOOKBACK, n: int = LENGTH, bar: int = HOUR, fast: int = 12, slow: int = 26, wilder: int = 14) -> DataFrame:
+    """The same for the first feature set; ``features`` is that set over whole series, without missing prices.
+
+    With s the window's first bar: Wilder sums of gains and losses are U(t) - q^(t-s) U(s), as the first bar has no change; the
+    true range's first term is replaced by high less low; the line's averages start from the mean at m = s + length - 1:
+    Y(t) + q^(t-m) (mean(m) - Y(m)). An RSI without any movement is 50.
+    """
+    if lookback - n < slow:
+        raise ValueError("the first step must stand after the slow average's start")
+    w, q = series(), 1 - 1 / wilder
+    rows = with_moves(features).withColumns({"gain": F.coalesce("gain", F.lit(0.0)), "loss": F.coalesce("loss", F.lit(0.0)), "_n": F.row_number().over(w), "hl": F.col("high") - F.col("low"), "mf": rolling_mean("close", fast), "ms": rolling_mean("close", slow)})
+    specs = [Ewm("yf", "close", span(fast), "adjusted"), Ewm("ys", "close", span(slow), "adjusted"), *(Ewm(f"u{c[0]}", c, 1 / wilder, "adjusted") for c in ("gain", "loss", "tr"))]
+    rows = ewm(rows, specs, bar)
+    rows = rows.withColumns({e.name: F.col(e.name) * (1 - F.pow(F.lit(1 - e.alpha), F.col("_n"))) for e in specs})
+    lag = lambda c, k: F.lag(c, k).over(w)
+    at = {f"{u}0": lag(u, lookback) for u in ("ug", "ul", "ut", "hl")} | {f"{y}0": lag(m, lookback - k + 1) - lag(y, lookback - k + 1) for y, m, k in (("yf", "mf", fast), ("ys", "ms", slow))}
+    steps = F.collect_list(F.struct(*FEATURE_COLS, "yf", "ys", "ug", "ul", "ut")).over(w.rowsBetween(-n, -1))
+    rows = rows.withColumns({**at, "steps": steps}).where(F.col("_n") > lookback)
+
+    def value(c: str, x: Column, k: Column) -> Column:
+        after = (k + (lookback - n)).cast("double")  # bars between s and the step
+        fade = F.pow(F.lit(q), after)
+        if c == "rsi":
+            up, down = x["ug"] - fade * F.col("ug0"), x["ul"] - fade * F.col("ul0")
+            return F.when(up + down > 1e-12, 100 * up / (up + down)).otherwise(50.0)
+        if c == "atr":
+            return (x["ut"] - fade * F.col("ut0") + fade * F.col("hl0") / wilder) / (1 - fade * q)
+        if c == "macd":
+            start = lambda y, m: x[y] + F.pow(F.lit(1 - span(m)), after - (m - 1)) * F.col(f"{y}0")
+            return start("yf", fast) - start("ys", slow)
+        return x[c]
+
+    seq = F.transform("steps", lambda x, k: F.array(*(value(c, x, k).cast("float") for c in FEATURE_COLS)))
+    return rows.select("symbol", "ts", seq.alias("seq"))
+
+
 def fit_scaler(features: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """``feature, mean, std`` over all rows; population std, 1 where it is 0 or missing. One aggregation, one row a feature."""
     one = features.agg(*(x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))

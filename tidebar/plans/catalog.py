@@ -319,6 +319,13 @@ def seq_lookback(spark, d):
     return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), F.round(F.element_at("seq", -1)[8].cast("double"), 3).alias("last_macd"), F.round(F.element_at("seq", 1)[8].cast("double"), 3).alias("first_macd"))
 
 
+@query
+def seq_lookback_v1(spark, d):
+    seq = sequences.sequence_lookback_v1(features.add_features_v1(_filled(spark, d)))
+    last = lambda k: F.round(F.element_at("seq", -1)[k].cast("double"), 3)
+    return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), last(7).alias("rsi"), last(8).alias("macd"), last(9).alias("atr"))
+
+
 @query
 def scaler_fit(spark, d):
     return rounded(sequences.fit_scaler(_v2(spark, d)), "mean", "std")

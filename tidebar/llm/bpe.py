@@ -29,7 +29,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Bits of the shared-chunk bitmap: 2 MB whatever the input; and words that a task's memo holds.
-BITMAP_BITS, MEMO_WORDS = 1 << 24, 400_000
+BITMAP_BITS, MEMO_WORDS = 1 << 24, 250_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 #: Words that normalising leaves alone but for lower case: Latin letters without marks to compose.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch

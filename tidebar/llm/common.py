@@ -65,6 +65,19 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def arrow_column(value: Column, make: Callable[[], Callable[[list[str]], list]], kind: str, dtype: pa.DataType, rows: int = 256) -> Column:
+    """A column computed from a text column (null read as empty) by a function that gets at most ``rows`` texts at once and is built once in each task."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        for batch in batches:
+            parts = [pa.array(f(batch.slice(at, rows).to_pylist()), dtype) for at in range(0, len(batch), rows)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], dtype)
+
+    return run(F.coalesce(value.cast("string"), F.lit("")))
+
+
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_bucket, table
+from .common import arrow_column, arrow_map, crc_bucket, table
 
 # Look-alike letters and digit substitutions, each with the Latin letter that it stands for.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b",
@@ -186,14 +184,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 def score_column(text: Column, model: Model) -> Column:
     """The probability of label 1 for each text: 0 to 1, null read as empty; an empty text gets that of a text without matches."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         f, coef = _features(model), np.array(model.coef)
-        for batch in batches:
-            x = np.array([(1.0, *f(t)) for t in batch], dtype=float).reshape(-1, 3)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ coef, -30, 30))))
 
-    return run(F.coalesce(text.cast("string"), F.lit("")))
+        def run(whole: list[str]) -> list[float]:
+            x = np.array([(1.0, *f(t)) for t in whole], dtype=float).reshape(-1, 3)
+            return (1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))).tolist()
+
+        return run
+
+    return arrow_column(text, make, "double", pa.float64())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -316,7 +316,7 @@ def seq_sliding(spark, d):
 @query
 def seq_lookback(spark, d):
     seq = sequences.sequence_lookback(_v2(spark, d))
-    return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), F.round(F.element_at("seq", -1)[8].cast("double"), 3).alias("last_macd"), F.round(F.element_at("seq", 1)[8].cast("double"), 3).alias("first_macd"))
+    return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), (F.round(F.element_at("seq", -1)[8].cast("double"), 3) + F.lit(0.0)).alias("last_macd"), (F.round(F.element_at("seq", 1)[8].cast("double"), 3) + F.lit(0.0)).alias("first_macd"))
 
 
 @query

@@ -152,6 +152,12 @@ _R = f"{_I}, {_REC}"
 _F2 = f"{_GAPS}, {_v2('g')}"
 _B = _bt()
 
+_LOOK = f"""{_I},
+m AS (SELECT b.symbol, b.n AS i, b.ts, x.n AS t, sum(u.close * (pow(11.0 / 13, x.n - u.n) * CASE WHEN u.n = b.n - 100 THEN 1 ELSE 2.0 / 13 END - pow(25.0 / 27, x.n - u.n) * CASE WHEN u.n = b.n - 100 THEN 1 ELSE 2.0 / 27 END)) AS m
+ FROM i b JOIN i x ON x.symbol = b.symbol AND x.n BETWEEN b.n - 100 AND b.n - 1 JOIN i u ON u.symbol = b.symbol AND u.n BETWEEN b.n - 100 AND x.n WHERE b.n > 100 GROUP BY ALL),
+h AS (SELECT a.symbol, a.ts, a.i, a.t, any_value(a.m) - sum(v.m * pow(0.8, a.t - v.t) * CASE WHEN v.t = a.i - 100 THEN 1 ELSE 0.2 END) AS macd
+ FROM m a JOIN m v ON v.symbol = a.symbol AND v.i = a.i AND v.t <= a.t WHERE a.t IN (a.i - 1, a.i - 32) GROUP BY ALL)"""
+
 ORACLE_SQL = {
     "bars_resample": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM bars"),
     "bars_resample_days": _sql(_BARS, "SELECT symbol, time_bucket(INTERVAL '1 day', b.ts) AS ts, round(first(open ORDER BY b.ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY b.ts), 6) AS close, round(sum(volume), 6) AS volume FROM bars b GROUP BY 1, 2"),
@@ -194,6 +200,7 @@ ORACLE_SQL = {
     "features_v2_chunked": _sql(_F2, f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
     "seq_tail": _sql(_F2, f"SELECT symbol, ts, {_SUMMED} FROM (SELECT symbol, ts, n, max(n) OVER (PARTITION BY symbol) AS last_n, sum({_ROWSUM}) OVER w AS total, first_value(close) OVER w AS first_close FROM v2 WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 31 PRECEDING)) WHERE n = last_n AND n >= 32"),
     "seq_sliding": _sql(_F2, f"SELECT symbol, ts, {_SUMMED} FROM (SELECT symbol, ts, n, sum({_ROWSUM}) OVER w AS total, first_value(close) OVER w AS first_close FROM v2 WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 31 PRECEDING)) WHERE n >= 32"),
+    "seq_lookback": _sql(_LOOK, "SELECT symbol, ts, CAST(32 AS BIGINT) AS steps, round(CAST(CAST(max(macd) FILTER (t = i - 1) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS last_macd, round(CAST(CAST(max(macd) FILTER (t = i - 32) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS first_macd FROM h GROUP BY 1, 2"),
     "scaler_fit": _sql(_F2, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) + 0.0::DOUBLE AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) + 0.0::DOUBLE AS std FROM v2" for c in FEATURES)),
     "scaler_apply": _sql(_F2, f"SELECT symbol, ts, {', '.join(_x(f'({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)', c) for c in FEATURES)} FROM v2"),
     "score_logistic": _sql(_F2, f"SELECT symbol, ts, {_x(_SCORE, 'score')} FROM v2"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -513,15 +514,13 @@ def _stream(spark, d):
     return ticks(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
 
 
-def _folder(spark):
+def _folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors can both write: under ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = sc.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, table, texts
+from .common import arrow_map, kept, stored, table, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
                 pa.array([hashlib.sha256(decoder.text(i).encode("utf-8", "surrogatepass")).hexdigest() for _, i in rows], pa.string()), pa.array([_pack(i) if keep_ids else None for _, i in rows], pa.binary())]
 
     def scan():
-        encoder, decoder, bits = Encoder(path), Decoder(path), bitmap.value
+        encoder, decoder, bits = kept(("encoder", path), lambda: Encoder(path)), kept(("decoder", path), lambda: Decoder(path)), bitmap.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             """Documents without a chunk that may be shared are done here; the others go on with their text and chunks."""
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
         return run
 
     def encode_chunks():
-        encoder = Encoder(path)
+        encoder = kept(("encoder", path), lambda: Encoder(path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column("h"), pa.array([np.array(encoder.ids(t), np.uint32).tobytes() for t in batch.column("chunk").to_pylist()], pa.binary())], ["h", "ids"])
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
     given = places.join(once, "h").groupBy("key").agg(F.collect_list(F.struct("a", "b", "ids")).alias("given"))
 
     def assemble():
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = kept(("encoder", path), lambda: Encoder(path)), kept(("decoder", path), lambda: Decoder(path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -328,7 +328,7 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id and the decoded text of each row of ``encode(keep_ids=True)``; a row without ids is the empty text."""
 
     def make():
-        decoder = Decoder(path)
+        decoder = kept(("decoder", path), lambda: Decoder(path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [decoder.text(unpack(i or b"", n)) for i, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in the life of a Python worker: for objects that take long to load. A worker runs one task at a time."""
+    held = sys.__dict__.setdefault("_tidebar_kept", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 256) -> DataFrame:
     """``mapInArrow`` with a function that ``make`` builds once in each task and that gets at most ``rows`` rows at once."""
 

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +139,13 @@ def numpy_scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Call
     return run
 
 
+def ml_score(features: DataFrame, model: Transformer, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
+    """``score`` from a Spark ML classifier over the features of one row: the probability of label 1."""
+    vector = array_to_vector(F.array(*(F.col(c).cast("double") for c in cols)))
+    scored = model.transform(features.withColumn("features", vector))
+    return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def neutral_fallback(df: DataFrame, col: str = "score") -> DataFrame:
     """Missing and NaN scores become 0.5; ``score_status`` keeps the reason."""
     known = finite(F.col(col)).isNotNull()

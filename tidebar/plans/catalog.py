@@ -364,6 +364,17 @@ def score_numpy(spark, d):
     return seq.select("symbol", "ts", r6(scorer(F.col("seq"))).alias("score"))
 
 
+@query
+def score_ml(spark, d):
+    """A logistic regression of whether the next close is higher, fitted and applied by Spark ML."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    v2 = _v2(spark, d).withColumn("label", F.coalesce(F.lead("close").over(clean.series()) > F.col("close"), F.lit(False)).cast("double"))
+    fitted = LogisticRegression(maxIter=10, regParam=0.01).fit(v2.select("label", array_to_vector(F.array(*clean.FEATURE_COLS)).alias("features")))
+    return sequences.ml_score(v2, fitted).select("symbol", "ts", r6("score").alias("score"))
+
+
 @query
 def signal_classify(spark, d):
     return _scored(spark, d).select("symbol", "ts", bt.classify(F.col("score"), F.lit(0.51)).cast("long").alias("signal"))

@@ -77,7 +77,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         label = new
 
 
-def gray_links(fps: np.ndarray, max_diff: int = MAX_DIFF, chunk: int = 512) -> np.ndarray:
+def gray_links(fps: np.ndarray, max_diff: int = MAX_DIFF, chunk: int = 128) -> np.ndarray:
     """For distinct numbers, the index of the smallest number that each is linked to by steps of ``max_diff`` bits or fewer.
 
     The numbers in Gray order are the leaves; every ``FANOUT`` neighbours share a node that keeps the bits common to all

@@ -238,7 +238,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut(_marked(docs, id_col, text_col))
     named = _named(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), max_diff)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th"))
-    kept = marked.join(named.select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.th")
+    by_class = marked.groupBy("fp").agg(first.alias("k"))  # one row a fingerprint before it is dealt out again, however many copies there are
+    kept = by_class.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.th")
     held = rows.alias("r").join(kept.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.th") == F.col("k.th")), "left_semi")
     return held.dropDuplicates(["id", "th"]).select("row.*")
 

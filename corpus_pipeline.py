@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, mixing, pii, simhash, toxicity
+from tidebar.llm import bpe, likeness, mixing, pii, toxicity
 from tidebar.llm.common import shared_dir, table
 
 #: Scores from here on are toxic; a source may be repeated so many times as often as another.
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints."""
-    return simhash.representatives(docs)
+    """One document of each group that pairs of five-word likeness 0.8 or more connect."""
+    return likeness.representatives(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

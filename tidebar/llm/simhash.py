@@ -19,16 +19,23 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FANOUT = 16
 
 
-def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles; fewer words than a shingle count as one, no words give 0."""
+def shingle_hashes(text: str, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles in order; fewer words than a shingle count as one, no words give none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z, and white space as in the contract
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(size, len(words))
     flat = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(flat[s : e - 1], seed) for s, e in zip([0, *ends], ends[size - 1 :], strict=False)), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(flat[s : e - 1], seed) for s, e in zip([0, *ends], ends[size - 1 :], strict=False)), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles; fewer words than a shingle count as one, no words give 0."""
+    h = shingle_hashes(text, size, seed)
+    if not len(h):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):  # eight bytes a bit: in parts, for very long texts
         part = h[at : at + 4096]

@@ -67,3 +67,9 @@ def test_repeats_agree():
     assert alone[1].argmax() == 0 and joined[1].argmax() == 4
     found = pii.nodes("call 555-0100 now. Later 555-0100, and 555-0199")
     assert pii._edges(found)[1]
+
+
+def test_bounded_words_leave_the_skip_counts(spark):
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.example.org or a{i}@b.example.org; row {i} x{i}y{i * i}") for i in range(200)], "doc_id long, text string")
+    whole, few = pii.train(docs), pii.train(docs, max_rows=20)
+    assert np.abs(whole.skip).max() > 0 and np.allclose(few.skip, whole.skip) and np.allclose(few.chain, whole.chain)

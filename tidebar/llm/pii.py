@@ -251,8 +251,12 @@ def train(docs: DataFrame, bound: int = 20_000, max_rows: int = 60_000, steps: i
 
         return run
 
-    counted = arrow_map(rows, make, "kind string, value array<int>, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.col("kind"), F.xxhash64("value"), "value").limit(max_rows + 2 * N_LABELS**2).collect()
+    counted = arrow_map(rows, make, "kind string, value array<int>, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).persist()
+    try:
+        got = counted.where("kind <> 'n'").collect()  # a pair of labels a row: 2 * N_LABELS**2 at most
+        got += counted.where("kind = 'n'").orderBy(F.xxhash64("value"), "value").limit(max_rows).collect()
+    finally:
+        counted.unpersist()
     tables = {k: np.ones((N_LABELS, N_LABELS)) for k in "cs"}
     x, y, w = [], [], []
     for r in got:

@@ -46,3 +46,12 @@ def test_few_and_none(spark):
     assert ann.search(none, none).count() == 0
     one = frame(spark, [(0, [1.0, 0.0])])
     assert ann.search(one, one).count() == 0
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    """Two other ids of twelve rows each are two neighbours, and rows that stand twice crowd nobody out."""
+    rows = [(0, [1.0, 0.0]), *((1, [1.0 + j / 100, 0.1]) for j in range(12)), *((2, [2.0 + j / 100, 0.1]) for j in range(12))]
+    df = frame(spark, rows)
+    assert [r["vec_id"] for r in ann.search(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()] == [1, 2]
+    twice = frame(spark, [(i, [1.0 + i, 1.0]) for i in range(12)] * 2)
+    assert [r["vec_id"] for r in ann.search(twice, twice.where("vec_id = 0"), k=10).orderBy("rank").collect()] == list(range(1, 11))

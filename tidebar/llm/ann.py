@@ -153,6 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int =
         return spark.createDataFrame([], schema)
     dims, n = sizes[0]["size"], sizes[0]["count"]
     good = good.where(F.size("v") == dims)
+    good = good.dropDuplicates(["vec_id", "v"])
     share = good if n <= sample else good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(sample / n * 1_000_003))
     fitted = share.select("v").limit(2 * sample).toPandas()["v"]  # about ``sample`` vectors
     index = fit(np.array(fitted.tolist(), dtype=np.float64).reshape(-1, dims), lists=max(1, min(1024, round(n**0.5))), k=k, recall=recall)
@@ -166,8 +167,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), b.column("vec_id").take(times), b.column("v").take(times)], ["list", "vec_id", "v"])
 
     posted = cut(good.mapInArrow(post, "list int, vec_id long, v array<double>"))
-    held = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # a row a list, 1024 at most
-    count = np.array([held.get(i, 0) for i in range(len(index.centroids))])
+    by_list = posted.groupBy("list", "vec_id").agg(F.count("*").alias("n")).withColumn("share", 1 / F.count("*").over(Window.partitionBy("vec_id")))
+    held = {r["list"]: r for r in by_list.groupBy("list").agg(F.sum("n").alias("n"), F.count("*").alias("ids"), F.sum("share").alias("share")).collect()}  # a row a list, 1024 at most
+    count, ids_in, share_in = (np.array([held[i][name] if i in held else 0 for i in range(len(index.centroids))]) for name in ("n", "ids", "share"))
     parts = np.maximum(1, -(-count // part))
     n_parts = F.array(*(F.lit(int(p)) for p in parts))
     lists = posted.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(n_parts, F.col("list") + 1)).cast("int"))
@@ -181,7 +183,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int =
                 for i in range(b.num_rows):
                     order = np.argsort(far[i], kind="stable")
                     take = int((far[i] <= index.ratio * far[i].min()).sum())
-                    enough = np.cumsum(count[order]) // index.copies > k  # so many different ids at least
+                    # an id adds one at most to the sum of its shares over its lists: so many different ids at least
+                    enough = (np.cumsum(ids_in[order]) // index.copies > k) & (np.cumsum(share_in[order]) > k + 1e-6)
                     order = order[: max(take, int(enough.argmax()) + 1 if enough.any() else len(order))]
                     for li in order:
                         which += [(li, p) for p in range(parts[li])]
@@ -195,17 +198,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int =
     def nearest(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(others):
+            own = own.sort_values("vec_id")
             v, ids = np.array(own["v"].tolist()), own["vec_id"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             for at in range(0, len(others), 256):
                 q, q_ids = np.array(others["q"].iloc[at : at + 256].tolist()), others["query_id"].iloc[at : at + 256].to_numpy()
                 d = _squared(q, v)
                 d[q_ids[:, None] == ids[None]] = np.inf
-                limit = np.partition(d, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                least = np.minimum.reduceat(d, starts, axis=1)  # of each id
+                most = min(k, len(starts)) - 1
+                limit = np.partition(least, most, axis=1)[:, most]
                 slack = 1e-9 * (1 + (q * q).sum(1) + (v * v).sum(1).max())  # rounding of the fast form; the exact one decides
                 for i in range(len(q)):
                     c = np.flatnonzero((d[i] <= limit[i] + slack[i]) & np.isfinite(d[i]))
                     exact = np.sqrt(((v[c] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[c], exact))[:k]
+                    best = np.lexsort((ids[c], exact))
+                    best = best[np.sort(np.unique(ids[c][best], return_index=True)[1])][:k]  # the nearest row of each id
                     out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[c][best], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

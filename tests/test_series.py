@@ -210,6 +210,26 @@ def test_headroom_is_the_loop(spark):
     assert {(r["account"], r["symbol"]): r["accepted"] for r in out.collect()} == want
 
 
+def test_cooldown_carries_state_over_batches(spark):
+    """A symbol's ticks in many Arrow batches give what one pass over all of them gives, without ticks that can't act being sorted in."""
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=97 * i), i, [0.9, None, 0.62, 0.2, float("nan"), 0.7, 0.5][(i * i + len(s)) % 7]) for s in ("A", "BB", "CCC") for i in range(300)]
+    want = []
+    for name in ("A", "BB", "CCC"):
+        held, until = False, float("-inf")
+        for s, ts, i, score in rows:
+            if s == name:
+                side, held, until = decide.step(held, until, ts.timestamp(), score)
+                want += [(s, i, side)] if side else []
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = decide.cooldown(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, score double").repartition(5))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        assert sorted((r["symbol"], r["seq"], r["side"]) for r in out.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_cooldown_ends_exactly(spark):
     at = [(0, 0.9), (599, 0.1), (600, 0.1), (4199, 0.9), (4200, 0.9)]
     df = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=s), i, v) for i, (s, v) in enumerate(at)], "symbol string, ts timestamp_ntz, seq long, score double")

@@ -60,20 +60,26 @@ def step(held: bool, until: float, now: float, score: float | None) -> tuple[str
     return None, held, until
 
 
+def can_act(score: Column) -> Column:
+    """Whether a tick of this score may be acted on in some state; other ticks leave every state as it is."""
+    return ~F.isnan(score) & ((score < SELL_BELOW) | (score > BUY_ABOVE))
+
+
 def cooldown(ticks: DataFrame) -> DataFrame:
-    """Decisions of each symbol's ticks (symbol, ts, seq, score): ``symbol, ts, seq, side``. Each acts on the state that earlier ones left, so a symbol's ticks run in order, batch by batch."""
+    """Decisions of each symbol's ticks (symbol, ts, seq, score): ``symbol, ts, seq, side``. Each acts on the state that
+    earlier ones left, so a symbol's ticks run in order, batch by batch: Spark sorts them, and a task holds one batch and one state."""
 
-    def run(key: tuple[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, until = False, float("-inf")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, until = None, False, float("-inf")
         for batch in batches:
             sides = []
-            for now, score in zip(batch["ts"].astype("datetime64[us]").astype("int64") / 1e6, batch["score"], strict=True):
+            for symbol, now, score in zip(batch["symbol"], batch["ts"].astype("datetime64[us]").astype("int64") / 1e6, batch["score"], strict=True):
+                if symbol != last:
+                    last, held, until = symbol, False, float("-inf")
                 side, held, until = step(held, until, now, score)
                 sides.append(side)
             out = batch[["symbol", "ts", "seq"]].assign(side=sides)
             yield out[out["side"].notna()]
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(run((), iter([pdf.sort_values(["ts", "seq"])])))
-
-    return ticks.select("symbol", "ts", "seq", "score").groupBy("symbol").applyInPandas(whole, "symbol string, ts timestamp_ntz, seq long, side string")
+    rows = ticks.select("symbol", "ts", "seq", "score").where(can_act(F.col("score"))).repartition("symbol")
+    return rows.sortWithinPartitions("symbol", F.asc_nulls_last("ts"), F.asc_nulls_last("seq")).mapInPandas(run, "symbol string, ts timestamp_ntz, seq long, side string")

@@ -1,6 +1,8 @@
 """Exact agreement with the tokenizers library, whatever is shared between documents."""
 
 import hashlib
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -35,13 +37,37 @@ def test_empty_table(none):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abcé .,'\n1ß日", max_size=12), max_size=6))
+@given(st.lists(st.one_of(st.text(alphabet="abcé .,'\n1ß日，<|>Σ\u0301=", max_size=12), st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "'ll", "don't", "\u1100", "\u1161", "か", "\u3099"])), max_size=8))
 def test_joins(parts):
     parts = [p for p in parts if p]
     pieces = [(p, LIB.encode(p, add_special_tokens=False).ids) for p in parts]
     assert bpe.join_all(ENC, pieces) == LIB.encode("".join(parts), add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["日月火水木金土山川田", "abcdefghij", "0123456789abcdefghijklmnopqrstuvwxyz", "AZaz09+/="])
+def test_a_million_letters_without_blanks(letters):
+    """Linear: under five seconds, and as the library has it."""
+    rng = random.Random(1)
+    text = "".join(rng.choice(letters) for _ in range(1_000_000))
+    ends = bpe.chunk_ends(text)
+    chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
+    pieces = [(c, e.ids) for c, e in zip(chunks, LIB.encode_batch(chunks, add_special_tokens=False))]
+    began = time.process_time()
+    got = bpe.join_all(bpe.Encoder(bpe.TOKENIZER), pieces)
+    assert time.process_time() - began < 5
+    assert got == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_hot_chunks(spark, monkeypatch):
+    """A passage in every document, dealt out over copies of its ids."""
+    monkeypatch.setattr(bpe, "LEAST_HOT", 10)
+    rng = random.Random(4)
+    passage = " ".join(f"w{rng.randrange(500)}" for _ in range(2000))
+    rows = [(i, f"{i} {i * i} {passage} {i}") for i in range(120)]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: expected(t) for i, t in rows}
+
+
 def test_chunks_are_found_again(odd_rows):
     long = next(t for _, t, *_ in odd_rows if t and len(t) > 100_000)
     a, b = bpe.chunk_ends(long), bpe.chunk_ends("shifted " + long)

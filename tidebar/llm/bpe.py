@@ -3,10 +3,10 @@
 A rolling hash over the characters cuts each text into chunks; equal passages give equal chunks wherever they stand. Spark
 counts chunk hashes over all documents; a chunk that several documents have is encoded once, and its ids are joined to
 every place where it stands. A chunk's ids hold inside it, but not where two chunks meet: a join is repaired by encoding
-the text around it anew, wider and wider, until the new ids agree exactly with those of both chunks at a word's edge.
+the text around it anew, wider and wider, until the new ids agree exactly with those of both chunks at an edge.
 
-Which chunks may be shared is told to the scan by a bitmap of fixed size, so nothing that grows with the input is sent to
-tasks. Where hashes collide in it, a chunk is only treated as shared without need.
+Which chunks may be shared is told to the scan by a bitmap of 16 bits for each shared chunk, 32 MB at most. Where hashes
+collide in it, a chunk is only treated as shared without need.
 """
 
 from __future__ import annotations
@@ -19,21 +19,30 @@ from operator import itemgetter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept, stored, table, texts
+from .common import arrow_map, cut, kept, stored, table, texts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
-#: Bits of the shared-chunk bitmap: 2 MB whatever the input; and words that a task's memo holds.
-BITMAP_BITS, MEMO_WORDS = 1 << 24, 250_000
+#: Least and most bits of the shared-chunk bitmap, and words that a task's memo holds.
+BITMAP_BITS, MEMO_WORDS = (1 << 20, 1 << 28), 250_000
+#: A chunk with over one in HOT of all places, and LEAST_HOT places at least, is hot: there are fewer than HOT such chunks.
+HOT, LEAST_HOT = 1000, 10_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 #: Words that normalising leaves alone but for lower case: Latin letters without marks to compose.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
+# Places where no token and no normalising reaches across. Blanks and line ends; each digit is a unit; letters and
+# marks are units apart, but for apostrophes (contractions) and the marks that added tokens are made of.
+_MARKS = r"""!"#$%&()*+,\-./:;=?@\[\]\\^_`{}~"""
+_PLACES = rf"(?=[ \n])|(?<=[ \n])|(?<=[A-Za-z0-9{_MARKS}])(?=[0-9])|(?<=[0-9])(?=[A-Za-z{_MARKS}])|(?<=[{_MARKS}])(?=[A-Za-z])|(?<=[A-Za-z])(?=[{_MARKS}])|(?<=[\u4e00-\u9fff])(?=[，。、！？；：])|(?<=[，。、！？；：])(?=[\u4e00-\u9fff])"
+_EDGE, _EDGE_BACK = regex.compile(_PLACES), regex.compile(_PLACES, regex.REVERSE)
+
 
 def chunk_ends(text: str) -> list[int]:
     """Ends of a text's chunks. An end depends on the characters just before it and the end before, never on the place in the text."""
@@ -122,50 +131,47 @@ class Encoder:
         return list(chain.from_iterable(map(self.memo.__getitem__, words)))
 
 
-def _last_edge(text: str, before: int) -> int:
-    """Place of the last blank or line end before, or -1."""
-    return max(text.rfind(" ", 0, before), text.rfind("\n", 0, before))
+def _first_edge(text: str, encoder: Encoder, ids: list[int]) -> tuple[int, int] | None:
+    """The first edge of a text at which its ids agree with those of its head alone, and how many these are; None without one."""
+    m = _EDGE.search(text)
+    while m:
+        head = encoder.ids(text[: m.start()])
+        if ids[: len(head)] == head:
+            return m.start(), len(head)
+        m = _EDGE.search(text, 2 * m.start() + 1)
+    return None
 
 
-def _first_edge(text: str, after: int) -> int:
-    """Place of the first blank or line end from, or -1."""
-    found = [x for x in (text.find(" ", after), text.find("\n", after)) if x >= 0]
-    return min(found, default=-1)
+def _last_edge(text: str, encoder: Encoder, ids: list[int]) -> tuple[int, int] | None:
+    """The last edge at which the ids agree with those of the tail alone, and how many ids stand before it."""
+    m = _EDGE_BACK.search(text)
+    while m:
+        tail = encoder.ids(text[m.start() :])
+        if ids[len(ids) - len(tail) :] == tail:
+            return m.start(), len(ids) - len(tail)
+        m = _EDGE_BACK.search(text, 0, max(0, len(text) - 2 * (len(text) - m.start())))
+    return None
 
 
-def join(encoder: Encoder, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-    """The ids of ``left + right``: of a window around the join new ones, of the rest the given, once both agree.
+def join_all(encoder: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
+    """The ids of all parts in a row, each text of a part with its own ids.
 
-    The window starts at an edge of words in left and ends at one in right. The old ids of its left part must end left's
-    ids and those of its right part begin right's; else it grows by a word on each side, at last to the whole text.
+    A part's ids hold from its first edge to its last. What lies between the last edge of one part and the first of the next
+    is encoded anew, once; at both edges the new ids must agree with the given ones, or the stretch grows to farther edges. A
+    part without an edge belongs to such a stretch as a whole, so the work is linear even in texts that are one long word.
     """
-    a, b = _last_edge(left, len(left)), _first_edge(right, 0)
-    while a >= 0 or b >= 0:
-        head, tail = (left[a:] if a >= 0 else left), (right[: b + 1] if b >= 0 else right)
-        head_ids, tail_ids = encoder.ids(head), encoder.ids(tail)
-        if left_ids[len(left_ids) - len(head_ids) :] == head_ids and right_ids[: len(tail_ids)] == tail_ids:
-            return left_ids[: len(left_ids) - len(head_ids)] + encoder.ids(head + tail) + right_ids[len(tail_ids) :]
-        a, b = _last_edge(left, max(a, 0)), (_first_edge(right, b + 1) if b >= 0 else -1)
-    return encoder.ids(left + right)
-
-
-def join_all(encoder: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
-    """The ids of all parts in a row, joined in one pass: only a part's own ids up to its last edge are settled at each step."""
     settled: list[int] = []
-    text, ids = "", []
-    for chunk, chunk_ids in parts:
-        if not text:
-            text, ids = chunk, chunk_ids
+    open_: list[str] = []
+    for text, ids in parts:
+        first = _first_edge(text, encoder, ids)
+        last = _last_edge(text, encoder, ids) if first else None
+        if first is None or last is None or last[0] < first[0]:
+            open_.append(text)
             continue
-        whole = join(encoder, text, ids, chunk, chunk_ids)
-        both = text + chunk
-        # ids after the last edge are open: the next chunk may change them
-        edge = _last_edge(both, len(both))
-        tail = both[edge:] if edge >= 0 else both
-        n = len(encoder.ids(tail))
-        settled += whole[: len(whole) - n]
-        text, ids = tail, whole[len(whole) - n :]
-    return settled + ids
+        settled += encoder.ids("".join([*open_, text[: first[0]]]))
+        settled += ids[first[1] : last[1]]
+        open_ = [text[last[0] :]]
+    return settled + encoder.ids("".join(open_))
 
 
 def _picked(of: list[str], ids: list[int]) -> str:
@@ -206,8 +212,8 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") % BITMAP_BITS
+def _slot(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:4], "big") % bits
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -233,8 +239,12 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
         return run
 
-    shared = arrow_map(base, sketch, "h binary, n long", rows=2048).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = base.sparkSession.sparkContext.broadcast(_bitmap(shared.select("h"), BITMAP_BITS))
+    shared = cut(arrow_map(base, sketch, "h binary, n long", rows=2048).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    totals = shared.agg(F.count("*").alias("chunks"), F.sum("n").alias("places")).first()
+    n_bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * totals["chunks"]).bit_length()))
+    bitmap = base.sparkSession.sparkContext.broadcast(_bitmap(shared.select("h"), n_bits))
+    share = max(LEAST_HOT, (totals["places"] or 0) / HOT)
+    hot = base.sparkSession.createDataFrame(shared.where(F.col("n") > share).select("h", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("k")).collect(), "h binary, k int")  # fewer than HOT rows
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     done_schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
@@ -253,7 +263,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
                 at, refs = 0, []
                 for end in chunk_ends(text):
                     d = _digest(text[at:end])
-                    s = _slot(d)
+                    s = _slot(d, n_bits)
                     if int(bits[s >> 6]) >> (s & 63) & 1:
                         refs.append((d, at, end))
                     at = end
@@ -294,7 +304,10 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
 
     once = arrow_map(arrow_map(met, chunks, "h binary, chunk string").groupBy("h").agg(F.first("chunk").alias("chunk")), encode_chunks, "h binary, ids binary")
     places = met.dropDuplicates(["key"]).select("key", F.explode("refs").alias("r")).select("key", F.col("r.h").alias("h"), F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    given = places.join(once, "h").groupBy("key").agg(F.collect_list(F.struct("a", "b", "ids")).alias("given"))
+    # a hot chunk's ids are copied, and its places dealt out over the copies
+    places = places.join(F.broadcast(hot), "h", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("key", "a"), F.col("k")).cast("int"), F.lit(0))).drop("k")
+    once = once.join(F.broadcast(hot), "h", "left").select("h", "ids", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("copy"))
+    given = places.join(once, ["h", "copy"]).groupBy("key").agg(F.collect_list(F.struct("a", "b", "ids")).alias("given"))
 
     def assemble():
         encoder, decoder = kept(("encoder", path), lambda: Encoder(path)), kept(("decoder", path), lambda: Decoder(path))

@@ -43,7 +43,7 @@ def parse_expression(text: str) -> list[str] | None:
     """A licence expression as postfix tokens (shunting-yard), the longest well-formed start of it; None if there is none."""
     out: list[str] = []
     ops: list[str] = []
-    best: list[str] | None = None
+    best: tuple[int, list[str]] | None = None  # how many postfix tokens are out by then, and the operators that follow
     operand, depth = True, 0
     for m in _TOKEN.finditer(text):
         token = m[0]
@@ -72,24 +72,26 @@ def parse_expression(text: str) -> list[str] | None:
         else:
             break
         if not operand and not depth:
-            best = out + ops[::-1]
-    return best
+            best = len(out), ops[::-1]
+    return None if best is None else out[: best[0]] + best[1]
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str] | None = None) -> tuple[frozenset[str], bool]:
     """The identifiers that a postfix expression names (exceptions after WITH join theirs), and whether the allowed ones satisfy it."""
-    stack: list[tuple[frozenset[str], bool]] = []
+    stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token in RANK:
             (b, ok_b), (a, ok_a) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((frozenset(f"{x} with {y}" for x in a for y in b), ok_a))
+                stack.append(({f"{x} with {y}" for x in a for y in b}, ok_a))
             else:
-                stack.append((a | b, (ok_a and ok_b) if token == "and" else (ok_a or ok_b)))
+                more, less = (a, b) if len(a) >= len(b) else (b, a)
+                more |= less  # the smaller set into the larger one, so that long expressions stay cheap
+                stack.append((more, (ok_a and ok_b) if token == "and" else (ok_a or ok_b)))
         else:
             name = token.lower()
-            stack.append((frozenset([name]), allowed is None or name in allowed))
-    return stack[0]
+            stack.append(({name}, allowed is None or name in allowed))
+    return frozenset(stack[0][0]), stack[0][1]
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -123,10 +125,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
                 words = whole.encode("utf-8", "surrogatepass").translate(_FOLD).split()
                 flat = f" {b' '.join(words).decode('latin-1')} "
                 starts, base, marks, expressions, satisfied, sure = [], set(), set(), [], None, 0.0
-                tagged = False
+                tagged, word, seen = False, 0, 0  # blanks before ``seen``: matches come by their ends, so each stretch is counted about once
                 for end, phrase in find(flat):
                     if phrase in BASE:
-                        starts.append(flat.count(" ", 0, end - len(phrase) - 1))
+                        at = end - len(phrase) - 1
+                        word += flat.count(" ", seen, at) if at >= seen else -flat.count(" ", at, seen)
+                        seen = at
+                        starts.append(word)
                         base.add(BASE[phrase])
                         sure = max(sure, BASE_SURE[BASE[phrase]])
                     if phrase in NOTICES:

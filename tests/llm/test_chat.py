@@ -21,9 +21,32 @@ def test_pairs(spark):
     assert len(got) == 4
 
 
+def test_negative_numbers_pair_up(spark):
+    rows = [(i, 0, "user", f"{i}", "z", 1, 2) for i in (-2, -1, 0, 1)]
+    got = {r["pair_id"]: (r["chosen_id"], r["rejected_id"]) for r in chat.format_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {-1: (-2, -1), 0: (0, 1)}
+
+
+def test_answers_of_the_next_conversation(spark):
+    x = ("z", 1, 2)
+    rows = [(-1, 0, "user", "q"), (-1, 1, "assistant", "a"), (0, 0, "user", "p"), (0, 1, "assistant", "b"), (0, 1, "assistant", "b"), (0, 2, "user", "more"), (0, 3, "assistant", "c"), (0, 4, None, None),
+            (1, 0, "assistant", "c"), (2, 0, "user", "no answer"), (5, 0, "user", "u"), (5, 1, "assistant", "v"), (None, 0, "user", "nobody's")]
+    got = {r["pair_id"]: r for r in chat.format_answers(spark.createDataFrame([r + x for r in rows], SCHEMA)).collect()}
+    assert set(got) == {-1, 0, 1, 2, 5}
+    assert (got[-1]["rejected_id"], got[-1]["n_prompt"], got[-1]["prompt"], got[-1]["chosen"], got[-1]["rejected"]) == (0, 1, "<|user|>\nq<|end|>\n", "<|assistant|>\na<|end|>\n", "<|assistant|>\nc<|end|>\n")
+    assert (got[0]["rejected_id"], got[0]["n_prompt"], got[0]["chosen"], got[0]["rejected"]) == (1, 5, "", "")  # the same answer: all is prompt
+    assert got[1]["rejected_id"] is None and got[1]["rejected"] is None and got[1]["n_prompt"] == 0 and got[1]["chosen"].endswith("c<|end|>\n")
+    assert got[2]["rejected_id"] is None and got[5]["rejected_id"] is None
+
+
+def test_prompts_are_found_in_the_table(spark, smoke_dir):
+    got = chat.query(spark, smoke_dir).select("n_prompt", "rejected_id").collect()
+    assert sum(r["n_prompt"] > 0 for r in got) > 0.5 * len(got)
+
+
 def test_empty_and_native(spark):
     df = spark.createDataFrame([], SCHEMA)
-    out = chat.format_pairs(df)
-    assert out.count() == 0
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for out in (chat.format_pairs(df), chat.format_answers(df)):
+        assert out.count() == 0
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -1,8 +1,12 @@
 """The lexicon learns from training labels only, and sees through folding."""
 
+import math
 import random
+import re
 import zlib
 
+import pytest
+
 from tidebar.llm import toxicity
 
 from .conftest import prose
@@ -45,6 +49,44 @@ def test_odd_tables(spark, odd, odd_rows, none):
     assert toxicity.score(none, toxicity.train(none, labels.limit(0))).count() == 0
 
 
+def test_repeated_documents_count_once(spark):
+    """However often a labelled id stands in the table, the sample has one row of it."""
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    got = toxicity.sample_labels(docs, labels, 100).collect()
+    assert sorted((r["text"], r["toxic"]) for r in got) == [(min(f"text {j}" for j in range(i, 600, 3)), i % 2) for i in range(3) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
+def plain_hits(text, weights):
+    """By a search of each entry at each place."""
+    flat, out = toxicity.fold(text), []
+    for entry, w in weights.items():
+        word = entry.removeprefix("^")
+        for at in range(len(flat) - len(word) + 1):
+            end = at + len(word)
+            if flat[at:end] != word or (at and flat[at - 1].isalpha()) or (entry[0] != "^" and flat[end : end + 1].isalpha()):
+                continue
+            left = re.findall(r"[^\W\d_]+(?=[\W\d_]*$)", flat[max(0, at - 40) : at])
+            right = re.match(r"[\W\d_]*([^\W\d_]+)", flat[end : end + 40])
+            out.append((entry, w, left[-1] if left else "", right[1] if right else ""))
+    return sorted(out)
+
+
+def test_matches_and_scores_are_the_plain_ones():
+    rng = random.Random(7)
+    weights = {"idiot": 2.0, "^mor": 1.5, "scum": 1.0, "cum": 0.5}
+    model = toxicity.Model(weights, frozenset([("village", "idiot"), ("scum", "bag")]), (-2.0, 1.0, 0.5))
+    hits, features = toxicity._matcher(model), toxicity._features(model)
+    parts = ["village", "idiot", "1d!0t", "idiot!", "!diot", "m0ron", "moral", "scum", "$cum", "scum bag", "document", "idiots", "river", ",", "!", "é", "іdіot"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "", "-", "! "]) for _ in range(rng.randrange(12)))
+        want = plain_hits(text, weights)
+        assert sorted(hits(text)) == want
+        total = sum(w for e, w, a, b in want if (a, e) not in model.exceptions and (e, b) not in model.exceptions)
+        assert features(text) == pytest.approx((math.log1p(total), math.log1p(100 * total / max(100, len(text) / 6))))
+    assert toxicity.fold("you idiot! m0r0n!! k!ll b!tch!") == "you idiot! moron!! kill bitch!"
+
+
 def test_entries_do_not_overlap():
     kept = toxicity._apart([("^trash", 3.0), ("trash", 2.9), ("^tras", 2.8), ("trashy", 2.0), ("scum", 1.0)], 10)
     assert list(kept) == ["^trash", "scum"]

@@ -30,6 +30,29 @@ def _mask(turns: Column) -> Column:
     return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
 
 
+def _turn() -> Column:
+    """A turn's place, role and text, in the order by which turns stand."""
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _formatted(sides: DataFrame) -> DataFrame:
+    """The result for pairs whose turns stand in order in the arrays ``a`` (chosen) and ``b`` (rejected)."""
+    both = F.least(F.size("a"), F.size("b"))
+    differ = F.filter(
+        F.when(both > 0, F.sequence(F.lit(1), both)).otherwise(F.array().cast("array<int>")),
+        lambda i: (F.element_at("a", i)["role"] != F.element_at("b", i)["role"]) | (F.element_at("a", i)["text"] != F.element_at("b", i)["text"]),
+    )
+    cut = sides.withColumn("n_prompt", F.when(F.size(differ) > 0, F.element_at(differ, F.lit(1)) - 1).otherwise(both))
+    rest = lambda c: F.slice(c, F.col("n_prompt") + 1, F.size(c))
+    parts = cut.select("pair_id", "chosen_id", "rejected_id", "n_prompt", F.slice("a", F.lit(1), F.col("n_prompt")).alias("p"), rest("a").alias("a"), rest("b").alias("b"))
+    known = lambda of, c: F.when(F.col(of).isNotNull(), c)
+    return parts.select(
+        "pair_id", "chosen_id", "rejected_id", F.col("n_prompt").cast("long").alias("n_prompt"), _render(F.col("p")).alias("prompt"),
+        known("chosen_id", _render(F.col("a"))).alias("chosen"), known("rejected_id", _render(F.col("b"))).alias("rejected"),
+        known("chosen_id", _mask(F.col("a"))).alias("chosen_mask"), known("rejected_id", _mask(F.col("b"))).alias("rejected_mask"),
+    )
+
+
 def format_pairs(conversations: DataFrame, pair: Column | None = None, chosen: Column | None = None) -> DataFrame:
     """One row for each pair: the longest common turn prefix once as ``prompt``, and both completions with their masks.
 
@@ -41,51 +64,56 @@ def format_pairs(conversations: DataFrame, pair: Column | None = None, chosen: C
     side is a prefix of the other, its completion is empty. An empty table gives an empty result. Columns besides the
     four are not read. Each pair is one shuffled group, as long as its two conversations; no group holds more.
     """
-    pair = F.expr("conv_id div 2") if pair is None else pair
+    pair = F.expr("(conv_id - pmod(conv_id, 2)) div 2") if pair is None else pair
     chosen = (F.expr("pmod(conv_id, 2)") == 0) if chosen is None else chosen
-    rows = conversations.where(F.col("conv_id").isNotNull()).select(
-        pair.cast("long").alias("pair_id"), chosen.alias("is_chosen"), F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
+    rows = conversations.where(F.col("conv_id").isNotNull()).select(pair.cast("long").alias("pair_id"), chosen.alias("is_chosen"), F.col("conv_id").cast("long").alias("conv_id"), _turn().alias("t"))
     side = lambda flag, c: F.when(F.col("is_chosen") == flag, F.col(c))
     grouped = rows.groupBy("pair_id").agg(
         F.max(side(True, "conv_id")).alias("chosen_id"), F.max(side(False, "conv_id")).alias("rejected_id"),
         F.collect_list(side(True, "t")).alias("a"), F.collect_list(side(False, "t")).alias("b"),
     )
-    ordered = grouped.select("pair_id", "chosen_id", "rejected_id", *(F.array_distinct(F.array_sort(c)).alias(c) for c in "ab"))
-    both = F.least(F.size("a"), F.size("b"))
-    differ = F.filter(
-        F.when(both > 0, F.sequence(F.lit(1), both)).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.element_at("a", i)["role"] != F.element_at("b", i)["role"]) | (F.element_at("a", i)["text"] != F.element_at("b", i)["text"]),
-    )
-    cut = ordered.withColumn("n_prompt", F.when(F.size(differ) > 0, F.element_at(differ, F.lit(1)) - 1).otherwise(both))
-    rest = lambda c: F.slice(c, F.col("n_prompt") + 1, F.size(c))
-    parts = cut.select("pair_id", "chosen_id", "rejected_id", "n_prompt", F.slice("a", F.lit(1), F.col("n_prompt")).alias("p"), rest("a").alias("a"), rest("b").alias("b"))
-    known = lambda of, c: F.when(F.col(of).isNotNull(), c)
-    return parts.select(
-        "pair_id", "chosen_id", "rejected_id", F.col("n_prompt").cast("long").alias("n_prompt"), _render(F.col("p")).alias("prompt"),
-        known("chosen_id", _render(F.col("a"))).alias("chosen"), known("rejected_id", _render(F.col("b"))).alias("rejected"),
-        known("chosen_id", _mask(F.col("a"))).alias("chosen_mask"), known("rejected_id", _mask(F.col("b"))).alias("rejected_mask"),
-    )
+    return _formatted(grouped.select("pair_id", "chosen_id", "rejected_id", *(F.array_distinct(F.array_sort(c)).alias(c) for c in "ab")))
+
+
+def format_answers(conversations: DataFrame, role: str = TRAINED) -> DataFrame:
+    """The same for a table without rejected answers: each conversation is chosen, and rejected is its copy whose last
+    answer (turn of ``role``) is the last answer of the conversation with the next number, an answer to something else.
+
+    ``pair_id`` and ``chosen_id`` are the conversation, ``rejected_id`` is whose answer the other side has. Without that
+    conversation, or without an answer in both, there is no rejected side: all turns are the chosen completion. All else is
+    as in ``format_pairs``. Conversations are grouped once; answers are joined to them by the number, one row each.
+    """
+    rows = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("pair_id"), _turn().alias("t"))
+    turns = rows.groupBy("pair_id").agg(F.array_distinct(F.array_sort(F.collect_list("t"))).alias("a"))
+    last = F.array_max(F.filter(F.transform("a", lambda t, i: F.when(t["role"] == role, i + 1)), lambda i: i.isNotNull()))
+    marked = turns.select("pair_id", "a", last.alias("last"))
+    answers = marked.where("last is not null").select((F.col("pair_id") - 1).alias("pair_id"), F.element_at("a", F.col("last"))["text"].alias("answer"))
+    sides = marked.join(answers, "pair_id", "left")
+    has = F.col("last").isNotNull() & F.col("answer").isNotNull()
+    other = F.transform("a", lambda t, i: F.when(i + 1 == F.col("last"), t.withField("text", F.col("answer"))).otherwise(t))
+    none = F.filter("a", lambda t: F.lit(False))
+    return _formatted(sides.select("pair_id", F.col("pair_id").alias("chosen_id"), F.when(has, F.col("pair_id") + 1).alias("rejected_id"), "a", F.when(has, other).otherwise(none).alias("b")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks as text, ``start-end`` joined by commas, so that any engine can compare them."""
-    out = format_pairs(table(spark, sf_dir, "conversations"))
+    """Every conversation against its copy with the next one's answer. Masks as text, ``start-end`` joined by commas, so that any engine can compare them."""
+    out = format_answers(table(spark, sf_dir, "conversations"))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return out.withColumns({c: flat(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 SQL = r"""
-WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-differ AS (SELECT a.pair_id, min(a.i) AS i FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1
-           WHERE a.role <> b.role OR a.text <> b.text GROUP BY 1),
-ids AS (SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id,
-               least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS n_both FROM n GROUP BY 1),
-p AS (SELECT ids.*, CAST(coalesce(d.i - 1, n_both) AS BIGINT) AS n_prompt FROM ids LEFT JOIN differ d USING (pair_id)),
-r AS (SELECT n.pair_id, n.side, n.i, n.role, n.i <= p.n_prompt AS shared, '<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10) AS s FROM n JOIN p USING (pair_id)),
+WITH c AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+l AS (SELECT conv_id, max(i) AS i FROM o WHERE role = 'assistant' GROUP BY 1),
+x AS (SELECT l.conv_id, l.i, y.text AS answer FROM l JOIN l AS z ON z.conv_id = l.conv_id + 1 JOIN o AS y ON y.conv_id = z.conv_id AND y.i = z.i),
+n AS (SELECT conv_id, 0 AS side, i, role, text FROM o
+      UNION ALL SELECT o.conv_id, 1, o.i, o.role, CASE WHEN o.i = x.i THEN x.answer ELSE o.text END FROM o JOIN x ON x.conv_id = o.conv_id),
+differ AS (SELECT a.conv_id, min(a.i) AS i FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.i = b.i AND a.side = 0 AND b.side = 1 WHERE a.text <> b.text GROUP BY 1),
+p AS (SELECT s.conv_id AS pair_id, s.conv_id AS chosen_id, CASE WHEN x.conv_id IS NOT NULL THEN s.conv_id + 1 END AS rejected_id,
+        CAST(CASE WHEN x.conv_id IS NULL THEN 0 ELSE coalesce(d.i - 1, s.n_turns) END AS BIGINT) AS n_prompt
+      FROM (SELECT conv_id, count(*) AS n_turns FROM o GROUP BY 1) s LEFT JOIN x ON x.conv_id = s.conv_id LEFT JOIN differ d ON d.conv_id = s.conv_id),
+r AS (SELECT n.conv_id AS pair_id, n.side, n.i, n.role, n.i <= p.n_prompt AS shared, '<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10) AS s FROM n JOIN p ON p.pair_id = n.conv_id),
 m AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_ FROM r),
 g AS (SELECT pair_id, coalesce(string_agg(s, '' ORDER BY i) FILTER (shared AND side = 0), '') AS prompt,
   coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT shared AND side = 0), '') AS chosen,
@@ -93,7 +121,7 @@ g AS (SELECT pair_id, coalesce(string_agg(s, '' ORDER BY i) FILTER (shared AND s
   coalesce(string_agg(CAST(pos_ + length(role) + 5 AS BIGINT) || '-' || CAST(pos_ + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(CAST(pos_ + length(role) + 5 AS BIGINT) || '-' || CAST(pos_ + length(s) - 1 AS BIGINT), ',' ORDER BY i) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_mask
   FROM m GROUP BY 1)
-SELECT pair_id, chosen_id, rejected_id, n_prompt, prompt, CASE WHEN chosen_id IS NOT NULL THEN chosen END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN rejected END AS rejected,
-  CASE WHEN chosen_id IS NOT NULL THEN chosen_mask END AS chosen_mask, CASE WHEN rejected_id IS NOT NULL THEN rejected_mask END AS rejected_mask
+SELECT pair_id, chosen_id, rejected_id, n_prompt, prompt, chosen,
+  CASE WHEN rejected_id IS NOT NULL THEN rejected END AS rejected, chosen_mask, CASE WHEN rejected_id IS NOT NULL THEN rejected_mask END AS rejected_mask
 FROM p JOIN g USING (pair_id)
 """

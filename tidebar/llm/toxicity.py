@@ -19,15 +19,17 @@ HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
               "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "ɑ": "a", "ɡ": "g", "ı": "i"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
-_FOLD = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES, **{chr(c): chr(c + 32) for c in range(65, 91)}}.items()}
+_FOLD = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES, **{chr(c): chr(c + 32) for c in range(65, 91)}}.items() if k != "!"}
+_CALL = re.compile(r"!+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Marks an entry of the lexicon that is the beginning of a word; lengths of such entries.
 START, LENGTHS = "^", range(4, 9)
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digit substitutions as plain letters; the length stays."""
-    return text.translate(_FOLD)
+    """Lower case, look-alikes and digit substitutions as plain letters; the length stays. An exclamation mark is one only before a letter, as else it ends a word."""
+    flat = text.translate(_FOLD)
+    return _CALL.sub(lambda m: SUBSTITUTES["!"] * len(m[0]), flat) if "!" in flat else flat
 
 
 @dataclass(frozen=True)
@@ -75,16 +77,17 @@ def _features(model: Model):
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """Text and label of about ``bound`` labelled training rows, taken evenly by a hash of the id (all, if fewer).
+    """Text and label of about ``bound`` labelled training ids, taken evenly by a hash of the id (all, if fewer); one row an id.
 
-    Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Of several labels of an id the larger holds.
+    Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Of several labels of an id the larger holds, of
+    several texts the least.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), 4) != 2)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(bound / n * 1_000_003))
     # at most about ``bound`` pairs of numbers, so that side may be broadcast whatever the input
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _counted(rows: DataFrame, make, schema: str, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Base patterns against the plain expressions, and message passing against enumeration."""
 
 import itertools
+import random
 import re
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import pii
 
+from .conftest import prose
+
 
 def plain(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -54,7 +57,7 @@ def test_marginals_are_exact_on_a_tree():
         for i, k in enumerate(y):
             want[i, k] += p
     want /= want.sum(1, keepdims=True)
-    assert np.allclose(pii.marginals(unary, edges, tables, rounds=60, damp=0.2), want, atol=1e-6)
+    assert np.allclose(pii.marginals(unary, edges, tables, tolerance=1e-9), want, atol=1e-6)
 
 
 def test_repeats_agree():
@@ -69,7 +72,51 @@ def test_repeats_agree():
     assert pii._edges(found)[1]
 
 
-def test_bounded_words_leave_the_skip_counts(spark):
+def test_evidence_reaches_every_occurrence():
+    """Of a word that stands a hundred times one sure occurrence is enough, however far the others are."""
+    found = pii.nodes(" and then ".join(["code x17y"] * 100))
+    skip = np.where(np.eye(pii.N_LABELS) > 0, 3.0, -3.0)
+    edges = np.array(pii._edges(found)[1])
+    unary = np.zeros((100, pii.N_LABELS))
+    unary[:, 0], unary[0, 5] = 0.05, 60.0
+    assert (pii.marginals(unary, edges, np.repeat(skip[None], len(edges), 0)).argmax(axis=1) == 5).all()
+
+
+def mails(rng, n):
+    """Texts with personal data, numbers that are none, and names before secrets."""
+    kinds = (lambda: f"bob{rng.randrange(999)}@mail{rng.randrange(9)}.example.org", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04}",
+             lambda: next(x for x in iter(lambda: f"{rng.randrange(10**15, 10**16)}", None) if pii._luhn(x)), lambda: f'token = "{rng.randrange(16**40):040x}"')
+    return [" ".join([prose(rng, 8), rng.choice(kinds)(), prose(rng, 5), f"in {rng.randrange(1900, 2030)}, version {rng.randrange(9)}.0 of {rng.randrange(99)}", rng.choice(kinds)(), prose(rng, 4)]) for _ in range(n)]
+
+
+def test_the_field_adds_what_the_patterns_miss(spark):
+    rng = random.Random(6)
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(frame(mails(rng, 600)))
+    out = frame(mails(rng, 200))
+    got = pii.measure(out, model)
+    assert got["spans"] > 200 and got["recall"] > 0.9 and got["precision"] > 0.95
+    clean = frame([f"{prose(rng, 20)} version {i % 9}.{i % 4} of {1990 + i % 40}, {i} pages" for i in range(100)])
+    assert pii.scan(clean, model).where("n_added > 0").count() == 0
+    for kind in range(4):
+        assert model.skip[kind + 1, kind + 1] > max(model.skip[kind + 1, j] for j in range(pii.N_LABELS) if j != kind + 1)
+
+
+def test_rewritten_spans_are_missed_by_their_patterns():
+    rng = random.Random(8)
+    for t in mails(rng, 200):
+        copy, moved, new = pii.rewritten_copy(t, pii.silver_spans(t), 1)
+        assert len(moved) >= len(pii.silver_spans(t)) and set(new) <= set(moved)
+        assert sum(any(k == j and a < e and s < b for a, j, b in pii.base_spans(copy)) for s, k, e in new) <= sum(k in (2,) for _, k, _ in new)
+
+
+def test_bounded_words_keep_the_potentials(spark):
     docs = spark.createDataFrame([(i, f"mail a{i}@b.example.org or a{i}@b.example.org; row {i} x{i}y{i * i}") for i in range(200)], "doc_id long, text string")
-    whole, few = pii.train(docs), pii.train(docs, max_rows=20)
-    assert np.abs(whole.skip).max() > 0 and np.allclose(few.skip, whole.skip) and np.allclose(few.chain, whole.chain)
+    for most in (60_000, 50):
+        assert np.abs(pii.train(docs, max_rows=most).skip).max() > 0.05
+
+
+def test_labels_of_overlapping_spans():
+    found = pii.nodes("1 22 333 4444 55555 666666")
+    spans = [(0, 0, 1), (2, 1, 13), (9, 2, 13), (14, 3, 19)]
+    assert pii._silver(found, spans) == [1, 2, 2, 2, 4, 0] and pii._silver(found, []) == [0] * 6

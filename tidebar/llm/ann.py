@@ -32,12 +32,13 @@ def usable(vector: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids, the neighbours of each (those of centroid i from ``starts[i]`` to ``starts[i + 1]``), up to what ratio a list is taken, and how vectors were put into lists."""
+    """Centroids, the neighbours of each (those of centroid i from ``starts[i]`` to ``starts[i + 1]``), up to what ratio a list is taken, how many are at least, and how vectors were put into lists."""
 
     centroids: np.ndarray
     starts: np.ndarray
     neighbours: np.ndarray
     ratio: float
+    least: int
     near: float
     copies: int
 
@@ -118,21 +119,28 @@ def assign(index: Index, x: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(sample: np.ndarray, lists: int, k: int, recall: float, near: float = 1.15, copies: int = 4) -> Index:
-    """Centroids, graph and ratio from a bounded sample: the ratio at which the sample's own neighbours are found at ``recall``."""
+    """Centroids, graph and ratio from a bounded sample: the ratio at which the sample's own neighbours are found at ``recall``.
+
+    A vector close to its centroid has few lists within the ratio; so many are taken at least that half of the misses are found too.
+    """
     lists = max(1, min(lists, len(sample)))
     c = balanced_means(sample, lists)
-    index = Index(c, *centroid_graph(c), 1.0, near, copies)
-    asked = sample[np.random.default_rng(1).choice(len(sample), min(300, len(sample)), replace=False)]
+    index = Index(c, *centroid_graph(c), 1.0, 1, near, copies)
+    asked = sample[np.random.default_rng(1).choice(len(sample), min(500, len(sample)), replace=False)]
     d = _squared(asked, sample)
     near_ids = np.argsort(d, 1)[:, 1 : k + 1]
     if not near_ids.size:
         return index
-    needed = []
+    needed, rank = [], []
     to = np.sqrt(_squared(asked, c))
     own = dict(zip(u := np.unique(near_ids), assign(index, sample[u]), strict=True))
     for i, ids in enumerate(near_ids):
-        needed += [to[i, own[j]].min() / max(to[i].min(), 1e-300) for j in ids]
-    return Index(c, index.starts, index.neighbours, float(np.quantile(needed, recall)) + 1e-9, near, copies)
+        first = [to[i, own[j]].min() for j in ids]
+        needed += [x / max(to[i].min(), 1e-300) for x in first]
+        rank += [(to[i] < x).sum() for x in first]
+    ratio = float(np.quantile(needed, recall)) + 1e-9
+    missed = np.array(rank)[np.array(needed) > ratio]
+    return Index(c, index.starts, index.neighbours, ratio, int(np.median(missed)) + 1 if len(missed) else 1, near, copies)
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -160,7 +168,7 @@ def nearest(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
     return np.concatenate(asked), np.concatenate(found), np.concatenate(far)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int = LEAST_SAMPLE, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", part: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int = LEAST_SAMPLE, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", part: int = 20_000) -> DataFrame:
     """For each query row its k nearest other ids found: query_id, rank (from 1), vec_id, score (Euclidean distance in double precision).
 
     ``queries`` has the same two columns. Vectors that are null, zero, hold null or non-finite components, or have not the
@@ -205,11 +213,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, sample: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                far = walk(index, _vectors(b.column("v"), dims), index.ratio)
+                far = walk(index, _vectors(b.column("v"), dims), index.ratio, max(8, index.least))
                 which, row = [], []
                 for i in range(b.num_rows):
                     order = np.argsort(far[i], kind="stable")
-                    take = int((far[i] <= index.ratio * far[i].min()).sum())
+                    take = max(index.least, int((far[i] <= index.ratio * far[i].min()).sum()))
                     # an id adds one at most to the sum of its shares over its lists: so many different ids at least
                     enough = (np.cumsum(ids_in[order]) // index.copies > k) & (np.cumsum(share_in[order]) > k + 1e-6)
                     order = order[: max(take, int(enough.argmax()) + 1 if enough.any() else len(order))]

@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of five-word likeness 0.8 or more connect."""
+    """One document of each group that pairs of five-word likeness 0.8 or more connect; SimHash links first, then what it can't see."""
     return likeness.representatives(docs)
 
 
@@ -39,7 +39,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; documents of small sources as often as the temperature asks, within the repetition limit."""
-    return mixing.mix(docs, mixing.plan(docs, max_repeat=MAX_REPEAT)).select("row.*")
+    return mixing.mix(docs, mixing.plan(docs, entropy_between=mixing.ENTROPY_BETWEEN, max_repeat=MAX_REPEAT)).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

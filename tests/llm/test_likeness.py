@@ -9,7 +9,6 @@ import corpus_pipeline as pipeline
 from tidebar.llm import likeness, simhash
 
 
-
 def plain(text):
     w = (text or "").lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
@@ -50,7 +49,7 @@ def test_stage_is_all_pairs(spark, most):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = wanted(rows)
     assert len(want) < len(rows)
-    assert sorted(r["doc_id"] for r in likeness.representatives(docs, most=most).collect()) == want
+    assert sorted(r["doc_id"] for r in likeness.representatives(docs, most=most, part=8 if most else 2048).collect()) == want
     if most:
         assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
     sets = [plain(t) for _, t in rows]
@@ -67,6 +66,26 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert likeness.representatives(none).count() == 0
 
 
+def test_the_bound_leaves_out_no_like_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(1, 800))
+        a = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.8, 1.0)], rng.integers(0, 1 << 48, int(n * rng.uniform(0, 0.15))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert likeness.may_be_alike(len(a), len(b), likeness.histogram(a), likeness.histogram(b))
+    far = rng.integers(0, 1 << 48, (2, 300)).astype(np.uint64)
+    assert not likeness.may_be_alike(300, 300, likeness.histogram(far[0]), likeness.histogram(far[1]))
+
+
+def test_sets_are_read_by_their_places(tmp_path):
+    store = likeness.Sets(str(tmp_path))
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 48, 5 * i + 1).astype(np.uint64)) for i in range(9)]
+    name, starts = store.write(sets)
+    assert all((likeness.Sets(f"file://{tmp_path}").read(name, s, len(h)) == h).all() for s, h in zip(starts, sets))
+
+
 def test_prefix_is_of_the_rarest():
     h = np.arange(10, dtype=np.uint64)
     assert likeness.prefix(h, np.array([0, 1], np.uint64), np.array([5, 3])).tolist() == [2, 3, 4]

@@ -36,7 +36,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one.
+
+    What is put there (checkpoints, and folders named ``stored-``, ``sets-``, ``lm-`` and ``pipeline-`` with a random name) is
+    read for as long as a result is used, so nothing here removes it: whoever runs the job clears the folder after it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

@@ -33,7 +33,11 @@ def shingle_hashes(text: str, size: int = SHINGLE, seed: int = SEED) -> np.ndarr
 
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the word shingles; fewer words than a shingle count as one, no words give 0."""
-    h = shingle_hashes(text, size, seed)
+    return of_hashes(shingle_hashes(text, size, seed))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """SimHash of shingle hashes: a bit is set if it is in over half of them."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)

@@ -15,7 +15,7 @@ from tidebar.llm import bpe, likeness, mixing, pii, toxicity
 from tidebar.llm.common import shared_dir, table
 
 #: Scores from here on are toxic; a source may be repeated so many times as often as another.
-TOXIC_FROM, MAX_REPEAT = 0.3, 2.0
+TOXIC_FROM, MAX_REPEAT = 0.3, 1.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,34 @@ def arrow_column(value: Column, make: Callable[[], Callable[[list[str]], list]],
     return run(F.coalesce(value.cast("string"), F.lit("")))
 
 
+#: Least and most bits of a bitmap: 32 MB.
+BITMAP_BITS = 1 << 20, 1 << 28
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """16 bits (``BITMAP_BITS`` at least and most) for each key (one long column ``h``), with one set for each; or-ed in Spark into words of 64 bits."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (16 * keys.count()).bit_length()))
+    words = keys.select(F.pmod("h", F.lit(bits)).alias("at")).select(F.expr("shiftright(at, 6)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(spark: SparkSession, bits: np.ndarray, key: Column) -> Column:
+    """Whether a key may be among those of the bitmap: true for all that are, and for a few that aren't."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for batch in batches:
+            at = np.mod(batch.to_numpy(zero_copy_only=False), np.int64(64 * len(own)))
+            yield pa.array((own[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return run(key)
+
+
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

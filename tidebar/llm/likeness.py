@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, shared_dir, stored, texts
+from .common import arrow_map, bitmap, cut, in_bitmap, shared_dir, stored, texts
 from .simhash import components, links, of_hashes, shingle_hashes
 
 #: Words of a shingle, and the likeness from which two texts are copies, as a fraction.
@@ -243,7 +243,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # members of shingles that several sets hold
     w = Window.partitionBy("key")
     held = whole.select("fp", "n", F.explode("keys").alias("key")).withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w))
-    shared = cut(held.where("low <> high").select("key", "fp", "n").distinct())
+    shared = stored(held.where("low <> high").select("key", "fp", "n").distinct())
 
     # what SimHash proposes, and two members of each shingle against all others: what is alike in a large group is soon one component
     ends = [F.min(F.struct(F.xxhash64("fp", F.lit(seed)).alias("h"), "fp", "n")).over(w) for seed in (1, 2)]
@@ -256,8 +256,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = rooted.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high").select("key", "fp", "root")
     more = _alike(_meeting(apart.join(sets.select("fp", "n", "buckets"), "fp"), part), sets, uri)
 
+    folder.fs.delete_dir(folder.root)  # both kinds of links stand in the shared folder now
     named = classes.join(components(near.union(more)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    place = [F.coalesce("id", F.lit(0)).alias("id0"), F.col("id").isNull().alias("no_id"), "th"]
-    kept = named.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.th").select(*place)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), F.struct("*").alias("row")).select(*place, "row")
-    return rows.join(kept, ["id0", "no_id", "th"], "left_semi").dropDuplicates(["id0", "no_id", "th"]).select("row.*")
+    place = lambda of: [F.coalesce(of, F.lit(0).cast("long")).alias("id0"), F.col(of).isNull().alias("no_id"), F.col("th")]
+    names = ["id0", "no_id", "th"]
+    kept = cut(named.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.th").select(*place("id"), F.lit(True).alias("stays")))
+
+    # rows whose key neither goes nor repeats stay where they are; only the others are dealt out by their key
+    times = marked.select(*place("doc_id")).groupBy(*names).agg(F.count("*").alias("times"))
+    doubtful = times.join(kept, names, "left").where("stays is null or times > 1").select(F.xxhash64(*names).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), F.struct("*").alias("row")).select(*place("id"), "row")
+    rows = rows.withColumn("doubt", in_bitmap(docs.sparkSession, bitmap(doubtful), F.xxhash64(*names)))
+    checked = rows.where("doubt").join(kept, names, "left_semi").dropDuplicates(names)
+    return rows.where("NOT doubt").select("row.*").union(checked.select("row.*"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidebar.sources.bars import OHLCV
 
+from .scan import running
+
 KEYS = ("symbol", "ts")
 # The feature columns in their order, and what a feature is where it can't be computed.
 FEATURE_COLS = ("open", "high", "low", "close", "volume", "returns", "vol_14", "rsi", "macd", "atr", "bb_width")
@@ -59,9 +61,9 @@ def series(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy("ts")
 
 
-def ffill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    w = series().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+def ffill(df: DataFrame, cols: Sequence[str], bar: int | None = None) -> DataFrame:
+    """With ``bar`` chunk by chunk."""
+    return running(df, ["symbol"], {c: ("last", F.col(c)) for c in cols}, bar)
 
 
 def bfill_leading(df: DataFrame, cols: Sequence[str]) -> DataFrame:

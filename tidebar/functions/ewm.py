@@ -1,12 +1,14 @@
 """Exponentially weighted averages as a two-level scan.
 
-A series is cut into chunks of ``CHUNK`` bar lengths of time. Inside a chunk the average is a running sum; the chunks'
-ends, one row for every ``CHUNK`` bars, are folded into carries and joined back. Long series so run on many tasks.
+A series is cut into chunks of ``CHUNK`` bar lengths of time. Inside a chunk the average is a running sum. A chunk's carry is
+the sum of the ends of the chunks before it, each faded by the rows since; it looks back only as far as a double can see
+(``FADE``), so its frame is bounded, and works on one row for every ``CHUNK`` bars. Long series so run on many tasks.
 Values must not be missing (fill them first) and (symbol, ts) must be unique, on the grid of ``bar``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 256
 HOUR = 3600
+#: Weights under this one vanish beside any others in a double.
+FADE = 1e-40
 
 
 @dataclass(frozen=True)
@@ -51,16 +55,17 @@ def ewm(df: DataFrame, specs: Sequence[Ewm], bar: int = HOUR, rows: int = CHUNK)
     power = lambda s, e: F.pow(F.lit(1 - s.alpha), e)
     out = out.withColumns({f"_{s.name}": power(s, F.col("_j")) * F.sum(F.col(s.col) * F.lit(s.alpha) * power(s, -F.col("_j"))).over(upto) for s in specs})
     ends = out.groupBy("symbol", "_chunk").agg(F.count("*").cast("int").alias("n"), *(F.max_by(f"_{s.name}", "ts").alias(f"e_{s.name}") for s in specs), *(F.min_by(s.col, "ts").alias(f"x_{s.name}") for s in specs))
-    folded = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_chunk", "n", *(f"e_{s.name}" for s in specs), *(f"x_{s.name}" for s in specs)))).alias("ends"))
+    by_chunk = Window.partitionBy("symbol").orderBy("_chunk")
+    ends = ends.withColumn("after", F.sum(F.col("n").cast("long")).over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_at", F.col("after") - F.col("n"))
+    seen = max(math.ceil(math.log(FADE) / math.log(max(1 - s.alpha, 1e-9))) for s in specs)
+    near = Window.partitionBy("symbol").orderBy("_at").rangeBetween(-seen - rows, -1)
+    ends = ends.withColumns({"near": F.collect_list(F.struct("after", *(f"e_{s.name}" for s in specs))).over(near), **{f"x_{s.name}": F.first(f"x_{s.name}").over(by_chunk) for s in specs if s.start == "first"}})
 
-    def step(acc: Column, e: Column) -> Column:
-        """Carries into the next chunk, and what has been carried into each so far."""
-        now = F.struct(e["_chunk"].alias("_chunk"), acc["at"].alias("_at"), *(acc[s.name].alias(f"c_{s.name}") for s in specs))
-        return F.struct((acc["at"] + e["n"]).alias("at"), *((e[f"e_{s.name}"] + acc[s.name] * power(s, e["n"])).alias(s.name) for s in specs), F.concat(acc["all"], F.array(now)).alias("all"))
+    def carry(s: Ewm) -> Column:
+        faded = F.aggregate("near", F.lit(0.0), lambda acc, x: acc + x[f"e_{s.name}"] * power(s, F.col("_at") - x["after"]))
+        return faded + F.col(f"x_{s.name}") * power(s, F.col("_at")) if s.start == "first" else faded
 
-    none = F.array().cast("array<struct<_chunk:bigint,_at:int,{}>>".format(",".join(f"c_{s.name}:double" for s in specs)))
-    zero = F.struct(F.lit(0).alias("at"), *((F.col("ends")[0][f"x_{s.name}"] if s.start == "first" else F.lit(0.0)).cast("double").alias(s.name) for s in specs), none.alias("all"))
-    carries = folded.select("symbol", F.explode(F.aggregate("ends", zero, step, lambda acc: acc["all"])).alias("c")).select("symbol", "c.*")
+    carries = ends.select("symbol", "_chunk", "_at", *(carry(s).alias(f"c_{s.name}") for s in specs))
     out = out.join(carries, ["symbol", "_chunk"])
     out = out.withColumn("_i", F.col("_at") + F.col("_j"))
     values = {}

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.scan import running
+
 WARMUP = 100
 
 
@@ -31,29 +33,27 @@ def ledger(rows: DataFrame, keys: Sequence[str], buy: Column, sell: Column, capi
     A buy acts only when flat and a sell only when long; bars with a close of 0 or less, or none, have no signal.
     ``equity_pre`` is marked before the bar's own trade, ``equity_post`` after it.
     """
-    w = Window.partitionBy(*keys).orderBy("ts")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scan = lambda df, **specs: running(df, keys, specs)
     live = F.coalesce(F.col("close") > 0, F.lit(False))
     b, s = F.coalesce(buy & live, F.lit(False)), F.coalesce(sell & live, F.lit(False))
     out = rows.withColumns({"_b": b, "_s": s, "_cap": capital.cast("double"), "_c": cost.cast("double")})
     out = out.withColumns({"_set": F.when(F.col("_b") & ~F.col("_s"), 1).when(F.col("_s") & ~F.col("_b"), 0), "_tog": (F.col("_b") & F.col("_s")).cast("int")})
-    out = out.withColumns({"_held": F.coalesce(F.last("_set", ignorenulls=True).over(upto), F.lit(0)), "_tsum": F.sum("_tog").over(upto)})
-    since = F.col("_tsum") - F.coalesce(F.last(F.when(F.col("_set").isNotNull(), F.col("_tsum")), ignorenulls=True).over(upto), F.lit(0))  # toggles after the last plain signal
-    out = out.withColumn("state", F.pmod(F.col("_held") + since, F.lit(2)).cast("int"))
-    out = out.withColumn("prev", F.lag("state", 1, 0).over(w))
-    out = out.withColumn("_e", F.last(F.when((F.col("state") == 1) & (F.col("prev") == 0), F.col("close")), ignorenulls=True).over(upto))
-    out = out.withColumn("entry", F.lag("_e").over(w))
-    gain = F.when((F.col("state") == 0) & (F.col("prev") == 1), 2 * F.log(1 - F.col("_c")) + F.log(F.col("close") / F.col("entry")))
+    out = scan(out, _held=("last", F.col("_set")), _tsum=("sum", F.col("_tog")), is_last=("end", F.lit(True)))
+    out = scan(out, _tset=("last", F.when(F.col("_set").isNotNull(), F.col("_tsum"))))
+    since = F.col("_tsum") - F.coalesce("_tset", F.lit(0))  # toggles after the last plain signal
+    out = out.withColumn("state", F.pmod(F.coalesce("_held", F.lit(0)) + since, F.lit(2)).cast("int"))
+    out = scan(out, _prev=("prev", F.col("state"))).withColumn("prev", F.coalesce("_prev", F.lit(0)))
+    enters, exits = (F.col("state") == 1) & (F.col("prev") == 0), (F.col("state") == 0) & (F.col("prev") == 1)
+    out = scan(scan(out, _e=("last", F.when(enters, F.col("close")))), entry=("prev", F.col("_e")))
+    gain = F.when(exits, 2 * F.log(1 - F.col("_c")) + F.log(F.col("close") / F.col("entry")))
     out = out.withColumn("_log", F.coalesce(gain, F.lit(0.0)))
-    out = out.withColumn("cap_before", F.col("_cap") * F.exp(F.coalesce(F.sum("_log").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
+    out = scan(out, _sum=("sum", F.col("_log"))).withColumn("cap_before", F.col("_cap") * F.exp(F.col("_sum") - F.col("_log")))
     keep = 1 - F.col("_c")
     long_now = F.col("cap_before") * keep * F.col("close") / F.col("entry")
-    enters, exits = (F.col("state") == 1) & (F.col("prev") == 0), (F.col("state") == 0) & (F.col("prev") == 1)
     out = out.withColumns({
         "equity_pre": F.when(F.col("prev") == 1, long_now).otherwise(F.col("cap_before")),
         "units": F.when(enters, F.col("cap_before") * keep / F.col("close")).when(F.col("prev") == 1, F.col("cap_before") * keep / F.col("entry")).otherwise(0.0),
         "equity_post": F.when(enters, F.col("cap_before") * keep).when(exits, long_now * keep).when(F.col("prev") == 1, long_now).otherwise(F.col("cap_before")),
-        "is_last": F.lead("ts").over(w).isNull(),
     })
     return out.drop(*(c for c in out.columns if c.startswith("_") and c not in rows.columns and c != "_c"))
 
@@ -62,11 +62,11 @@ def backtest(scored: DataFrame, params: DataFrame, warmup: int = WARMUP) -> Data
     """Per parameter set, symbol and bar from number ``warmup`` on: the ledger and ``equity`` (the last bar's is after its trade).
 
     ``scored``: symbol, ts, close, score (of the bars before). ``params``: param_id, initial_capital, transaction_cost,
-    prediction_threshold; it is as short as the list of settings to try, and sent to all tasks. Grids so give one window
+    prediction_threshold; how it is joined is left to Spark, which sends a short list to all tasks. Grids so give one window
     partition for each set and symbol. Series of ``warmup`` bars or fewer give no row.
     """
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
-    bars = scored.withColumn("_n", n).where(F.col("_n") > warmup).drop("_n").crossJoin(F.broadcast(params))
+    numbered = running(scored, ["symbol"], {"_n": ("sum", F.lit(1))})
+    bars = numbered.where(F.col("_n") > warmup).drop("_n").crossJoin(params)
     score, thr = F.col("score"), F.col("prediction_threshold")
     ok = score.isNotNull() & ~F.isnan(score)
     out = ledger(bars, ["param_id", "symbol"], ok & (score > thr), ok & (score < 1 - thr), F.col("initial_capital"), F.col("transaction_cost"))
@@ -88,19 +88,18 @@ def round_trips(bt: DataFrame) -> DataFrame:
     return bt.where(closed | open_).select("param_id", "symbol", "ts", entry.alias("entry_price"), F.col("close").alias("exit_price"), "units", pnl.alias("pnl"), open_.alias("is_open"))
 
 
-def drawdown(bt: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(Window.partitionBy("param_id", "symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return bt.select("param_id", "symbol", "ts", "equity", peak.alias("peak")).withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
+def drawdown(bt: DataFrame, bar: int | None = None) -> DataFrame:
+    out = running(bt.select("param_id", "symbol", "ts", "equity"), ["param_id", "symbol"], {"peak": ("max", F.col("equity"))}, bar)
+    return out.withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
 
 
-def metrics(bt: DataFrame, bars_per_year: float = 252 * 24 * 60) -> DataFrame:
+def metrics(bt: DataFrame, bars_per_year: float = 252 * 24 * 60, bar: int | None = None) -> DataFrame:
     """One row for each parameter set and symbol. ``sharpe`` is missing without returns or without variation; no trade gives 0 rates."""
-    w = Window.partitionBy("param_id", "symbol").orderBy("ts")
-    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = running(bt, ["param_id", "symbol"], {"_peak": ("max", F.col("equity")), "_was": ("prev", F.col("equity"))}, bar)
     entry = F.when(F.col("prev") == 1, F.col("entry")).otherwise(F.col("close"))
     trip = (F.col("state") < F.col("prev")) | (F.col("is_last") & (F.col("state") == 1))
     pnl = F.when(trip, (F.col("close") - entry) * F.col("units") - F.col("units") * F.col("close") * F.col("transaction_cost"))
-    rows = bt.withColumns({"_r": F.try_divide("equity", F.lag("equity").over(w)) - 1, "_dd": (F.col("equity") - peak) / peak, "_pnl": pnl})
+    rows = rows.withColumns({"_r": F.try_divide("equity", "_was") - 1, "_dd": (F.col("equity") - F.col("_peak")) / F.col("_peak"), "_pnl": pnl})
     g = rows.groupBy("param_id", "symbol").agg(
         F.first("initial_capital").alias("initial_capital"), F.max_by("equity", "ts").alias("final_capital"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"), F.min("_dd").alias("max_drawdown"),
         F.count_if((F.col("state") == 1) & (F.col("prev") == 0)).alias("n_trades"), F.count_if(F.col("_pnl") > 0).alias("wins"), F.count_if(F.col("_pnl") <= 0).alias("losses"),

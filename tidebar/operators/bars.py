@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,19 @@ def from_ticks(ticks: DataFrame, every: str = "1 hour") -> DataFrame:
     return g.select("symbol", F.col("w.start").alias("ts"), *OHLCV)
 
 
-def fill_gaps(bars: DataFrame, every: str = "5 minutes", policy: str = "ffill") -> DataFrame:
-    """Every bin between a series' first and last bar. Empty bins: ``zero`` has all columns 0, ``ffill`` the last close and no volume, ``none`` missing values."""
-    spine = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
+#: Bins that one row of the spine becomes.
+STRETCH = 4096
+
+
+def fill_gaps(bars: DataFrame, every: str = "5 minutes", policy: str = "ffill", parallel: str | None = None) -> DataFrame:
+    """Every bin between a series' first and last bar. Empty bins: ``zero`` has all columns 0, ``ffill`` the last close and no volume, ``none`` missing values.
+
+    Bins are made in stretches that are dealt out; ``parallel='chunk'`` fills forward chunk by chunk too.
+    """
+    ends = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    stretches = ends.select("symbol", "b", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every} * {STRETCH}"))).alias("a")).repartition("symbol", "a")
+    upto = F.least("b", F.col("a") + F.expr(f"INTERVAL {every} * {STRETCH - 1}"))
+    spine = stretches.select("symbol", F.explode(F.sequence("a", upto, F.expr(f"INTERVAL {every}"))).alias("ts"))
     wide = spine.join(bars, ["symbol", "ts"], "left")
     if policy == "none":
         return wide
@@ -34,7 +45,8 @@ def fill_gaps(bars: DataFrame, every: str = "5 minutes", policy: str = "ffill")
         return wide.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in OHLCV})
     if policy != "ffill":
         raise ValueError("policy is zero, ffill or none")
-    held = ffill(wide.withColumn("_c", F.col("close")), ["_c"])
+    bar = int(pd.Timedelta(every).total_seconds()) if parallel == "chunk" else None
+    held = ffill(wide.withColumn("_c", F.col("close")), ["_c"], bar)
     return held.withColumns({**{c: F.coalesce(c, "_c") for c in OHLCV[:4]}, "volume": F.coalesce("volume", F.lit(0.0))}).drop("_c")
 
 

@@ -20,7 +20,7 @@ def portfolio_value(positions: DataFrame) -> DataFrame:
 
 def largest_position(positions: DataFrame, universe: DataFrame) -> DataFrame:
     """The position of greatest market value of each account; ties go to the smaller priority number."""
-    rows = positions.join(F.broadcast(universe), "symbol")  # one row a symbol of the universe
+    rows = positions.join(universe, "symbol")  # Spark sends the universe to all tasks if it is short
     best = rows.groupBy("account").agg(F.max_by(F.struct("symbol", "qty", "market_value"), F.struct("market_value", -F.col("priority"))).alias("p"))
     return best.select("account", "p.*")
 
@@ -43,7 +43,7 @@ def size_order(price: Column, amount: float = ORDER_AMOUNT, most: float = MAX_TR
 
 def headroom_budget(candidates: DataFrame, totals: DataFrame, universe: DataFrame, cap: float = MAX_PORTFOLIO, amount: float = ORDER_AMOUNT) -> DataFrame:
     """Buy candidates (account, cycle, symbol) in the universe's order, marked ``accepted`` while the account has room for the amount."""
-    rows = candidates.join(F.broadcast(universe), "symbol").join(totals, "account", "left")
+    rows = candidates.join(universe, "symbol").join(totals, "account", "left")
     rank = F.row_number().over(Window.partitionBy("account", "cycle").orderBy("priority"))
     room = F.floor((F.lit(cap) - F.coalesce("total", F.lit(0.0))) / F.lit(amount))
     return rows.withColumn("accepted", (rank <= room) & (F.coalesce("total", F.lit(0.0)) < cap))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions.clean import FEATURE_COLS, FEATURE_DEFAULTS, bfill_leading, ensure_columns, ffill, fill_defaults, null_to_zero, project_features, scrub, series, to_numeric
@@ -17,39 +17,48 @@ from .bars import with_halo
 HALO, CHUNK = 20, 4096
 
 
-def add_features_v1(df: DataFrame, bar: int = HOUR, leak_free: bool = False, keep_inf: bool = False) -> DataFrame:
+def _cut(base: DataFrame, bar: int, parallel: str | None, rows: int) -> tuple[DataFrame, WindowSpec]:
+    """Rows and the window of the finite-memory features: by series, or by chunks with a halo."""
+    if parallel == "chunk":
+        return with_halo(base, bar, rows, HALO), series("symbol", "part")
+    if parallel:
+        raise ValueError("parallel is chunk or None")
+    return base, series()
+
+
+def _own(rows: DataFrame, parallel: str | None) -> DataFrame:
+    return rows.where("NOT is_halo").drop("part", "is_halo") if parallel else rows
+
+
+def add_features_v1(df: DataFrame, bar: int = HOUR, leak_free: bool = False, keep_inf: bool = False, parallel: str | None = None, rows: int = CHUNK) -> DataFrame:
     """Wilder RSI and ATR, MACD line, band width in percent; gaps filled forward, then backward (``leak_free``: by defaults).
 
     If an OHLCV column is absent every feature is its default. ``keep_inf`` keeps infinite returns where a price leaves 0.
-    Exponential averages read missing prices as the last one before (0 at the start of a series).
+    Exponential averages read missing prices as the last one before (0 at the start of a series). ``parallel='chunk'`` cuts
+    series without gaps into chunks of ``rows`` bars, fills included.
     """
     if any(c not in df.columns for c in OHLCV):
         return ensure_columns(df, "defaults")
-    base = to_numeric(df).withColumn("_raw", raw_change("close"))
-    base = base.withColumn("returns", pct_change_inf("close") if keep_inf else F.coalesce("_raw", F.lit(0.0)))
-    base = ind.with_moves(base).withColumn("vol_14", rolling_std("_raw", 14)).withColumn("bb_width", ind.bb_width_pct())
-    safe = ffill(base.withColumn("_close", F.col("close")), ["close"]).withColumn("close", F.coalesce("close", F.lit(0.0))).withColumn("tr", F.coalesce("tr", F.lit(0.0)))
+    base, w = _cut(to_numeric(df), bar, parallel, rows)
+    base = base.withColumn("_raw", raw_change("close", w))
+    base = base.withColumn("returns", pct_change_inf("close", w) if keep_inf else F.coalesce("_raw", F.lit(0.0)))
+    base = _own(ind.with_moves(base, w).withColumn("vol_14", rolling_std("_raw", 14, w)).withColumn("bb_width", ind.bb_width_pct(w=w)), parallel)
+    by_chunk = bar if parallel else None
+    safe = ffill(base.withColumn("_close", F.col("close")), ["close"], by_chunk).withColumn("close", F.coalesce("close", F.lit(0.0))).withColumn("tr", F.coalesce("tr", F.lit(0.0)))
     out = ind.v1_averages(safe, bar).withColumn("close", F.col("_close"))
-    filled = ffill(out, FEATURE_COLS)
+    filled = ffill(out, FEATURE_COLS, by_chunk)
     return project_features(fill_defaults(filled if leak_free else bfill_leading(filled, FEATURE_COLS)))
 
 
-def add_features_v2(df: DataFrame, bar: int = HOUR, parallel: str | None = None) -> DataFrame:
+def add_features_v2(df: DataFrame, bar: int = HOUR, parallel: str | None = None, rows: int = CHUNK) -> DataFrame:
     """Plain-average RSI and ATR, MACD histogram, band width as a ratio; never filled from other rows.
 
     ``parallel='chunk'`` cuts long series into chunks with a halo, so that one series runs on many tasks.
     """
-    base = null_to_zero(ensure_columns(df, "zero"))
-    w = series()
-    if parallel == "chunk":
-        base, w = with_halo(base, bar, CHUNK, HALO), series("symbol", "part")
-    elif parallel:
-        raise ValueError("parallel is chunk or None")
-    rows = ind.with_moves(base.withColumn("_raw", raw_change("close", w)), w)
-    rows = rows.withColumns({"returns": F.coalesce("_raw", F.lit(0.0)), "vol_14": rolling_std("_raw", 14, w), "rsi": ind.rsi_sma(14, w), "atr": ind.atr_sma(14, w), "bb_width": ind.bb_width_ratio(20, 2.0, w)})
-    if parallel:
-        rows = rows.where("NOT is_halo").drop("part", "is_halo")
-    out = scrub(ind.macd_hist(rows, bar=bar), FEATURE_COLS[5:])
+    base, w = _cut(null_to_zero(ensure_columns(df, "zero")), bar, parallel, rows)
+    full = ind.with_moves(base.withColumn("_raw", raw_change("close", w)), w)
+    full = full.withColumns({"returns": F.coalesce("_raw", F.lit(0.0)), "vol_14": rolling_std("_raw", 14, w), "rsi": ind.rsi_sma(14, w), "atr": ind.atr_sma(14, w), "bb_width": ind.bb_width_ratio(20, 2.0, w)})
+    out = scrub(ind.macd_hist(_own(full, parallel), bar=bar), FEATURE_COLS[5:])
     return project_features(out)
 
 

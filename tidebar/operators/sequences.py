@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.clean import FEATURE_COLS, finite, series
 from tidebar.functions.ewm import HOUR, Ewm, ewm, span
+from tidebar.functions.scan import running
 from tidebar.functions.windows import rolling_mean, sigmoid
 
-from .bars import tail
+from .bars import tail, with_halo
+from .features import CHUNK
 from .indicators import with_moves
 
 LENGTH, LOOKBACK = 32, 100
@@ -37,23 +39,28 @@ def sequence_sliding(features: DataFrame, n: int = LENGTH, cols: Sequence[str] =
     return features.select("symbol", "ts", F.collect_list(_step(cols)).over(frame).alias("seq")).where(F.size("seq") == n)
 
 
-def sequence_lookback(features: DataFrame, lookback: int = LOOKBACK, n: int = LENGTH, bar: int = HOUR, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+def sequence_lookback(features: DataFrame, lookback: int = LOOKBACK, n: int = LENGTH, bar: int = HOUR, fast: int = 12, slow: int = 26, signal: int = 9, parallel: str | None = None, rows: int = CHUNK) -> DataFrame:
     """One matrix for each bar from the second feature set as computed over the ``lookback`` bars before it, the bar itself left out.
 
     Only the histogram remembers further back than the n steps allow. Started anew at each window's first bar s it is, with
     the unseeded scans Y and Z (of Y fast - Y slow) and d = t - s + 1: E(t) = Y(t) + q^d (x(s) - Y(s-1)), and for the
-    signal Z(t) - p^d Z(s-1) plus a geometric sum for each start term. So no window is recomputed.
+    signal Z(t) - p^d Z(s-1) plus a geometric sum for each start term. So no window is recomputed. ``parallel='chunk'`` cuts series without gaps into chunks
+    of ``rows`` bars, each with the bars before it that its first windows reach.
     """
     scans = ewm(features, [Ewm("yf", "close", span(fast), "adjusted"), Ewm("ys", "close", span(slow), "adjusted")], bar)
-    w = series()
-    i = F.row_number().over(w)
     unseed = lambda c, a: F.col(c) * (1 - F.pow(F.lit(1 - a), F.col("_n")))  # noqa: E731  back from normalised weights
-    scans = scans.withColumn("_n", i).withColumns({"yf": unseed("yf", span(fast)), "ys": unseed("ys", span(slow))}).withColumn("ym", F.col("yf") - F.col("ys"))
+    scans = running(scans, ["symbol"], {"_n": ("sum", F.lit(1))}, bar if parallel else None).withColumns({"yf": unseed("yf", span(fast)), "ys": unseed("ys", span(slow))}).withColumn("ym", F.col("yf") - F.col("ys"))
     scans = ewm(scans, [Ewm("z", "ym", span(signal), "adjusted")], bar).withColumn("z", unseed("z", span(signal)))
+    w = series("symbol", "part") if parallel == "chunk" else series()
+    if parallel == "chunk":
+        scans = with_halo(scans, bar, rows, lookback + 1)
+    elif parallel:
+        raise ValueError("parallel is chunk or None")
     steps = F.struct(*(c for c in FEATURE_COLS), "yf", "ys", "ym", "z")
     lag0 = lambda c: F.coalesce(F.lag(c, lookback + 1).over(w), F.lit(0.0))
     start = F.lag("close", lookback).over(w)
-    rows = scans.select("symbol", "ts", "_n", F.collect_list(steps).over(w.rowsBetween(-n, -1)).alias("steps"), (start - lag0("yf")).alias("af"), (start - lag0("ys")).alias("as_"), lag0("z").alias("z0")).where(F.col("_n") > lookback)
+    own = ~F.col("is_halo") if parallel else F.lit(True)
+    rows = scans.select("symbol", "ts", "_n", own.alias("own"), F.collect_list(steps).over(w.rowsBetween(-n, -1)).alias("steps"), (start - lag0("yf")).alias("af"), (start - lag0("ys")).alias("as_"), lag0("z").alias("z0")).where((F.col("_n") > lookback) & F.col("own"))
     qf, qs, p = 1 - span(fast), 1 - span(slow), 1 - span(signal)
 
     def histogram(x: Column, k: Column) -> Column:

@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions import clean, windows
+from tidebar.functions import clean, scan, windows
 from tidebar.functions.ewm import HOUR, Ewm, ewm, reseed, span
 from tidebar.operators import backtest as bt
 from tidebar.operators import bars as bar_ops
 from tidebar.operators import decide, features, indicators, sequences
+from tidebar.sources import bars as io
 from tidebar.sources.bars import OHLCV, ticks
 from tidebar.streaming import jobs
 
@@ -108,13 +109,16 @@ def bars_latest(spark, d):
 
 @query
 def bars_min_rows(spark, d):
-    return rounded(clean.min_rows(_bars(spark, d), 101), *OHLCV)
+    """Of the series of events that are cut after 40, 80, ... bars by their names, those of 101 bars or more."""
+    bars = _bars(spark, d)
+    short = bars.join(_universe(bars), "symbol").withColumn("_n", F.row_number().over(clean.series())).where(F.col("_n") <= 40 * F.col("priority"))
+    return rounded(clean.min_rows(short.drop("_n", "priority"), 101), *OHLCV)
 
 
 @query
 def bars_universe(spark, d):
     bars = _bars(spark, d)
-    return rounded(clean.universe(bars, F.broadcast(_universe(bars).where("priority <= 3"))), *OHLCV)
+    return rounded(clean.universe(bars, _universe(bars).where("priority <= 3")), *OHLCV)
 
 
 @query
@@ -194,6 +198,14 @@ def rolling_std(spark, d):
     return zero.select("symbol", "ts", r6(windows.rolling_std("raw", 14)).alias("std_14"))
 
 
+@query
+def running_chunked(spark, d):
+    """Greatest, summed, last and previous values chunk by chunk."""
+    gappy = bar_ops.fill_gaps(_bars(spark, d), EVERY, "none")
+    specs = {"peak": ("max", F.col("close")), "total": ("sum", F.col("volume")), "held": ("last", F.col("close")), "before": ("prev", F.col("close")), "is_last": ("end", F.lit(True))}
+    return rounded(scan.running(gappy, ["symbol"], specs, HOUR, 100).select("symbol", "ts", *specs), "peak", "total", "held", "before")
+
+
 @query
 def expanding_max(spark, d):
     return _filled(spark, d).select("symbol", "ts", r6(windows.expanding_max("close")).alias("peak"))
@@ -296,28 +308,51 @@ def features_v2_chunked(spark, d):
     return rounded(features.add_features_v2(_filled(spark, d), parallel="chunk"), *clean.FEATURE_COLS)
 
 
+@query
+def features_v1_chunked(spark, d):
+    filled = bar_ops.fill_gaps(_bars(spark, d), EVERY, "ffill", parallel="chunk")
+    return rounded(features.add_features_v1(filled, parallel="chunk", rows=256), *clean.FEATURE_COLS)
+
+
+@query
+def clean_empty(spark, d):
+    """No rows in, no rows out, with every feature's column."""
+    none = _bars(spark, d).where("volume < 0")
+    return features.add_features_v1(none).union(features.add_features_v2(none))
+
+
+@query
+def clean_strip_tz(spark, d):
+    zoned = _bars(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return rounded(clean.strip_tz(zoned), *OHLCV)
+
+
 # Sequences and scores
 
 
-def _summed(df: DataFrame) -> DataFrame:
-    total = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 3))
-    return df.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), F.round(total, 3).alias("total"), F.round(F.element_at("seq", 1)[3].cast("double"), 3).alias("first_close"))
+def _cells(df: DataFrame) -> DataFrame:
+    """A row for each step of each matrix, with all its cells."""
+    steps = df.select("symbol", "ts", F.posexplode("seq").alias("step", "x"))
+    return steps.select("symbol", "ts", F.col("step").cast("long").alias("step"), *((F.round(F.col("x")[k].cast("double"), 3) + F.lit(0.0)).alias(c) for k, c in enumerate(clean.FEATURE_COLS)))
 
 
 @query
 def seq_tail(spark, d):
-    return _summed(sequences.sequence_tail(_v2(spark, d)))
+    return _cells(sequences.sequence_tail(_v2(spark, d)))
 
 
 @query
 def seq_sliding(spark, d):
-    return _summed(sequences.sequence_sliding(_v2(spark, d)))
+    return _cells(sequences.sequence_sliding(_v2(spark, d)))
+
+
+def _macds(seq: DataFrame) -> DataFrame:
+    return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), (F.round(F.element_at("seq", -1)[8].cast("double"), 3) + F.lit(0.0)).alias("last_macd"), (F.round(F.element_at("seq", 1)[8].cast("double"), 3) + F.lit(0.0)).alias("first_macd"))
 
 
 @query
 def seq_lookback(spark, d):
-    seq = sequences.sequence_lookback(_v2(spark, d))
-    return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), (F.round(F.element_at("seq", -1)[8].cast("double"), 3) + F.lit(0.0)).alias("last_macd"), (F.round(F.element_at("seq", 1)[8].cast("double"), 3) + F.lit(0.0)).alias("first_macd"))
+    return _macds(sequences.sequence_lookback(_v2(spark, d)))
 
 
 @query
@@ -360,7 +395,7 @@ def score_numpy(spark, d):
     import numpy as np
 
     seq = sequences.sequence_sliding(_v2(spark, d))
-    scorer = sequences.numpy_scorer(lambda: lambda x: 1 / (1 + np.exp(-20 * x[:, -1, 5] - (x[:, -1, 7] - 50) / 50)))
+    scorer = sequences.numpy_scorer(lambda: lambda x: 1 / (1 + np.exp(-20 * x[:, -1, 5].astype(float) - (x[:, -1, 7].astype(float) - 50) / 50)))
     return seq.select("symbol", "ts", r6(scorer(F.col("seq"))).alias("score"))
 
 
@@ -413,6 +448,11 @@ def bt_equity(spark, d):
     return _tested(spark, d).select("symbol", "ts", ln6("equity").alias("ln_equity"))
 
 
+@query
+def bt_drawdown_chunked(spark, d):
+    return bt.drawdown(_tested(spark, d), HOUR).select("symbol", "ts", r6("drawdown").alias("drawdown"))
+
+
 @query
 def bt_trades(spark, d):
     return bt.trade_log(_tested(spark, d)).select("symbol", "ts", "type", r6("price").alias("price"), ln6("units").alias("ln_units"), ln6("equity").alias("ln_equity"))
@@ -442,10 +482,13 @@ def bt_metrics_fmt(spark, d):
     return bt.format_metrics(bt.metrics(_tested(spark, d))).drop("param_id")
 
 
+def _grid(m: DataFrame) -> DataFrame:
+    return m.select(F.col("param_id").cast("long").alias("param_id"), "symbol", ln6("final_capital").alias("ln_final"), r6("max_drawdown").alias("max_drawdown"), "n_trades")
+
+
 @query
 def bt_grid(spark, d):
-    m = bt.metrics(_tested(spark, d, 100))
-    return m.select(F.col("param_id").cast("long").alias("param_id"), "symbol", ln6("final_capital").alias("ln_final"), r6("max_drawdown").alias("max_drawdown"), "n_trades")
+    return _grid(bt.metrics(_tested(spark, d, 100)))
 
 
 def _replayed(spark, d, reward="portfolio_return"):
@@ -507,8 +550,8 @@ def order_size(spark, d):
 def headroom_budget(spark, d):
     p = _positions(spark, d)
     totals = decide.portfolio_value(p)
-    candidates = p.select("account", F.lit(1).alias("cycle"), "symbol")
-    return decide.headroom_budget(candidates, totals, _universe(p), CAP, AMOUNT).select("account", "symbol", "accepted")
+    candidates = p.select("account", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("cycle"), "symbol", "qty").where("pmod(qty, cycle) = 0").drop("qty")
+    return decide.headroom_budget(candidates, totals, _universe(p), CAP, AMOUNT).select("account", "cycle", "symbol", "accepted")
 
 
 def _scored_ticks(t: DataFrame) -> DataFrame:
@@ -535,6 +578,62 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+# Sources and sinks: what is written is read again
+
+
+@query
+def io_bars(spark, d):
+    """Bars as three formats and as a stream of files, each read with its types."""
+    path = _folder(spark)
+    bars = _bars(spark, d)
+    for fmt in ("parquet", "csv", "json"):
+        bars.write.format(fmt).save(f"{path}/{fmt}")
+    read = [io.read_bars(spark, f"{path}/{fmt}", fmt).withColumn("via", F.lit(fmt)) for fmt in ("parquet", "csv", "json")]
+    streamed = jobs.drain(io.stream_bars(spark, f"{path}/parquet"), f"{path}/drained").withColumn("via", F.lit("stream"))
+    return rounded(read[0].union(read[1]).union(read[2]).union(streamed), *OHLCV)
+
+
+@query
+def io_positions(spark, d):
+    """Holdings of which some quantities are 0."""
+    path = _folder(spark)
+    _positions(spark, d).withColumn("qty", F.col("qty") - 1).write.parquet(path)
+    return io.read_positions(spark, path)
+
+
+@query
+def io_trades(spark, d):
+    path = _folder(spark)
+    io.write_trades(bt.trade_log(_tested(spark, d)), f"{path}/trades")
+    t = spark.read.parquet(f"{path}/trades")
+    return t.select("symbol", "ts", "type", r6("price").alias("price"), ln6("units").alias("ln_units"), ln6("equity").alias("ln_equity"))
+
+
+@query
+def io_order_intents(spark, d):
+    path = _folder(spark)
+    p = _positions(spark, d)
+    io.write_order_intents(decide.over_cap_liquidate(p, _universe(p), CAP), path)
+    return spark.read.parquet(path).groupBy("symbol", "side").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+
+
+@query
+def stream_dedupe(spark, d):
+    """One tick of each account and symbol an hour; which one is left open, so its cycle is what is compared."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    marked = raw.select(F.pmod("user_id", F.lit(5)).alias("account"), F.col("event_type").alias("symbol"), "ts")
+    out = jobs.drain(jobs.dedupe_ticks(marked, "60 minutes", "40 days"), _folder(spark))
+    return out.select("account", "symbol", F.col("cycle").cast("timestamp_ntz").alias("cycle"))
+
+
+@query
+def stream_features(spark, d):
+    """The second feature set kept up from a stream of ticks: each micro-batch's bars are written, and the table is featured anew."""
+    path = _folder(spark)
+    return rounded(jobs.feature_table(_stream(spark, d), path, EVERY), *clean.FEATURE_COLS)
+
+
 @query
 def stream_bars(spark, d):
     return rounded(jobs.drain(jobs.stream_ohlcv(_stream(spark, d), EVERY), _folder(spark)), *OHLCV)

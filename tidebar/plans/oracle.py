@@ -132,8 +132,8 @@ run AS (
   CASE WHEN k.now < r.until THEN NULL WHEN r.held AND k.score < 0.61 THEN 'SELL' WHEN NOT r.held AND k.score > 0.63 THEN 'BUY' END
  FROM run r JOIN tk k ON k.symbol = r.symbol AND k.n = r.n + 1)"""
 
-_SUMMED = "CAST(32 AS BIGINT) AS steps, round(total, 3) AS total, round(CAST(CAST(first_close AS FLOAT) AS DOUBLE), 3) AS first_close"
-_ROWSUM = " + ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 3)" for c in FEATURES)
+_CELLS = ", ".join(f"round(CAST(CAST(x.{c} AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS {c}" for c in FEATURES)
+_MATRIX = f"SELECT e.symbol, e.ts, x.n - e.n + 31 AS step, {_CELLS} FROM (SELECT symbol, ts, n, max(n) OVER (PARTITION BY symbol) AS last_n FROM v2) e JOIN v2 x ON x.symbol = e.symbol AND x.n BETWEEN e.n - 31 AND e.n WHERE e.n >= 32"
 
 _V1 = f"""{_GAPS}, {_i("g")}, {_REC},
 f AS (SELECT i.symbol, i.ts, i.n, i.open, i.high, i.low, i.close, i.volume, coalesce(i.raw, 0.0) AS returns, {_std("raw", 14).replace("symbol", "i.symbol").replace("BY ts", "BY i.ts")} AS vol_14,
@@ -167,7 +167,7 @@ ORACLE_SQL = {
     "bars_tail": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k <= 32"),
     "bars_limit": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars) WHERE k <= 500"),
     "bars_latest": _sql(_BARS, "SELECT symbol, max(b.ts) AS ts, round(arg_max(close, b.ts), 6) AS close, round(arg_max(volume, b.ts), 6) AS volume FROM bars b GROUP BY 1"),
-    "bars_min_rows": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 101)"),
+    "bars_min_rows": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, dense_rank() OVER (ORDER BY symbol) AS p FROM bars) WHERE k <= 40 * p AND p > 2 AND symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 101)"),
     "bars_universe": _sql(_BARS, f"SELECT b.symbol, ts, {_r(*OHLCV)}, CAST(priority AS INTEGER) AS priority FROM bars b JOIN (SELECT symbol, row_number() OVER (ORDER BY symbol) AS priority FROM (SELECT DISTINCT symbol FROM bars)) u ON b.symbol = u.symbol WHERE priority <= 3"),
     "orders_daily": "SELECT o_orderpriority AS symbol, time_bucket(INTERVAL '1 day', o.o_orderdate) AS ts, round(first(o_totalprice ORDER BY o_orderdate, o_orderkey), 6) AS open, round(max(o_totalprice), 6) AS high, round(min(o_totalprice), 6) AS low, round(last(o_totalprice ORDER BY o_orderdate, o_orderkey), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders o WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
     "clean_numeric": _sql(_DIRTY, "SELECT symbol, ts, event_id, round(open, 6) + 0.0::DOUBLE AS open FROM dn"),
@@ -198,8 +198,8 @@ ORACLE_SQL = {
     "features_v1": _sql(_V1, f"SELECT symbol, ts, {_r('open', 'high', 'low', 'close', 'volume', 'returns')}, {_filled('vol_14', '0.0')}, {_filled('rsi', '50.0')}, {_filled('macd', '0.0')}, {_filled('atr', '0.0')}, {_filled('bb_width', '0.0')} FROM f"),
     "features_v2": _sql(_F2, f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
     "features_v2_chunked": _sql(_F2, f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
-    "seq_tail": _sql(_F2, f"SELECT symbol, ts, {_SUMMED} FROM (SELECT symbol, ts, n, max(n) OVER (PARTITION BY symbol) AS last_n, sum({_ROWSUM}) OVER w AS total, first_value(close) OVER w AS first_close FROM v2 WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 31 PRECEDING)) WHERE n = last_n AND n >= 32"),
-    "seq_sliding": _sql(_F2, f"SELECT symbol, ts, {_SUMMED} FROM (SELECT symbol, ts, n, sum({_ROWSUM}) OVER w AS total, first_value(close) OVER w AS first_close FROM v2 WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 31 PRECEDING)) WHERE n >= 32"),
+    "seq_tail": _sql(_F2, f"{_MATRIX} AND e.n = e.last_n"),
+    "seq_sliding": _sql(_F2, _MATRIX),
     "seq_lookback": _sql(_LOOK, "SELECT symbol, ts, CAST(32 AS BIGINT) AS steps, round(CAST(CAST(max(macd) FILTER (t = i - 1) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS last_macd, round(CAST(CAST(max(macd) FILTER (t = i - 32) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS first_macd FROM h GROUP BY 1, 2"),
     "scaler_fit": _sql(_F2, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) + 0.0::DOUBLE AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) + 0.0::DOUBLE AS std FROM v2" for c in FEATURES)),
     "scaler_apply": _sql(_F2, f"SELECT symbol, ts, {', '.join(_x(f'({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)', c) for c in FEATURES)} FROM v2"),
@@ -222,8 +222,22 @@ ORACLE_SQL = {
     "largest_position": _sql(_POS, "SELECT * FROM big"),
     "cap_liquidate": _sql(_POS, "SELECT account, symbol, 'SELL' AS side, qty FROM big JOIN tot USING (account) WHERE total >= 1500000.0"),
     "order_size": _sql(_BARS, f"SELECT symbol || 'USD' AS symbol, ts, {_x('CASE WHEN close > 0 AND 50.0 / close * close <= 100 THEN 50.0 / close END', 'qty')} FROM bars"),
-    "headroom_budget": _sql(_POS, "SELECT account, symbol, row_number() OVER (PARTITION BY account ORDER BY priority) <= floor((1500000.0 - total) / 200000.0) AND total < 1500000.0 AS accepted FROM pos JOIN uni USING (symbol) JOIN tot USING (account)"),
+    "headroom_budget": _sql(_POS, "SELECT account, cycle, symbol, row_number() OVER (PARTITION BY account, cycle ORDER BY priority) <= floor((1500000.0 - total) / 200000.0) AND total < 1500000.0 AS accepted FROM pos JOIN uni USING (symbol) JOIN tot USING (account) CROSS JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS cycle) WHERE qty % cycle = 0"),
     "decide_cooldown": _sql(_COOL, "SELECT symbol, ts, seq, side FROM run WHERE side IS NOT NULL"),
     "stream_bars": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM bars WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"),
     "stream_decide": _sql(_COOL, "SELECT symbol, ts, seq, side FROM run WHERE side IS NOT NULL"),
 }
+_OF = "PARTITION BY symbol ORDER BY ts"
+_AGO = "WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"
+# Queries that reach the rows of another in a different way, and those of what was written and read again.
+ORACLE_SQL |= {name: ORACLE_SQL[of] for name, of in (("features_v1_chunked", "features_v1"), ("bt_drawdown_chunked", "bt_drawdown"), ("clean_strip_tz", "bars_resample"), ("io_trades", "bt_trades"))}
+ORACLE_SQL |= {
+    "running_chunked": _sql(_GAPS, f"SELECT symbol, ts, {_x(f'max(close) OVER ({_OF} ROWS UNBOUNDED PRECEDING)', 'peak')}, {_x(f'coalesce(sum(volume) OVER ({_OF} ROWS UNBOUNDED PRECEDING), 0.0)', 'total')}, {_x(f'last_value(close IGNORE NULLS) OVER ({_OF} ROWS UNBOUNDED PRECEDING)', 'held')}, {_x(f'lag(close) OVER ({_OF})', 'before')}, lead(ts) OVER ({_OF}) IS NULL AS is_last FROM g0"),
+    "clean_empty": _sql(_BARS, f"SELECT symbol, ts, {', '.join(f'0.0::DOUBLE AS {c}' for c in FEATURES)} FROM bars WHERE volume < 0"),
+    "score_numpy": _sql(_F2, f"SELECT symbol, ts, {_x('1 / (1 + exp(-20 * CAST(CAST(returns AS FLOAT) AS DOUBLE) - (CAST(CAST(rsi AS FLOAT) AS DOUBLE) - 50) / 50))', 'score')} FROM v2 WHERE n >= 32"),
+    "io_bars": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)}, unnest(['parquet', 'csv', 'json', 'stream']) AS via FROM bars"),
+    "io_positions": _sql(_POS, "SELECT account, symbol, qty - 1 AS qty, market_value FROM pos WHERE qty > 1"),
+    "io_order_intents": _sql(_POS, "SELECT symbol, 'SELL' AS side, count(*) AS n, sum(qty) AS qty FROM big JOIN tot USING (account) WHERE total >= 1500000.0 GROUP BY 1"),
+    "stream_dedupe": "SELECT DISTINCT user_id % 5 AS account, event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS cycle FROM events",
+    "stream_features": _sql(f"{_BARS.replace('bars AS (', 'bars0 AS (')}, bars AS (SELECT * FROM bars0 {_AGO}){_GAPS.removeprefix(_BARS)}, {_v2('g')}", f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
+}

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidebar.operators.bars import from_ticks
-from tidebar.operators.decide import step
+from tidebar.operators.bars import fill_gaps, from_ticks
+from tidebar.operators.decide import can_act, step
+from tidebar.operators.features import add_features_v2
 
 DELAY = "10 minutes"
 
@@ -26,7 +27,7 @@ def stream_decide(ticks: DataFrame) -> DataFrame:
 
     def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, until = state.get if state.exists else (False, float("-inf"))
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
+        rows = pd.concat(batches).sort_values(["ts", "seq"])  # of one micro-batch, and only those that may act
         sides = []
         for now, score in zip(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["score"], strict=True):
             side, held, until = step(held, until, now, score)
@@ -35,7 +36,7 @@ def stream_decide(ticks: DataFrame) -> DataFrame:
         out = rows[["symbol", "ts", "seq"]].assign(side=sides)
         yield out[out["side"].notna()]
 
-    return ticks.select("symbol", "ts", "seq", "score").groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp_ntz, seq long, side string", "held boolean, until double", "append", GroupStateTimeout.NoTimeout)
+    return ticks.select("symbol", "ts", "seq", "score").where(can_act(F.col("score"))).groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp_ntz, seq long, side string", "held boolean, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedupe_ticks(ticks: DataFrame, cycle: str = "60 seconds", delay: str = DELAY) -> DataFrame:
@@ -44,6 +45,29 @@ def dedupe_ticks(ticks: DataFrame, cycle: str = "60 seconds", delay: str = DELAY
     return marked.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["account", "symbol", "cycle"])
 
 
+def feature_table(ticks: DataFrame, path: str, every: str = "1 hour", back: int = 200, delay: str = DELAY) -> DataFrame:
+    """The second feature set over the bars of a stream, as ``foreachBatch`` keeps it up under ``path``.
+
+    Row windows don't run on streams. So closed bars go to a table, and each micro-batch features its own bars with the
+    ``back`` bars of each symbol before them: its exponential averages forget in fewer. Reads what there is now.
+    """
+    spark, bar = ticks.sparkSession, int(pd.Timedelta(every).total_seconds())
+
+    def run(new: DataFrame, batch: int) -> None:
+        if new.isEmpty():
+            return
+        new.write.mode("overwrite").parquet(f"{path}/bars/batch={batch}")
+        first = new.agg(F.min("ts").alias("_first"))
+        known = spark.read.schema(new.schema).parquet(f"{path}/bars/*").crossJoin(first)
+        recent = known.where(F.col("ts") >= F.col("_first") - F.expr(f"INTERVAL {every} * {back}"))
+        out = add_features_v2(fill_gaps(recent.drop("_first"), every), bar).crossJoin(first).where(F.col("ts") >= F.col("_first")).drop("_first")
+        out.write.mode("overwrite").parquet(f"{path}/features/batch={batch}")
+
+    query = stream_ohlcv(ticks, every, delay).writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/features/*")
+
+
 def drain(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over all that is there now, into Parquet under ``path``, and read the result."""
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()

@@ -257,7 +257,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _alike(_meeting(apart.join(sets.select("fp", "n", "buckets"), "fp"), part), sets, uri)
 
     folder.fs.delete_dir(folder.root)  # both kinds of links stand in the shared folder now
-    named = classes.join(components(near.union(more)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    trees = roots.select(F.col("root").alias("a"), F.col("fp").alias("b"))  # what is connected already, as trees of depth one
+    named = classes.join(components(trees.union(more)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     place = lambda of: [F.coalesce(of, F.lit(0).cast("long")).alias("id0"), F.col(of).isNull().alias("no_id"), F.col("th")]
     names = ["id0", "no_id", "th"]
     kept = cut(named.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.th").select(*place("id"), F.lit(True).alias("stays")))

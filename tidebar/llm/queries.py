@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, chat, licenses, lm, minhash, mixing, pii, simhash, toxicity
+from . import ann, bpe, chat, licenses, lm, minhash, mixing, pii, simhash, toxicity, turns
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -17,11 +17,13 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
     "op10_ann": ann.query,
+    "op11_turns": turns.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op6_chat": chat.SQL,
+    "op11_turns": turns.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

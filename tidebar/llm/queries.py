@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, bytebpe, chat, licenses, lm, minhash, mixing, pii, simhash, toxicity, turns
+from . import ann, bpe, bytebpe, chat, licenses, lm, minhash, mixing, pii, search, simhash, toxicity, turns
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_ann": ann.query,
     "op11_turns": turns.query,
+    "op12_search": search.query,
     "op13_byte_bpe": bytebpe.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -25,6 +26,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_chat": chat.SQL,
     "op11_turns": turns.SQL,
+    "op12_search": search.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

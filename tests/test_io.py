@@ -62,6 +62,57 @@ def test_stream_of_files_is_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_features_onward_equal_the_whole_series(spark, tmp_path):
+    """Four files, one a trigger: a gap over a batch's end, a symbol that comes late, one that stops, one with a single tick."""
+    from tidebar.functions.clean import FEATURE_COLS
+    from tidebar.operators.bars import fill_gaps
+    from tidebar.operators.features import add_features_v2
+
+    at = lambda h, m=0: T0 + dt.timedelta(hours=h, minutes=m)
+    rows = [("a", at(h, m), 100 + (h * 7 + m) % 13 + 0.25 * (h % 5), 1.0, 0) for h in range(260) for m in (1, 40) if not 96 <= h < 113]
+    rows += [("b", at(h, 5), 50 + (h * h) % 11, 1.0, 0) for h in range(120, 260, 3)] + [("c", at(h, 9), 10 + h % 4, 1.0, 0) for h in range(60)] + [("d", at(70), 5.0, 1.0, 0)] + [("z", at(300), 1.0, 1.0, 0)]
+    rows = [(r[0], r[1], float(r[2]), r[3], i) for i, r in enumerate(sorted(rows, key=lambda r: r[1]))]
+    files(spark, rows, 4, f"{tmp_path}/in")
+    stream = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = jobs.feature_table(stream, f"{tmp_path}/out")
+    bars = fill_gaps(from_ticks(spark.createDataFrame(rows, TICKS)).where("symbol <> 'z'"), "1 hour")
+    want = add_features_v2(bars)
+    key, cols = ["symbol", "ts"], list(FEATURE_COLS)
+    a, b = (df.select(*key, *cols).orderBy(*key).toPandas() for df in (got, want))
+    assert a[key].equals(b[key]) and abs(a[cols] - b[cols]).max().max() < 1e-9
+    batches = sum(1 for b in os.listdir(f"{tmp_path}/out/bars") if b.startswith("batch="))
+    assert batches >= 4
+    state = {r["symbol"]: r for r in spark.read.schema(jobs.STATE).parquet(f"{tmp_path}/out/state/{(batches - 1) % 2}").collect()}
+    assert sorted(state) == ["a", "b", "c", "d"] and len(state["a"]["tail"]) == 20 and len(state["d"]["tail"]) == 1 and state["c"]["ts"] == at(59)
+
+
+def test_sequences_onward_equal_the_whole_series(spark):
+    from tidebar.operators.features import add_features_v2
+    from tidebar.operators.sequences import sequence_lookback
+
+    bars = from_ticks(spark.createDataFrame([("a", T0 + dt.timedelta(hours=h), 100.0 + (h * 7) % 13 + 0.25 * (h % 5), 1.0, h) for h in range(150)], TICKS)).cache()
+    state, got = spark.createDataFrame([], jobs.STATE), {}
+    for end in (90, 130, 150):
+        rows = jobs.joined_to_state(bars.where(F.col("ts") < F.lit(T0 + dt.timedelta(hours=end))), state, "1 hour")
+        done = jobs.features_onward(rows, 3600).checkpoint()
+        got |= {r["ts"]: [[round(x, 3) for x in s] for s in r["seq"]] for r in jobs.sequences_onward(state, done, 100, 3600).collect()}
+        state = jobs.next_state(state, done, 100).checkpoint()
+    want = {r["ts"]: [[round(x, 3) for x in s] for s in r["seq"]] for r in sequence_lookback(add_features_v2(bars)).collect()}
+    assert got == want and len(want) == 50
+
+
+def test_a_batch_run_again_is_the_same(spark):
+    state = spark.createDataFrame([], jobs.STATE)
+    bars = from_ticks(spark.createDataFrame(ticks(300), TICKS)).checkpoint()
+    first = jobs.features_onward(jobs.joined_to_state(bars.where("ts < '2024-01-01 20:00'"), state, "1 hour"), 3600).checkpoint()
+    after = jobs.next_state(state, first, 20).checkpoint()
+    again = jobs.joined_to_state(bars, after, "1 hour")  # bars seen before are left out
+    assert again.where("is_new").agg(F.min("ts")).first()[0] == T0 + dt.timedelta(hours=20)
+    nothing = jobs.features_onward(jobs.joined_to_state(bars.where("false"), after, "1 hour"), 3600).checkpoint()
+    none = jobs.next_state(after, nothing, 20)
+    assert sorted(map(str, none.collect())) == sorted(map(str, after.collect()))
+
+
 def test_stateful_decisions_over_batches(spark, tmp_path):
     from tidebar.operators import decide
 

@@ -77,6 +77,27 @@ def test_chunked_is_unchunked(spark):
         close(a[c], b[c])
 
 
+def spaced(rows, minutes, keep=lambda i: True):
+    """The rows with other times, and some of them left out."""
+    return [(r[0], T0 + dt.timedelta(minutes=minutes * i), *r[2:]) for i, r in enumerate(rows) if keep(i)]
+
+
+@pytest.mark.parametrize(("minutes", "bar", "gaps"), [(1, 3600, False), (5, 300, True), (1440, 3600, True)])
+def test_bars_of_any_length(spark, minutes, bar, gaps):
+    """Chunks and averages count rows: neither the bar's length nor gaps nor a ``bar`` that isn't theirs change a feature."""
+    keep = (lambda i: i % 24 < 7 and not 200 < i < 400) if gaps else lambda i: True
+    rows = spaced(walk(900, 11), minutes, keep)
+    df, plain_ = frame(spark, rows), pd.DataFrame([r[2:] for r in rows], columns=["open", "high", "low", "close", "volume"])
+    line = plain_.close.ewm(span=12, adjust=False).mean() - plain_.close.ewm(span=26, adjust=False).mean()
+    want = ordered(features.add_features_v2(df, bar), *clean.FEATURE_COLS)
+    close(want["macd"], line - line.ewm(span=9, adjust=False).mean())
+    got = ordered(features.add_features_v2(df, bar, parallel="chunk", rows=64), *clean.FEATURE_COLS)
+    v1, v1_chunked = (ordered(features.add_features_v1(df, bar, parallel=p, rows=64), *clean.FEATURE_COLS) for p in (None, "chunk"))
+    for c in clean.FEATURE_COLS:
+        close(got[c], want[c])
+        close(v1_chunked[c], v1[c])
+
+
 @pytest.mark.parametrize("rows", [8, 256])
 def test_ewm_is_pandas(spark, rows):
     data = walk(600, 5)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.clean import ffill, series
+from tidebar.functions.ewm import chunk_of
 from tidebar.sources.bars import OHLCV
 
 
@@ -67,12 +68,17 @@ def latest(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def with_halo(df: DataFrame, bar: int, rows: int, halo: int) -> DataFrame:
-    """Rows dealt to ``part`` (chunks of ``rows`` bar lengths), each chunk with the ``halo`` bars before it, marked in ``is_halo``.
+    """Rows dealt to ``part`` (stretches of ``rows`` bar lengths of time), each part with the ``halo`` rows of its series before it, marked in ``is_halo``.
 
-    Windows of up to ``halo`` rows back then run by (symbol, part) instead of by symbol; rows must lie on the grid of ``bar``.
+    Windows of up to ``halo`` rows back then run by (symbol, part) instead of by symbol. The halo goes by rows, not by time: it may
+    come from several parts back where there are gaps, so bars of any length give the same windows.
     """
-    second = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)
-    own = F.floor(second / (bar * rows)).cast("long")
-    following = F.floor((second + bar * halo) / (bar * rows)).cast("long")
-    parts: Column = F.sequence(F.lit(0).cast("long"), following - own)
-    return df.withColumn("_own", own).withColumn("_k", F.explode(parts)).withColumn("part", F.col("_own") + F.col("_k")).withColumn("is_halo", F.col("_k") > 0).drop("_own", "_k")
+    own = df.withColumn("part", chunk_of(bar, rows))
+    rest = [c for c in df.columns if c not in ("symbol", "ts")]
+    from_end = Window.partitionBy("symbol", "part").orderBy(F.desc("ts"))
+    ends = own.withColumn("_k", F.row_number().over(from_end)).where(F.col("_k") <= halo).groupBy("symbol", "part").agg(F.collect_list(F.struct("ts", *rest)).alias("_rows"))
+    near = F.flatten(F.collect_list("_rows").over(Window.partitionBy("symbol").orderBy("part").rowsBetween(-halo, -1)))  # each part has a row at least
+    near = ends.select("symbol", "part", F.array_sort(near).alias("_near"))
+    last = F.slice("_near", F.greatest(F.size("_near") - halo + 1, F.lit(1)), halo)
+    before = near.select("symbol", "part", F.explode(last).alias("_x")).select("symbol", "_x.*", "part", F.lit(True).alias("is_halo"))
+    return own.withColumn("is_halo", F.lit(False)).unionByName(before)

@@ -33,9 +33,10 @@ def _own(rows: DataFrame, parallel: str | None) -> DataFrame:
 def add_features_v1(df: DataFrame, bar: int = HOUR, leak_free: bool = False, keep_inf: bool = False, parallel: str | None = None, rows: int = CHUNK) -> DataFrame:
     """Wilder RSI and ATR, MACD line, band width in percent; gaps filled forward, then backward (``leak_free``: by defaults).
 
+    ``bar`` is the usual bar length in seconds; it only deals out the work.
     If an OHLCV column is absent every feature is its default. ``keep_inf`` keeps infinite returns where a price leaves 0.
     Exponential averages read missing prices as the last one before (0 at the start of a series). ``parallel='chunk'`` cuts
-    series without gaps into chunks of ``rows`` bars, fills included.
+    series into chunks of ``rows`` bars, fills included; gaps do no harm.
     """
     if any(c not in df.columns for c in OHLCV):
         return ensure_columns(df, "defaults")
@@ -56,11 +57,15 @@ def add_features_v2(df: DataFrame, bar: int = HOUR, parallel: str | None = None,
     ``parallel='chunk'`` cuts long series into chunks with a halo, so that one series runs on many tasks.
     """
     base, w = _cut(null_to_zero(ensure_columns(df, "zero")), bar, parallel, rows)
-    full = ind.with_moves(base.withColumn("_raw", raw_change("close", w)), w)
-    full = full.withColumns({"returns": F.coalesce("_raw", F.lit(0.0)), "vol_14": rolling_std("_raw", 14, w), "rsi": ind.rsi_sma(14, w), "atr": ind.atr_sma(14, w), "bb_width": ind.bb_width_ratio(20, 2.0, w)})
-    out = scrub(ind.macd_hist(_own(full, parallel), bar=bar), FEATURE_COLS[5:])
+    out = scrub(ind.macd_hist(_own(v2_finite(base, w), parallel), bar=bar), FEATURE_COLS[5:])
     return project_features(out)
 
 
+def v2_finite(base: DataFrame, w: WindowSpec) -> DataFrame:
+    """The second set's features that look back ``HALO`` rows at most: all but the histogram."""
+    full = ind.with_moves(base.withColumn("_raw", raw_change("close", w)), w)
+    return full.withColumns({"returns": F.coalesce("_raw", F.lit(0.0)), "vol_14": rolling_std("_raw", 14, w), "rsi": ind.rsi_sma(14, w), "atr": ind.atr_sma(14, w), "bb_width": ind.bb_width_ratio(20, 2.0, w)})
+
+
 def defaults() -> dict[str, float]:
     return dict(FEATURE_DEFAULTS)

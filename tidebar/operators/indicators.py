@@ -65,10 +65,20 @@ def macd_line(df: DataFrame, fast: int = 12, slow: int = 26, bar: int = HOUR, na
     return out.withColumn(name, F.col("_f") - F.col("_s")).drop("_f", "_s")
 
 
+def macd_parts(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, bar: int = HOUR, before: dict[str, str] | None = None) -> DataFrame:
+    """``ema_fast``, ``ema_slow`` of the close and ``ema_signal`` of their difference, from the first value or from the averages in the columns ``before``."""
+    of = (before or {}).get
+    lines = ewm(df, [Ewm("ema_fast", "close", span(fast), before=of("ema_fast", "")), Ewm("ema_slow", "close", span(slow), before=of("ema_slow", ""))], bar).withColumn("_m", F.col("ema_fast") - F.col("ema_slow"))
+    return ewm(lines, [Ewm("ema_signal", "_m", span(signal), before=of("ema_signal", ""))], bar).drop("_m")
+
+
+def macd_of_parts() -> Column:
+    return F.col("ema_fast") - F.col("ema_slow") - F.col("ema_signal")
+
+
 def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, bar: int = HOUR, name: str = "macd") -> DataFrame:
     """Line less its own average, all averages starting from the first value."""
-    lines = ewm(df, [Ewm("_f", "close", span(fast)), Ewm("_s", "close", span(slow))], bar).withColumn("_m", F.col("_f") - F.col("_s"))
-    return ewm(lines, [Ewm("_sig", "_m", span(signal))], bar).withColumn(name, F.col("_m") - F.col("_sig")).drop("_f", "_s", "_m", "_sig")
+    return macd_parts(df, fast, slow, signal, bar).withColumn(name, macd_of_parts()).drop("ema_fast", "ema_slow", "ema_signal")
 
 
 def v1_averages(df: DataFrame, bar: int = HOUR) -> DataFrame:

@@ -627,11 +627,22 @@ def stream_dedupe(spark, d):
     return out.select("account", "symbol", F.col("cycle").cast("timestamp_ntz").alias("cycle"))
 
 
+def _in_turn(spark, d, path: str, parts: int = 4) -> DataFrame:
+    """The ticks as a stream of files, one a micro-batch: the events are cut into stretches of time and written one after another."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / parts for k in range(1, parts)] if ends["a"] is not None else []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = events.where((F.col("ts") >= F.lit(low)) if low else F.lit(True)).where((F.col("ts") < F.lit(high)) if high else F.lit(True))
+        part.write.parquet(f"{path}/in/{k}")
+    return ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*"))
+
+
 @query
 def stream_features(spark, d):
-    """The second feature set kept up from a stream of ticks: each micro-batch's bars are written, and the table is featured anew."""
+    """The second feature set kept up over several micro-batches, each from its own bars and one row of state a symbol."""
     path = _folder(spark)
-    return rounded(jobs.feature_table(_stream(spark, d), path, EVERY), *clean.FEATURE_COLS)
+    return rounded(jobs.feature_table(_in_turn(spark, d, path), path, EVERY), *clean.FEATURE_COLS)
 
 
 @query

@@ -154,21 +154,36 @@ def replay(rows, thr, c, capital=10_000.0):
     return equity, trades, pnls
 
 
-@pytest.mark.parametrize("thr", [0.51, 0.9, 0.4])
-def test_backtest_is_a_loop(spark, thr):
+@pytest.mark.parametrize(("thr", "bar", "size"), [(0.51, None, 1), (0.9, 3600, 37), (0.4, None, 1), (0.4, 3600, 7), (0.51, 3600, 64)])
+def test_backtest_is_a_loop(spark, thr, bar, size):
     rng = random.Random(9)
     data = [("a", T0 + dt.timedelta(hours=i), 0.0 if i == 300 else 50 + rng.random(), None if i % 17 == 0 else float("nan") if i % 19 == 0 else 0.51 if i % 23 == 0 else rng.random()) for i in range(500)]
     scored = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, close double, score double")
     params = spark.createDataFrame([(0, 10_000.0, 0.001, thr)], "param_id int, initial_capital double, transaction_cost double, prediction_threshold double")
-    out = bt.backtest(scored, params)
+    out = bt.backtest(scored, params, bar=bar, size=size)
     equity, trades, pnls = replay([(r[1], r[2], r[3]) for r in data[100:]], thr, 0.001)
     close(out.orderBy("ts").toPandas()["equity"], equity, 1e-6)
     assert [(r["type"], r["price"]) for r in bt.trade_log(out).orderBy("ts").collect()] == trades
     close([r["pnl"] for r in bt.round_trips(out).orderBy("ts", "is_open").collect()], pnls, 1e-6)
-    m = bt.metrics(out).first()
+    m = bt.metrics(out, 1.0, size=max(size, 5)).first()
+    e, r = pd.Series(equity), pd.Series(equity).pct_change().replace([np.inf, -np.inf], np.nan).dropna()
+    close([m["sharpe"], m["max_drawdown"], m["final_capital"]], [r.mean() / r.std(), (e / e.cummax() - 1).min(), equity[-1]], 1e-6)
     assert (m["n_trades"], m["wins"], m["losses"]) == (sum(t == "BUY" for t, _ in trades), sum(p > 0 for p in pnls), sum(p <= 0 for p in pnls))
 
 
+def test_grid_is_each_setting_alone(spark):
+    """Settings that share a threshold share a ledger; a missing threshold never trades."""
+    rng = random.Random(2)
+    scored = spark.createDataFrame([("ab"[i % 2], T0 + dt.timedelta(hours=i), 50 + rng.random(), rng.random()) for i in range(400)], "symbol string, ts timestamp_ntz, close double, score double").cache()
+    schema = "param_id int, initial_capital double, transaction_cost double, prediction_threshold double"
+    sets = [(0, 100.0, 0.001, 0.6), (1, 200.0, 0.001, 0.6), (2, 100.0, 0.01, 0.6), (3, 100.0, 0.0, 0.45), (4, 100.0, 0.001, None)]
+    grid = bt.backtest(scored, spark.createDataFrame(sets, schema))
+    assert grid._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= bt.backtest(scored, spark.createDataFrame(sets[:1], schema))._jdf.queryExecution().optimizedPlan().toString().count("Window ")
+    got = {(r["param_id"], r["symbol"], r["ts"]): (r["state"], round(r["equity"], 9)) for r in grid.collect()}
+    want = {(r["param_id"], r["symbol"], r["ts"]): (r["state"], round(r["equity"], 9)) for s in sets for r in bt.backtest(scored, spark.createDataFrame([s], schema)).collect()}
+    assert got == want and {e for (p, _, _), (s, e) in got.items() if p == 4} == {100.0}
+
+
 def test_backtest_guards(spark):
     rows = [("a", T0 + dt.timedelta(hours=i), 1.0, 0.9) for i in range(100)] + [("b", T0 + dt.timedelta(hours=i), 1.0, 0.5) for i in range(101)]
     params = spark.createDataFrame([(0, 10_000.0, 0.001, 0.51)], "param_id int, initial_capital double, transaction_cost double, prediction_threshold double")

@@ -434,6 +434,10 @@ def _tested(spark, d, n=1):
     return bt.backtest(_scored(spark, d), _params(spark, n))
 
 
+def _tested_chunked(spark, d, n=1):
+    return bt.backtest(_scored(spark, d), _params(spark, n), bar=HOUR, size=100)
+
+
 def ln6(c: str) -> Column:
     return r6(F.log(F.col(c)))
 
@@ -448,6 +452,26 @@ def bt_equity(spark, d):
     return _tested(spark, d).select("symbol", "ts", ln6("equity").alias("ln_equity"))
 
 
+@query
+def bt_state_chunked(spark, d):
+    return _tested_chunked(spark, d).select("symbol", "ts", F.col("state").cast("long").alias("state"))
+
+
+@query
+def bt_equity_chunked(spark, d):
+    return _tested_chunked(spark, d).select("symbol", "ts", ln6("equity").alias("ln_equity"))
+
+
+@query
+def bt_trades_chunked(spark, d):
+    return bt.trade_log(_tested_chunked(spark, d)).select("symbol", "ts", "type", r6("price").alias("price"), ln6("units").alias("ln_units"), ln6("equity").alias("ln_equity"))
+
+
+@query
+def bt_grid_chunked(spark, d):
+    return _grid(bt.metrics(_tested_chunked(spark, d, 100), bar=HOUR, size=64))
+
+
 @query
 def bt_drawdown_chunked(spark, d):
     return bt.drawdown(_tested(spark, d), HOUR).select("symbol", "ts", r6("drawdown").alias("drawdown"))

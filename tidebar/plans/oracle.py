@@ -230,7 +230,7 @@ ORACLE_SQL = {
 _OF = "PARTITION BY symbol ORDER BY ts"
 _AGO = "WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"
 # Queries that reach the rows of another in a different way, and those of what was written and read again.
-ORACLE_SQL |= {name: ORACLE_SQL[of] for name, of in (("features_v1_chunked", "features_v1"), ("bt_drawdown_chunked", "bt_drawdown"), ("clean_strip_tz", "bars_resample"), ("io_trades", "bt_trades"))}
+ORACLE_SQL |= {name: ORACLE_SQL[of] for name, of in (("features_v1_chunked", "features_v1"), ("bt_drawdown_chunked", "bt_drawdown"), ("bt_state_chunked", "bt_state"), ("bt_equity_chunked", "bt_equity"), ("bt_trades_chunked", "bt_trades"), ("bt_grid_chunked", "bt_grid"), ("clean_strip_tz", "bars_resample"), ("io_trades", "bt_trades"))}
 ORACLE_SQL |= {
     "running_chunked": _sql(_GAPS, f"SELECT symbol, ts, {_x(f'max(close) OVER ({_OF} ROWS UNBOUNDED PRECEDING)', 'peak')}, {_x(f'coalesce(sum(volume) OVER ({_OF} ROWS UNBOUNDED PRECEDING), 0.0)', 'total')}, {_x(f'last_value(close IGNORE NULLS) OVER ({_OF} ROWS UNBOUNDED PRECEDING)', 'held')}, {_x(f'lag(close) OVER ({_OF})', 'before')}, lead(ts) OVER ({_OF}) IS NULL AS is_last FROM g0"),
     "clean_empty": _sql(_BARS, f"SELECT symbol, ts, {', '.join(f'0.0::DOUBLE AS {c}' for c in FEATURES)} FROM bars WHERE volume < 0"),

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -57,7 +58,7 @@ def test_marginals_are_exact_on_a_tree():
         for i, k in enumerate(y):
             want[i, k] += p
     want /= want.sum(1, keepdims=True)
-    assert np.allclose(pii.marginals(unary, edges, tables, tolerance=1e-9), want, atol=1e-6)
+    assert np.allclose(pii.marginals(unary, edges, tables, np.arange(len(edges)), tolerance=1e-9), want, atol=1e-6)
 
 
 def test_repeats_agree():
@@ -65,8 +66,8 @@ def test_repeats_agree():
     skip = np.where(np.eye(pii.N_LABELS) > 0, 3.0, -1.0)
     unary = np.zeros((2, pii.N_LABELS))
     unary[0, 4], unary[1, 0] = 5.0, 0.5
-    alone = pii.marginals(unary, np.empty((0, 2), int), np.empty((0, 5, 5)))
-    joined = pii.marginals(unary, np.array([[0, 1]]), skip[None])
+    alone = pii.marginals(unary, np.empty((0, 2), int), skip[None], np.empty(0, int))
+    joined = pii.marginals(unary, np.array([[0, 1]]), skip[None], np.zeros(1, int))
     assert alone[1].argmax() == 0 and joined[1].argmax() == 4
     found = pii.nodes("call 555-0100 now. Later 555-0100, and 555-0199")
     assert pii._edges(found)[1]
@@ -79,14 +80,14 @@ def test_evidence_reaches_every_occurrence():
     edges = np.array(pii._edges(found)[1])
     unary = np.zeros((100, pii.N_LABELS))
     unary[:, 0], unary[0, 5] = 0.05, 60.0
-    assert (pii.marginals(unary, edges, np.repeat(skip[None], len(edges), 0)).argmax(axis=1) == 5).all()
+    assert (pii.marginals(unary, edges, skip[None], np.zeros(len(edges), int)).argmax(axis=1) == 5).all()
 
 
 def mails(rng, n):
     """Texts with personal data, numbers that are none, and names before secrets."""
     kinds = (lambda: f"bob{rng.randrange(999)}@mail{rng.randrange(9)}.example.org", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04}",
              lambda: next(x for x in iter(lambda: f"{rng.randrange(10**15, 10**16)}", None) if pii._luhn(x)), lambda: f'token = "{rng.randrange(16**40):040x}"')
-    return [" ".join([prose(rng, 8), rng.choice(kinds)(), prose(rng, 5), f"in {rng.randrange(1900, 2030)}, version {rng.randrange(9)}.0 of {rng.randrange(99)}", rng.choice(kinds)(), prose(rng, 4)]) for _ in range(n)]
+    return [" ".join([prose(rng, 8), rng.choice(kinds)(), prose(rng, 5), f"in {rng.randrange(1900, 2030)}, version {rng.randrange(9)}.0 of {rng.randrange(99)} pages", rng.choice(kinds)(), prose(rng, 4)]) for _ in range(n)]
 
 
 def test_the_field_adds_what_the_patterns_miss(spark):
@@ -102,12 +103,51 @@ def test_the_field_adds_what_the_patterns_miss(spark):
         assert model.skip[kind + 1, kind + 1] > max(model.skip[kind + 1, j] for j in range(pii.N_LABELS) if j != kind + 1)
 
 
+def odd(rng, k):
+    return next(x for x in iter(lambda: str(rng.randrange(10 ** (k - 1), 10**k)), None) if not pii._luhn(x))
+
+
+NUMBERS = {
+    "epoch seconds": lambda r: str(r.randrange(10**9, 2 * 10**9)), "epoch milliseconds": lambda r: odd(r, 13), "thousands": lambda r: f"{r.randrange(1, 999)},{r.randrange(1000):03},{r.randrange(1000):03}", "four-part version": lambda r: f"{r.randrange(1, 20)}.{r.randrange(9)}.{r.randrange(256, 30_000)}.{r.randrange(999)}",
+    "12 digits": lambda r: odd(r, 12), "16 digits": lambda r: odd(r, 16), "isbn": lambda r: "978" + odd(r, 10)[:10] if not pii._luhn("978" + odd(r, 10)) else "978000", "date-time": lambda r: f"20{r.randrange(10, 40)}-0{r.randrange(1, 9)}-1{r.randrange(9)}T1{r.randrange(9)}:3{r.randrange(9)}:05Z",
+    "sha1": lambda r: f"{r.randrange(16**40):040x}", "uuid": lambda r: f"{r.randrange(16**8):08x}-{r.randrange(16**4):04x}-4{r.randrange(16**3):03x}-8{r.randrange(16**3):03x}-{r.randrange(16**12):012x}", "decimal": lambda r: f"{r.randrange(1000)}.{r.randrange(10**6):06}",
+}
+
+
+def test_numbers_that_are_no_personal_data(spark):
+    """Under one in fifty of each kind becomes a span that the patterns don't give."""
+    rng = random.Random(16)
+    docs = spark.createDataFrame(list(enumerate(mails(rng, 600))), "doc_id long, text string")
+    model = pii.train(docs)
+    for name, make in NUMBERS.items():
+        found = pii.find([f"The record {make(rng)} was filed yesterday by the clerk." for _ in range(300)], model)
+        assert sum(bool(added) for _, added in found) < 6, name
+    secret = f"{rng.randrange(16**40):040x}"
+    text = f'set token = "{secret}" at once. Later the same {secret} was seen.'
+    assert {(k, text[s:e]) for s, k, e in pii.find([text], model)[0][1]} == {(4, secret)}
+
+
+def test_long_texts_and_neighbours():
+    rng = random.Random(2)
+    model = pii.Model(np.random.default_rng(0).normal(0, 1, (pii.N_FEATURES, pii.N_LABELS)), np.eye(pii.N_LABELS), np.eye(pii.N_LABELS) * 2)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(10_000))
+    tracemalloc.start()
+    pii.find([long], model)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    texts = [" ".join(f"{rng.randrange(300)}-{rng.randrange(20)}" for _ in range(60)) for _ in range(20)]
+    assert pii.find(texts, model) == [pii.find([t], model)[0] for t in texts]
+
+
 def test_rewritten_spans_are_missed_by_their_patterns():
     rng = random.Random(8)
+    seen = of = 0
     for t in mails(rng, 200):
         copy, moved, new = pii.rewritten_copy(t, pii.silver_spans(t), 1)
         assert len(moved) >= len(pii.silver_spans(t)) and set(new) <= set(moved)
-        assert sum(any(k == j and a < e and s < b for a, j, b in pii.base_spans(copy)) for s, k, e in new) <= sum(k in (2,) for _, k, _ in new)
+        of += len(new)
+        seen += sum(any(k == j and a < e and s < b for a, j, b in pii.base_spans(copy)) for s, k, e in new)
+    assert seen < 0.02 * of  # a number in front of a card's first group may make a card with it
 
 
 def test_bounded_words_keep_the_potentials(spark):

@@ -46,6 +46,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]|[(\[]at[)\]]")
 # Names before a secret, and the fewest characters of one.
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9+/_-]{16,})")
+_NAMED = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)[\x20\t]*[=:][\x20\t]*$")
+# Hashes, identifiers and times, which are secrets only by a name.
+_COMMON = re.compile(r"[0-9a-fA-F]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_][0-9:.+Z-]+|[0-9.,:/_-]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _EDGE = "\"'`,;:!?.()[]{}<>|="
 
@@ -83,47 +86,47 @@ def base_spans(text: str) -> list[Span]:
 
 
 def silver_spans(text: str) -> list[Span]:
-    """What labels are learned from: the base spans, and secrets by the name before them."""
-    named = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text) if _MARK.search(m[1])]
-    return sorted(base_spans(text) + named)
-
-
-def _unsure(word: str) -> bool:
-    """Whether a word that no pattern labels may yet be personal data: it says nothing about what is none."""
-    digits = sum("0" <= c <= "9" for c in word)
-    return "@" in word or 9 <= digits <= 19 or word.count(".") == 3 and digits >= 4 or (len(word) >= 24 and digits >= 4)
+    """What labels are learned from: the base spans, and secrets by the name before them, wherever they stand in the text."""
+    named = {m[1] for m in _SECRET.finditer(text) if _MARK.search(m[1])}
+    again = [(m.start(), 4, m.end()) for m in re.finditer("|".join(map(re.escape, sorted(named, key=len, reverse=True))), text)] if named else []
+    return sorted(base_spans(text) + again)
 
 
 def _rewritten(kind: int, s: str, rng: random.Random) -> str:
-    """A span of a base pattern as its pattern doesn't see it: another way of writing, or a slip."""
-    digits = [i for i, c in enumerate(s) if "0" <= c <= "9"]
+    """A span of a base pattern in another way of writing, which its pattern doesn't see. What makes it one stays: check digits hold, parts are in range."""
+    digits = "".join(c for c in s if "0" <= c <= "9")
     if kind == 0:
         return s.replace("@", rng.choice(["(at)", "[at]"]))
     if kind == 1:
-        parts = s.split(".")
-        if rng.random() < 0.5:
-            return rng.choice(["-", "[.]", ","]).join(parts)
-        parts[rng.randrange(4)] = str(rng.randrange(256, 1000))
-        return ".".join(parts)
+        return rng.choice(["[.]", "(.)", "[dot]"]).join(s.split("."))
     if kind == 2:
-        plain = "".join(s[i] for i in digits)
-        at = rng.randrange(len(plain))
-        plain = plain[:at] + str((int(plain[at]) + rng.randrange(1, 9)) % 10) + plain[at + 1 :]
-        groups = [plain[i : i + 4] for i in range(0, len(plain), 4)]
-        return rng.choice([plain, plain, " ".join(groups), "-".join(groups), ".".join(groups)])
-    plain = s.lstrip("+")
-    return rng.choice([plain, plain, plain.replace(" ", "."), "00" + plain.replace(" ", "")])
+        return rng.choice([".", "/", "_"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    groups = [g for g in re.split("[^0-9]+", s) if g]
+    if len(groups) < 3:
+        groups = [digits[:-10] or digits[:1], digits[-10:-7], digits[-7:-4], digits[-4:]]
+    first, *rest = groups
+    return rng.choice([f"00{first} " + " ".join(rest), f"{first} ({rest[0]}) " + "-".join(rest[1:]), f"{first}-" + "-".join(rest), f"00{first}-" + "-".join(rest)])
 
 
 def _decoy(rng: random.Random) -> str:
-    """A number that is no personal data."""
+    """A number, hash, version or time that is no personal data."""
     n = rng.randrange
-    return rng.choice([str(n(10)), str(n(1900, 2100)), f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 29):02}", f"{n(24):02}:{n(60):02}", f"{n(1, 10)}.{n(10)}.{n(20)}", f"{n(1, 1000)}.{n(100):02}", f"{n(1, 100)}%", f"{n(1, 1000)},{n(1000):03}", str(n(10_000, 10_000_000)), f"v{n(1, 20)}.{n(10)}", f"{n(1, 32)}/{n(1, 13)}/{n(1900, 2100)}"])
+    hexes = lambda k: f"{n(16**k):0{k}x}"
+    day = lambda: f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 29):02}"
+    odd = lambda k: next(x for x in iter(lambda: str(n(10 ** (k - 1), 10**k)), None) if not _luhn(x))
+    kinds = (
+        lambda: str(n(10)), lambda: str(n(1900, 2100)), day, lambda: f"{n(24):02}:{n(60):02}", lambda: f"{n(1, 10)}.{n(10)}.{n(20)}", lambda: f"{n(1, 1000)}.{n(100):02}", lambda: f"{n(1, 100)}%", lambda: f"v{n(1, 20)}.{n(10)}", lambda: f"{n(1, 32)}/{n(1, 13)}/{n(1900, 2100)}",
+        lambda: str(n(10_000, 10_000_000)), lambda: str(n(10**9, 2 * 10**9)), lambda: str(n(10**12, 2 * 10**12)), lambda: odd(n(8, 12)), lambda: odd(12), lambda: odd(n(13, 20)), lambda: "978" + odd(10), lambda: f"978-{n(10)}-{n(100, 1000)}-{n(10_000, 100_000)}-{n(10)}",
+        lambda: f"{n(1, 1000)},{n(1000):03}", lambda: f"{n(1, 1000)},{n(1000):03},{n(1000):03}", lambda: f"{n(1, 1000)},{n(1000):03},{n(1000):03},{n(1000):03}", lambda: f"{n(1, 20)}.{n(20)}.{n(256, 100_000)}.{n(1, 10_000)}", lambda: f"v{n(1, 9)}.{n(20)}.{n(20)}.{n(300, 999)}",
+        lambda: f"{day()}T{n(24):02}:{n(60):02}:{n(60):02}" + rng.choice(["Z", "", "+00:00", f".{n(1000):03}Z"]), lambda: f"{day()} {n(24):02}:{n(60):02}:{n(60):02}", lambda: hexes(40), lambda: hexes(rng.choice([8, 12, 32, 64])), lambda: f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}",
+        lambda: f"{n(1000)}.{n(10**6):06}", lambda: f"{n(100, 1000)}-{n(10, 100)}-{n(1000, 10_000)}", lambda: f"#{n(10**5)}", lambda: f"{n(100)}x{n(1000)}",
+    )
+    return rng.choice(kinds)()
 
 
 def rewritten_copy(text: str, spans: list[Span], seed: int) -> tuple[str, list[Span], list[Span]]:
-    """The text with each base span rewritten and a number that is none beside every second one; every third span also stands
-    once more at the end. The new places of all spans, and those rewritten."""
+    """The text with each base span rewritten and a number that is none beside every second one; every second span also stands
+    once more at the end, and as many more numbers among words. The new places of all spans, and those rewritten."""
     rng = random.Random(crc32(text[:64].encode("utf-8", "replace")) + seed)
     parts, out, new, again, at, size = [], [], [], [], 0, 0
     for s, k, e in spans:
@@ -141,7 +144,7 @@ def rewritten_copy(text: str, spans: list[Span], seed: int) -> tuple[str, list[S
             new.append(out[-1])
         size += len(word)
         at = e
-        if rng.random() < 0.33:
+        if rng.random() < 0.5:
             again.append((k, word))
     parts.append(text[at:])
     size += len(parts[-1])
@@ -150,6 +153,9 @@ def rewritten_copy(text: str, spans: list[Span], seed: int) -> tuple[str, list[S
         new += out[-1:] if k < len(BASE) else []
         parts.append(f" {word}.")
         size += len(word) + 2
+    words = [w for w in text[:512].split() if not _MARK.search(w)] or ["and"]
+    for _ in range(3 + len(spans)):
+        parts.append(f" {rng.choice(words)} {_decoy(rng)}{rng.choice(['', '', '.', ','])} {rng.choice(words)}")
     return "".join(parts), out, new
 
 
@@ -212,7 +218,8 @@ def nodes(text: str) -> Nodes:
         out.start.append(a)
         out.end.append(a + len(bare))
         out.follows.append(bool(out.start) and len(out.start) > 1 and not text[out.end[-2] : s].strip(" \t" + _EDGE))
-        shapes.append((_shape(bare), before[0] if before else "", after[0] if after else "", _check(bare), _class(bare)))
+        named = bool(_NAMED.search(text, max(0, s - 32), a) or _SECRET.match(word.lstrip(_EDGE)))
+        shapes.append((_shape(bare), "\0named" if named else before[0] if before else "", after[0] if after else "", _check(bare), _class(bare)))
         plain = "".join(c for c in bare if c.isalnum()).lower()
         out.keys.append((plain[:64], f"{_shape(bare)}/{plain[:6]}"))
         at = e
@@ -260,59 +267,90 @@ def _edges(found: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     return chain, list(dict.fromkeys(skip))
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int = 200, damp: float = 0.3, tolerance: float = 1e-3) -> np.ndarray:
-    """Loopy sum-product over nodes (n x labels) and edges (m x 2, each with its own labels x labels table), in logarithms.
+def marginals(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, kind: np.ndarray, owner: np.ndarray | None = None, rounds: int = 200, damp: float = 0.3, tolerance: float = 1e-3) -> np.ndarray:
+    """Loopy sum-product over nodes (n x labels) and edges (m x 2), in logarithms; an edge has the labels x labels table of its ``kind``.
 
-    It ends when no message changes by more than the tolerance; ``rounds`` only ends what never settles.
+    ``owner`` is the text of each edge (edges of different texts share no node). A text is done when none of its messages changes
+    by more than the tolerance, and isn't touched after that, so its result doesn't depend on which texts stand beside it;
+    ``rounds`` only ends what never settles. Memory: a few rows of labels for each edge.
     """
-    n, m = len(unary), len(edges)
+    m = len(edges)
     belief = unary.copy()
     if m:
+        owner = np.zeros(m, np.int64) if owner is None else owner
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        table_ = np.concatenate([potential, potential.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        which, own = np.concatenate([kind, kind + len(tables)]), np.concatenate([owner, owner])
+        factor = np.exp(np.concatenate([tables, tables.transpose(0, 2, 1)]))
+        order = np.argsort(which, kind="stable")
+        place = np.empty(2 * m, np.int64)
+        place[order] = np.arange(2 * m)
+        back = place[np.concatenate([np.arange(m, 2 * m), np.arange(m)])[order]]
+        src, dst, which, own = src[order], dst[order], which[order], own[order]
+        groups = [(int(k), *np.searchsorted(which, [k, k + 1])) for k in np.unique(which)]
         message = np.zeros((2 * m, unary.shape[1]))
+        done = np.zeros(int(owner.max()) + 1, bool)
         for _ in range(rounds):
-            out = belief[src] - message[back]
-            joint = out[:, :, None] + table_
-            top = joint.max(axis=1)
-            new = top + np.log(np.exp(joint - top[:, None, :]).sum(axis=1))
+            new = belief[src]
+            new -= message[back]
             new -= new.max(axis=1, keepdims=True)
-            new = damp * message + (1 - damp) * new
-            moved, message = np.abs(new - message).max(), new
-            belief = unary.copy()
-            np.add.at(belief, dst, message)
-            if moved < tolerance:
+            np.exp(new, out=new)
+            for k, a, b in groups:
+                new[a:b] = new[a:b] @ factor[k]
+            np.log(new, out=new)
+            new -= new.max(axis=1, keepdims=True)
+            new *= 1 - damp
+            new += damp * message
+            held = done[own]
+            if held.any():
+                new[held] = message[held]
+            moved = np.abs(new - message).max(axis=1)
+            message = new
+            belief = unary + np.stack([np.bincount(dst, message[:, k], len(unary)) for k in range(unary.shape[1])], axis=1)
+            most = np.zeros(len(done))
+            np.maximum.at(most, own, moved)
+            done = most < tolerance
+            if done.all():
                 break
     belief -= belief.max(axis=1, keepdims=True)
     p = np.exp(belief)
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _sound(kind: int, s: str) -> bool:
-    """Whether a span has as many digits or characters as its kind needs."""
-    digits = sum("0" <= c <= "9" for c in s)
-    return (len(s) >= 5, 4 <= digits <= 12, 12 <= digits <= 19, 7 <= digits <= 17, len(s) >= 16)[kind]
+def _sound(kind: int, s: str, named: set[str]) -> bool:
+    """Whether a span is what its kind must be: an address with four parts in range, a card that passes its check, a phone in groups,
+    a secret that has a name somewhere in its text or looks like no hash, identifier or time."""
+    groups = re.findall("[0-9]+", s)
+    digits = "".join(groups)
+    if kind == 0:
+        return len(s) >= 5
+    if kind == 1:
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    if kind == 3:
+        return 9 <= len(digits) <= 17 and len(groups) >= 3
+    return len(s) >= 16 and (s in named or not _COMMON.fullmatch(s))
 
 
 def find(batch: list[str], model: Model, sure: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and spans that the field adds, for each text."""
     base = [base_spans(t) for t in batch]
     held = [nodes(t) if _MARK.search(t) else None for t in batch]
-    features, edges, tables, first = [], [], [], []
-    for h in held:
+    features, edges, kinds, owner, first = [], [], [], [], []
+    for text, h in enumerate(held):
         first.append(len(features))
         if h:
             at = len(features)
             features += h.features
-            for pairs, potential in zip(_edges(h), (model.chain, model.skip), strict=True):
+            for kind, pairs in enumerate(_edges(h)):
                 edges += [(a + at, b + at) for a, b in pairs]
-                tables += [potential] * len(pairs)
+                kinds += [kind] * len(pairs)
+                owner += [text] * len(pairs)
     if not features:
         return [(b, []) for b in base]
     unary = model.weights[np.array(features)].sum(axis=1)
     unary[:, 0] += PRIOR
-    p = marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(tables).reshape(-1, N_LABELS, N_LABELS))
+    p = marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), np.stack([model.chain, model.skip]), np.array(kinds, np.int64), np.array(owner, np.int64))
     best, top = p.argmax(axis=1), p.max(axis=1)
     out = []
     for t, b, h, at in zip(batch, base, held, first, strict=True):
@@ -332,7 +370,8 @@ def find(batch: list[str], model: Model, sure: float = 0.5) -> list[tuple[list[S
             else:
                 added.append((s, k, e))
             last = i
-        out.append((b, [x for x in added if _sound(x[1], t[x[0] : x[2]])]))
+        named = {m[1] for m in _SECRET.finditer(t)} if any(k == 4 for _, k, _ in added) else set()
+        out.append((b, [x for x in added if _sound(x[1], t[x[0] : x[2]], named)]))
     return out
 
 
@@ -351,8 +390,7 @@ def _training_rows(text: str) -> Iterator[tuple[int, ...]]:
             far[a][label[b]] = min(3, far[a][label[b]] + 1)
             far[b][label[a]] = min(3, far[b][label[a]] + 1)
         for i, y in enumerate(label):
-            if y or not _unsure(t[found.start[i] : found.end[i]]):
-                yield (*found.features[i], y, left[i], right[i], *far[i])
+            yield (*found.features[i], y, left[i], right[i], *far[i])
 
 
 def train(docs: DataFrame, bound: int = 20_000, max_rows: int = 60_000, steps: int = 150) -> Model:
@@ -361,7 +399,7 @@ def train(docs: DataFrame, bound: int = 20_000, max_rows: int = 60_000, steps: i
     sample, while ``scan`` covers every document.
 
     Pseudo-likelihood: each label given those of its neighbours, for node weights and both potentials at once, with a ridge.
-    Words that may be personal data though no pattern labels them are left out. Without any word with a digit or an at
+    Without any word with a digit or an at
     sign the model finds nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -408,7 +446,7 @@ def train(docs: DataFrame, bound: int = 20_000, max_rows: int = 60_000, steps: i
         square += g * g
         square_pair += g_pair * g_pair
         weights -= 0.5 * g / np.sqrt(square)
-        pair = np.clip(pair - 0.1 * g_pair / np.sqrt(square_pair), -3, 3)
+        pair = np.clip(pair - 0.2 * g_pair / np.sqrt(square_pair), -4, 4)
     return Model(weights, pair[0], pair[1])
 
 
@@ -416,7 +454,7 @@ def measure(docs: DataFrame, model: Model, seed: int = 2) -> dict[str, float]:
     """How well the field finds rewritten spans, by copies of all given documents that have base spans (give ones held out from training).
 
     ``recall``: rewritten spans of which an added span of their kind covers a part. ``precision``: added spans that overlap a
-    span of the copy, base, secret or rewritten, or a word that may be personal data for all that is known. ``spans``: rewritten spans.
+    span of the copy, base, secret or rewritten; the copy's numbers that are none count against it. ``spans``: rewritten spans.
     """
 
     def make():
@@ -434,7 +472,7 @@ def measure(docs: DataFrame, model: Model, seed: int = 2) -> dict[str, float]:
                         n[0] += 1
                         n[1] += any(k == j and a < e and s < b for a, j, b in added)
                 n[2] += len(added)
-                n[3] += sum(any(a < e and s < b for s, _, e in moved) or _unsure(copy[a:b]) for a, _, b in added)
+                n[3] += sum(any(a < e and s < b for s, _, e in moved) for a, _, b in added)
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in n], ["spans", "hits", "added", "right"])
 
         return run

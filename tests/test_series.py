@@ -246,24 +246,32 @@ def test_headroom_is_the_loop(spark):
     assert {(r["account"], r["symbol"]): r["accepted"] for r in out.collect()} == want
 
 
-def test_cooldown_carries_state_over_batches(spark):
-    """A symbol's ticks in many Arrow batches give what one pass over all of them gives, without ticks that can't act being sorted in."""
-    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=97 * i), i, [0.9, None, 0.62, 0.2, float("nan"), 0.7, 0.5][(i * i + len(s)) % 7]) for s in ("A", "BB", "CCC") for i in range(300)]
-    want = []
-    for name in ("A", "BB", "CCC"):
-        held, until = False, float("-inf")
-        for s, ts, i, score in rows:
-            if s == name:
-                side, held, until = decide.step(held, until, ts.timestamp(), score)
-                want += [(s, i, side)] if side else []
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        out = decide.cooldown(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, score double").repartition(5))
-        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
-        assert sorted((r["symbol"], r["seq"], r["side"]) for r in out.collect()) == want
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+def one_by_one(rows):
+    """Each symbol's ticks by the rule, one after another."""
+    out, state = [], {}
+    for s, ts, i, score in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        side, *state[s] = decide.step(*state.get(s, (False, float("-inf"))), (ts - dt.datetime(1970, 1, 1)).total_seconds(), score)
+        out += [(s, i, side)] if side else []
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("stretch", "gap"), [("1 hour", 97), ("1 hour", 7), ("6 hours", 97), ("2 hours", 1500)])
+def test_cooldown_by_stretches_is_one_by_one(spark, stretch, gap):
+    """Ties, pauses that reach over several stretches, stretches without a tick, a symbol that never acts, ticks without time or score."""
+    rng = random.Random(gap)
+    rows, at = [], {s: dt.datetime(2024, 1, 1) for s in ("A", "BB", "CCC")}
+    for i in range(900):
+        s = rng.choice(["A", "A", "A", "BB", "CCC"])
+        at[s] += dt.timedelta(seconds=rng.choice([0, gap, gap * 3, 0, gap * (200 if rng.random() < 0.02 else 1)]))
+        rows.append((s, at[s], i, rng.choice([0.9, None, 0.62, 0.2, float("nan"), 0.7, 0.5])))
+    rows += [("D", dt.datetime(2024, 1, 1, h), 1000 + h, 0.1) for h in range(9)] + [("A", None, 2000, 0.9)]
+    out = decide.cooldown(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, score double").repartition(5), stretch)
+    assert sorted((r["symbol"], r["seq"], r["side"]) for r in out.collect()) == one_by_one(rows)
+
+
+def test_stretches_are_as_long_as_a_pause(spark):
+    with pytest.raises(ValueError, match="pause"):
+        decide.cooldown(spark.createDataFrame([], "symbol string, ts timestamp_ntz, seq long, score double"), "30 minutes")
 
 
 def test_cooldown_ends_exactly(spark):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,21 +64,89 @@ def can_act(score: Column) -> Column:
     return ~F.isnan(score) & ((score < SELL_BELOW) | (score > BUY_ABOVE))
 
 
-def cooldown(ticks: DataFrame) -> DataFrame:
-    """Decisions of each symbol's ticks (symbol, ts, seq, score): ``symbol, ts, seq, side``. Each acts on the state that
-    earlier ones left, so a symbol's ticks run in order, batch by batch: Spark sorts them, and a task holds one batch and one state."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held, until = None, False, float("-inf")
-        for batch in batches:
-            sides = []
-            for symbol, now, score in zip(batch["symbol"], batch["ts"].astype("datetime64[us]").astype("int64") / 1e6, batch["score"], strict=True):
-                if symbol != last:
-                    last, held, until = symbol, False, float("-inf")
-                side, held, until = step(held, until, now, score)
-                sides.append(side)
-            out = batch[["symbol", "ts", "seq"]].assign(side=sides)
-            yield out[out["side"].notna()]
-
-    rows = ticks.select("symbol", "ts", "seq", "score").where(can_act(F.col("score"))).repartition("symbol")
-    return rows.sortWithinPartitions("symbol", F.asc_nulls_last("ts"), F.asc_nulls_last("seq")).mapInPandas(run, "symbol string, ts timestamp_ntz, seq long, side string")
+def _exits(now: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stretch of ticks in order that may act: for each tick and for flat and held (columns), where a symbol that is free from that
+    tick on acts next (n: nowhere), from which tick on it is free again after that, and when it is free after its last act (minus infinity: it never acts)."""
+    n = len(now)
+    act, free, until = np.full((n + 1, 2), n), np.full((n + 1, 2), n), np.full((n + 1, 2), -np.inf)
+    pause = (PAUSE_BUY, PAUSE_SELL)
+    may = np.stack([score > BUY_ABOVE, score < SELL_BELOW], axis=1)
+    again = np.stack([np.searchsorted(now, now + p, "left") for p in pause], axis=1)
+    for held in (0, 1):
+        at = np.where(may[:, held], np.arange(n), n)
+        act[:n, held] = np.minimum.accumulate(at[::-1])[::-1]
+    for held in (0, 1):
+        j = act[:n, held]
+        free[:n, held] = np.where(j < n, again[np.minimum(j, n - 1), held], n) if n else n
+    for i in range(n - 1, -1, -1):
+        for held in (0, 1):
+            j = act[i, held]
+            if j < n:
+                k = free[i, held]
+                later = until[k, 1 - held] if k < n else -np.inf
+                until[i, held] = later if later > -np.inf else now[j] + pause[held]
+    return act, free, until
+
+
+def _ends(now: np.ndarray, score: np.ndarray) -> list[tuple[int, float, bool, float]]:
+    """What a stretch does to a state: for flat and held, by the tick from which the symbol is free, the state behind it. Rows (held, last time
+    of a run of ticks, held after it, free from then on): different starts soon take the same way, so runs are few."""
+    act, free, until = _exits(now, score)
+    n, out = len(now), []
+    turns = np.zeros((n + 1, 2), np.int64)  # whether the number of acts from a tick on is odd
+    for i in range(n - 1, -1, -1):
+        for held in (0, 1):
+            if act[i, held] < n:
+                turns[i, held] = 1 ^ turns[free[i, held], 1 - held]
+    for held in (0, 1):
+        same = (until[1:n, held] == until[: n - 1, held]) & (turns[1:n, held] == turns[: n - 1, held])
+        for i in np.append(np.flatnonzero(~same), n - 1).tolist() if n else ():
+            out.append((held, float(now[i]), bool(held ^ turns[i, held]), float(until[i, held])))
+    return out
+
+
+def cooldown(ticks: DataFrame, stretch: str = "6 hours") -> DataFrame:
+    """Decisions of each symbol's ticks (symbol, ts, seq, score): ``symbol, ts, seq, side``; a tick without a time takes no side.
+
+    Each tick acts on the state that earlier ones left. A symbol's ticks are cut into stretches of time (one hour at least, the
+    longest pause): each is run from every start at once, as starts soon fall into the same way; the few different ends are
+    chained along the symbol, and each stretch then runs from the state before it. So one busy symbol uses many tasks.
+    """
+    length = pd.Timedelta(stretch).total_seconds()
+    if length < PAUSE_SELL:
+        raise ValueError("a stretch is no shorter than the longest pause")
+    second = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)
+    rows = ticks.select("symbol", "ts", "seq", "score", F.floor(second / length).cast("long").alias("part")).where(can_act(F.col("score")) & F.col("ts").isNotNull())
+    seconds = lambda ts: ts.astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+    ordered = lambda g: g.sort_values(["ts", "seq"])  # noqa: E731  a stretch of one symbol
+
+    def sum_up(group: pd.DataFrame) -> pd.DataFrame:
+        g = ordered(group)
+        out = pd.DataFrame(_ends(seconds(g["ts"]), g["score"].to_numpy()), columns=["held", "upto", "then", "until"])
+        return out.assign(symbol=g["symbol"].iloc[0], part=g["part"].iloc[0])
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        """The state before each stretch: as many rows at once as a symbol has stretches, with a few ends each."""
+        held, until, starts = False, float("-inf"), []
+        for part, ends in group.sort_values(["part", "held", "upto"]).groupby("part", sort=True):
+            starts.append((group["symbol"].iloc[0], part, held, until))
+            own = ends[(ends["held"] == int(held)) & (ends["upto"] >= until)]
+            if len(own) and own["until"].iloc[0] > float("-inf"):
+                held, until = bool(own["then"].iloc[0]), float(own["until"].iloc[0])
+        return pd.DataFrame(starts, columns=["symbol", "part", "held", "until"])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        g = ordered(group)
+        now, score = seconds(g["ts"]), g["score"].to_numpy()
+        act, free, _ = _exits(now, score)
+        sides, held = np.full(len(g), None, object), int(g["held"].iloc[0])
+        i = int(np.searchsorted(now, g["until"].iloc[0], "left"))
+        while i < len(g) and act[i, held] < len(g):
+            sides[act[i, held]] = ("BUY", "SELL")[held]
+            i, held = int(free[i, held]), 1 - held
+        out = g[["symbol", "ts", "seq"]].assign(side=sides)
+        return out[out["side"].notna()]
+
+    ends = rows.groupBy("symbol", "part").applyInPandas(sum_up, "symbol string, part long, held int, upto double, then boolean, until double")
+    starts = ends.groupBy("symbol").applyInPandas(chain, "symbol string, part long, held boolean, until double")
+    return rows.join(starts, ["symbol", "part"]).groupBy("symbol", "part").applyInPandas(walk, "symbol string, ts timestamp_ntz, seq long, side string")

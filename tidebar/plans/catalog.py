@@ -314,6 +314,33 @@ def features_v1_chunked(spark, d):
     return rounded(features.add_features_v1(filled, parallel="chunk", rows=256), *clean.FEATURE_COLS)
 
 
+def _five_minutes(spark, d):
+    """Bars of five minutes as they are, with gaps."""
+    return bar_ops.from_ticks(_events(spark, d), "5 minutes")
+
+
+@query
+def features_v2_gappy(spark, d):
+    return rounded(features.add_features_v2(_five_minutes(spark, d), 300, parallel="chunk", rows=512), *clean.FEATURE_COLS)
+
+
+@query
+def features_v1_gappy(spark, d):
+    return rounded(features.add_features_v1(_five_minutes(spark, d), 300, parallel="chunk", rows=512), *clean.FEATURE_COLS)
+
+
+@query
+def features_v1_leak_free(spark, d):
+    return rounded(features.add_features_v1(_filled(spark, d), leak_free=True), *clean.FEATURE_COLS)
+
+
+@query
+def features_v1_keep_inf(spark, d):
+    """Returns over bars whose gaps are zero prices; an infinite one is shown as 999."""
+    v1 = features.add_features_v1(bar_ops.fill_gaps(_bars(spark, d), EVERY, "zero"), keep_inf=True)
+    return v1.select("symbol", "ts", r6(F.when(F.col("returns") == float("inf"), 999.0).otherwise(F.col("returns"))).alias("returns"))
+
+
 @query
 def clean_empty(spark, d):
     """No rows in, no rows out, with every feature's column."""
@@ -355,10 +382,20 @@ def seq_lookback(spark, d):
     return _macds(sequences.sequence_lookback(_v2(spark, d)))
 
 
+@query
+def seq_lookback_cells(spark, d):
+    return _cells(sequences.sequence_lookback(_v2(spark, d)))
+
+
+@query
+def seq_lookback_chunked(spark, d):
+    return _macds(sequences.sequence_lookback(features.add_features_v2(_five_minutes(spark, d), 300), bar=300, parallel="chunk", rows=2048))
+
+
 @query
 def seq_lookback_v1(spark, d):
     seq = sequences.sequence_lookback_v1(features.add_features_v1(_filled(spark, d)))
-    last = lambda k: F.round(F.element_at("seq", -1)[k].cast("double"), 3)
+    last = lambda k: F.round(F.element_at("seq", -1)[k].cast("double"), 3) + F.lit(0.0)
     return seq.select("symbol", "ts", F.size("seq").cast("long").alias("steps"), last(7).alias("rsi"), last(8).alias("macd"), last(9).alias("atr"))
 
 

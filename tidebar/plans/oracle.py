@@ -241,3 +241,37 @@ ORACLE_SQL |= {
     "stream_dedupe": "SELECT DISTINCT user_id % 5 AS account, event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS cycle FROM events",
     "stream_features": _sql(f"{_BARS.replace('bars AS (', 'bars0 AS (')}, bars AS (SELECT * FROM bars0 {_AGO}){_GAPS.removeprefix(_BARS)}, {_v2('g')}", f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
 }
+_FIVE = _BARS.replace("INTERVAL '1 hour'", "INTERVAL '5 minutes'")
+_V1_FIVE = _V1.replace(_GAPS, _FIVE).replace("OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM g)", "OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM bars)")
+_LOOK_ALL = _LOOK[len(_I) :].replace("WHERE a.t IN (a.i - 1, a.i - 32)", "WHERE a.t BETWEEN a.i - 32 AND a.i - 1")
+_LOOK_FIVE = f"{_FIVE}, {_i('bars')}{_LOOK[len(_I):]}"
+_S = "b.n - 100"
+
+
+def _wilder(c: str) -> str:
+    return f"sum({c} * pow(13.0 / 14, b.n - 1 - u.n))"
+
+
+def _start(n: int) -> str:
+    """An average that begins with the mean of the first n rows of the window, at its last row."""
+    return f"sum(u.close * CASE WHEN u.n < {_S} + {n} THEN pow({n - 1}.0 / {n + 1}, {99 - n + 1}) / {n} ELSE 2.0 / {n + 1} * pow({n - 1}.0 / {n + 1}, b.n - 1 - u.n) END)"
+
+
+_LOOK_V1 = f"""{_I},
+l AS (SELECT b.symbol, b.ts, {_wilder("u.gain")} FILTER (u.n > {_S}) AS up, {_wilder("u.loss")} FILTER (u.n > {_S}) AS down, {_wilder(f"CASE WHEN u.n = {_S} THEN u.high - u.low ELSE u.tr END")} / {_wilder("1")} AS atr, {_start(12)} - {_start(26)} AS macd
+ FROM i b JOIN i u ON u.symbol = b.symbol AND u.n BETWEEN {_S} AND b.n - 1 WHERE b.n > 100 GROUP BY b.symbol, b.ts, b.n)"""
+
+
+def _f3(expression: str, name: str) -> str:
+    return f"round(CAST(CAST({expression} AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS {name}"
+
+
+ORACLE_SQL |= {
+    "features_v2_gappy": _sql(f"{_FIVE}, {_v2('bars')}", f"SELECT symbol, ts, {_r(*FEATURES)} FROM v2"),
+    "features_v1_gappy": ORACLE_SQL["features_v1"].replace(_V1, _V1_FIVE),
+    "features_v1_leak_free": _sql(_V1, f"SELECT symbol, ts, {_r(*FEATURES[:6])}, {', '.join(_x(f'coalesce(last_value({c} IGNORE NULLS) OVER ({_OF} ROWS UNBOUNDED PRECEDING), {50.0 if c == "rsi" else 0.0}::DOUBLE)', c) for c in FEATURES[6:])} FROM f"),
+    "features_v1_keep_inf": _sql(_IZ, f"SELECT symbol, ts, {_x('CASE WHEN n > 1 AND pc = 0 AND close <> 0 THEN 999.0::DOUBLE ELSE coalesce(raw, 0.0) END', 'returns')} FROM i"),
+    "seq_lookback_cells": _sql(_F2 + _LOOK_ALL, f"SELECT x.symbol, x.at AS ts, x.t - x.i + 32 AS step, {_CELLS} FROM (SELECT h.symbol, h.ts AS at, h.t, h.i, h.macd, {', '.join(f'v2.{c}' for c in FEATURES if c != 'macd')} FROM h JOIN v2 ON v2.symbol = h.symbol AND v2.n = h.t) x"),
+    "seq_lookback_chunked": ORACLE_SQL["seq_lookback"].replace(_LOOK, _LOOK_FIVE),
+    "seq_lookback_v1": _sql(_LOOK_V1, f"SELECT symbol, ts, CAST(32 AS BIGINT) AS steps, {_f3('CASE WHEN up + down > 1e-12 THEN 100 * up / (up + down) ELSE 50.0 END', 'rsi')}, {_f3('macd', 'macd')}, {_f3('atr', 'atr')} FROM l"),
+}

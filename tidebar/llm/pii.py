@@ -33,7 +33,9 @@ from .common import arrow_column, arrow_map, table, texts
 #: Kinds of the base patterns, and all kinds; the last is found by the field alone.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-N_LABELS, N_FEATURES, WIDTH = len(KINDS) + 1, 4096, 8
+N_LABELS, N_FEATURES, WIDTH = len(KINDS) + 1, 1 << 14, 8
+#: Parts of a shape, at most: a longer one would name a single word.
+LONG_SHAPE = 24
 #: Logarithmic odds for no entity before any evidence, so that words unlike all seen ones are none.
 PRIOR = 3.0
 
@@ -148,19 +150,22 @@ def rewritten_copy(text: str, spans: list[Span], seed: int) -> tuple[str, list[S
             again.append((k, word))
     parts.append(text[at:])
     size += len(parts[-1])
-    for k, word in again:
-        out.append((size + 1, k, size + 1 + len(word)))
-        new += out[-1:] if k < len(BASE) else []
-        parts.append(f" {word}.")
-        size += len(word) + 2
     words = [w for w in text[:512].split() if not _MARK.search(w)] or ["and"]
-    for _ in range(3 + len(spans)):
-        parts.append(f" {rng.choice(words)} {_decoy(rng)}{rng.choice(['', '', '.', ','])} {rng.choice(words)}")
+    more = again + [(-1, _decoy(rng)) for _ in range(3 + len(spans))]
+    rng.shuffle(more)
+    for k, word in more:  # all in the same surroundings: only what stands elsewhere tells a span that comes again
+        parts.append(f" {rng.choice(words)} ")
+        size += len(parts[-1])
+        if k >= 0:
+            out.append((size, k, size + len(word)))
+            new += out[-1:] if k < len(BASE) else []
+        parts.append(f"{word}{rng.choice(['', '', '.', ','])} {rng.choice(words)}")
+        size += len(parts[-1])
     return "".join(parts), out, new
 
 
 def _shape(word: str) -> str:
-    """Digits and letters by kind and length, other characters as they are: ``+9:1``, ``a:3@a:4.a:3``."""
+    """Digits and letters by kind and length, other characters as they are: ``+9:1``, ``a:3@a:4.a:3``; of hashes, which would each have a shape of their own, only that they are mixed."""
     out, last, n = [], "", 0
     for c in word[:48]:
         kind = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
@@ -173,7 +178,7 @@ def _shape(word: str) -> str:
         last, n = kind, 1
     if last == "9":
         out.append(f":{n}")
-    return "".join(out)
+    return "".join(out) if len(out) <= LONG_SHAPE else "mixed"
 
 
 def _check(word: str) -> str:

@@ -18,6 +18,7 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to ``BATCH_ROWS`` if it still has Spark's default; a value that the user chose stays. Every operator here does this."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(BATCH_ROWS))

@@ -44,8 +44,8 @@ def sequence_lookback(features: DataFrame, lookback: int = LOOKBACK, n: int = LE
 
     Only the histogram remembers further back than the n steps allow. Started anew at each window's first bar s it is, with
     the unseeded scans Y and Z (of Y fast - Y slow) and d = t - s + 1: E(t) = Y(t) + q^d (x(s) - Y(s-1)), and for the
-    signal Z(t) - p^d Z(s-1) plus a geometric sum for each start term. So no window is recomputed. ``parallel='chunk'`` cuts series without gaps into chunks
-    of ``rows`` bars, each with the bars before it that its first windows reach.
+    signal Z(t) - p^d Z(s-1) plus a geometric sum for each start term. So no window is recomputed. ``parallel='chunk'`` cuts series into chunks
+    of ``rows`` bar lengths, each with the bars before it that its first windows reach.
     """
     scans = ewm(features, [Ewm("yf", "close", span(fast), "adjusted"), Ewm("ys", "close", span(slow), "adjusted")], bar)
     unseed = lambda c, a: F.col(c) * (1 - F.pow(F.lit(1 - a), F.col("_n")))  # noqa: E731  back from normalised weights

@@ -35,10 +35,24 @@ def test_answers_of_the_next_conversation(spark):
     assert set(got) == {-1, 0, 1, 2, 5}
     assert (got[-1]["rejected_id"], got[-1]["n_prompt"], got[-1]["prompt"], got[-1]["chosen"], got[-1]["rejected"]) == (0, 1, "<|user|>\nq<|end|>\n", "<|assistant|>\na<|end|>\n", "<|assistant|>\nc<|end|>\n")
     assert (got[0]["rejected_id"], got[0]["n_prompt"], got[0]["chosen"], got[0]["rejected"]) == (1, 5, "", "")  # the same answer: all is prompt
-    assert got[1]["rejected_id"] is None and got[1]["rejected"] is None and got[1]["n_prompt"] == 0 and got[1]["chosen"].endswith("c<|end|>\n")
+    assert (got[1]["rejected_id"], got[1]["n_prompt"], got[1]["chosen"], got[1]["rejected"]) == (5, 0, "<|assistant|>\nc<|end|>\n", "<|assistant|>\nv<|end|>\n")  # 2 has no answer, 3 and 4 aren't there
+    assert got[2]["n_prompt"] == 0 and got[2]["chosen"] == "<|user|>\nno answer<|end|>\n" and got[2]["rejected"] is None
     assert got[2]["rejected_id"] is None and got[5]["rejected_id"] is None
 
 
+def test_sparse_numbers_over_buckets(spark):
+    """Numbers far apart and runs without answers: only the last conversation with an answer has no rejected side."""
+    ids = [i * i * 37 - 5000 for i in range(60)]
+    silent = {ids[k] for k in (3, 4, 5, 6, 20, 41, 59)}
+    rows = [r for i in ids for r in [(i, 0, "user", f"q{i}", "z", 1, 2), *([] if i in silent else [(i, 1, "assistant", f"a{i}", "z", 1, 2)])]]
+    answered = [i for i in ids if i not in silent]
+    want = {i: None for i in ids} | dict(zip(answered, answered[1:], strict=False))
+    for bucket_rows in (1, 7, 1000):
+        got = {r["pair_id"]: r for r in chat.format_answers(spark.createDataFrame(rows, SCHEMA), bucket_rows=bucket_rows).collect()}
+        assert {i: r["rejected_id"] for i, r in got.items()} == want
+        assert all(r["rejected"] == f"<|assistant|>\na{want[i]}<|end|>\n" for i, r in got.items() if want[i] is not None)
+
+
 def test_prompts_are_found_in_the_table(spark, smoke_dir):
     got = chat.query(spark, smoke_dir).select("n_prompt", "rejected_id").collect()
     assert sum(r["n_prompt"] > 0 for r in got) > 0.5 * len(got)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .minhash import MOST_BUCKETS, bucket_of
 
 # How a turn is rendered, and whose turns are trained on.
 TURN = "<|{role}|>\n{text}<|end|>\n"
 TRAINED = "assistant"
+#: Numbers of conversations that one window orders.
+ID_BUCKET = 100_000
 
 
 def _render(turns: Column) -> Column:
@@ -75,24 +80,42 @@ def format_pairs(conversations: DataFrame, pair: Column | None = None, chosen: C
     return _formatted(grouped.select("pair_id", "chosen_id", "rejected_id", *(F.array_distinct(F.array_sort(c)).alias(c) for c in "ab")))
 
 
-def format_answers(conversations: DataFrame, role: str = TRAINED) -> DataFrame:
+def _before(ids: DataFrame, bucket_rows: int) -> DataFrame:
+    """``pair_id`` and the greatest id under it, ``before`` (null for the least); the given ids are distinct.
+
+    Ids are dealt into buckets of neighbours, each ordered by itself; the greatest id of each bucket, one row a bucket, goes on
+    to the next one that has ids.
+    """
+    k = max(1, min(MOST_BUCKETS, math.ceil(ids.count() / bucket_rows)))
+    cuts = ids.agg(F.percentile_approx("pair_id", [i / k for i in range(1, k)], F.lit(max(10_000, 4 * k))).alias("b")).first()["b"] if k > 1 else None
+    rows = ids.withColumn("bucket", bucket_of(sorted(set(cuts or [])), F.col("pair_id")))
+    tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("pair_id").alias("top")).collect())  # a row a bucket
+    under = ids.sparkSession.createDataFrame([(b, top) for (_, top), (b, _) in zip(tops, tops[1:], strict=False)], "bucket int, under long")
+    beside = F.lag("pair_id").over(Window.partitionBy("bucket").orderBy("pair_id"))
+    return rows.withColumn("beside", beside).join(F.broadcast(under), "bucket", "left").select("pair_id", F.coalesce("beside", "under").alias("before"))
+
+
+def format_answers(conversations: DataFrame, role: str = TRAINED, bucket_rows: int = ID_BUCKET) -> DataFrame:
     """The same for a table without rejected answers: each conversation is chosen, and rejected is its copy whose last
-    answer (turn of ``role``) is the last answer of the conversation with the next number, an answer to something else.
+    answer (turn of ``role``) is the last answer of the next conversation that has one, an answer to something else.
 
-    ``pair_id`` and ``chosen_id`` are the conversation, ``rejected_id`` is whose answer the other side has. Without that
-    conversation, or without an answer in both, there is no rejected side: all turns are the chosen completion. All else is
-    as in ``format_pairs``. Conversations are grouped once; answers are joined to them by the number, one row each.
+    ``pair_id`` and ``chosen_id`` are the conversation, ``rejected_id`` is whose answer the other side has; numbers may have
+    any gaps. Without an answer of its own, or for the last conversation with an answer, there is no rejected side: all turns
+    are the chosen completion. Where both answers and what follows them are equal, all is prompt and both completions are
+    empty. All else is as in ``format_pairs``. Conversations are grouped once; answers are joined to them by the number, one
+    row each; which conversation is next is found among numbers only, in buckets of about ``bucket_rows``.
     """
     rows = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("pair_id"), _turn().alias("t"))
     turns = rows.groupBy("pair_id").agg(F.array_distinct(F.array_sort(F.collect_list("t"))).alias("a"))
     last = F.array_max(F.filter(F.transform("a", lambda t, i: F.when(t["role"] == role, i + 1)), lambda i: i.isNotNull()))
     marked = turns.select("pair_id", "a", last.alias("last"))
-    answers = marked.where("last is not null").select((F.col("pair_id") - 1).alias("pair_id"), F.element_at("a", F.col("last"))["text"].alias("answer"))
+    own = _before(rows.where(F.col("t.role") == role).select("pair_id").distinct(), bucket_rows).where("before IS NOT NULL")
+    answers = marked.where("last IS NOT NULL").join(own, "pair_id").select(F.col("before").alias("pair_id"), F.col("pair_id").alias("of"), F.element_at("a", F.col("last"))["text"].alias("answer"))
     sides = marked.join(answers, "pair_id", "left")
-    has = F.col("last").isNotNull() & F.col("answer").isNotNull()
+    has = F.col("of").isNotNull()
     other = F.transform("a", lambda t, i: F.when(i + 1 == F.col("last"), t.withField("text", F.col("answer"))).otherwise(t))
     none = F.filter("a", lambda t: F.lit(False))
-    return _formatted(sides.select("pair_id", F.col("pair_id").alias("chosen_id"), F.when(has, F.col("pair_id") + 1).alias("rejected_id"), "a", F.when(has, other).otherwise(none).alias("b")))
+    return _formatted(sides.select("pair_id", F.col("pair_id").alias("chosen_id"), F.col("of").alias("rejected_id"), "a", F.when(has, other).otherwise(none).alias("b")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +129,12 @@ SQL = r"""
 WITH c AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
 l AS (SELECT conv_id, max(i) AS i FROM o WHERE role = 'assistant' GROUP BY 1),
-x AS (SELECT l.conv_id, l.i, y.text AS answer FROM l JOIN l AS z ON z.conv_id = l.conv_id + 1 JOIN o AS y ON y.conv_id = z.conv_id AND y.i = z.i),
+z AS (SELECT conv_id, i, lead(conv_id) OVER (ORDER BY conv_id) AS of_, lead(i) OVER (ORDER BY conv_id) AS of_i FROM l),
+x AS (SELECT z.conv_id, z.i, z.of_, y.text AS answer FROM z JOIN o AS y ON y.conv_id = z.of_ AND y.i = z.of_i),
 n AS (SELECT conv_id, 0 AS side, i, role, text FROM o
       UNION ALL SELECT o.conv_id, 1, o.i, o.role, CASE WHEN o.i = x.i THEN x.answer ELSE o.text END FROM o JOIN x ON x.conv_id = o.conv_id),
 differ AS (SELECT a.conv_id, min(a.i) AS i FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.i = b.i AND a.side = 0 AND b.side = 1 WHERE a.text <> b.text GROUP BY 1),
-p AS (SELECT s.conv_id AS pair_id, s.conv_id AS chosen_id, CASE WHEN x.conv_id IS NOT NULL THEN s.conv_id + 1 END AS rejected_id,
+p AS (SELECT s.conv_id AS pair_id, s.conv_id AS chosen_id, x.of_ AS rejected_id,
         CAST(CASE WHEN x.conv_id IS NULL THEN 0 ELSE coalesce(d.i - 1, s.n_turns) END AS BIGINT) AS n_prompt
       FROM (SELECT conv_id, count(*) AS n_turns FROM o GROUP BY 1) s LEFT JOIN x ON x.conv_id = s.conv_id LEFT JOIN differ d ON d.conv_id = s.conv_id),
 r AS (SELECT n.conv_id AS pair_id, n.side, n.i, n.role, n.i <= p.n_prompt AS shared, '<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10) AS s FROM n JOIN p ON p.pair_id = n.conv_id),

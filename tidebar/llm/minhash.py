@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts(docs, id_col, text_col).select("doc_id", packed(fingerprint_codes(F.col("text"))).alias("fingerprint"))
 
 
-def _bucket(bounds: list[int], key: Column) -> Column:
+def bucket_of(bounds: list[int], key: Column) -> Column:
     """How many of the ascending bounds are at most the key, found in two steps; a null key has none."""
     if not bounds:
         return F.lit(0)
@@ -116,7 +116,7 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     if k > 1:
         got = base.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], F.lit(max(10_000, 4 * k))).alias("b")).first()["b"]
         bounds = sorted(set(got or []))
-    rows = base.withColumn("bucket", _bucket(bounds, F.col("doc_id")))
+    rows = base.withColumn("bucket", bucket_of(bounds, F.col("doc_id")))
     tops = sorted(rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect(), key=lambda r: r["bucket"])  # a row a bucket
     if not tops:
         tops = []

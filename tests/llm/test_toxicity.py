@@ -87,6 +87,17 @@ def test_matches_and_scores_are_the_plain_ones():
     assert toxicity.fold("you idiot! m0r0n!! k!ll b!tch!") == "you idiot! moron!! kill bitch!"
 
 
+def test_folding_of_capitals_widths_and_invisible_marks():
+    same = {"ass": ["Аss", "ａｓｓ", "ＡＳＳ", "a\u200bss", "\ufeffa\u00adss", "АЅЅ", "@$$"], "evil": ["Εvil", "ЕVІL", "ev\u2060il", "EVİL"], "idiot": ["id\u200biot", "ІDІОТ", "ΙDΙΟΤ", "𝐢𝐝𝐢𝐨𝐭"],
+            "nix": ["ΝΙΧ", "Nіх"], "ärger": ["ÄRGER", "a\u0308rger", "Ärger"], "strasse": ["STRASSE", "Straße", "STRAẞE"], "": ["", "\u200b"]}
+    for plain, forms in same.items():
+        assert {toxicity.fold(f) for f in [plain, *forms]} == {plain}
+    assert toxicity.fold("日本 élan") == "日本 élan"
+    model = toxicity.Model({"idiot": 2.0}, frozenset(), (-2.0, 1.0, 0.5))
+    f = toxicity._features(model)
+    assert f("you ІDІОТ x") == f("you idiot x") != (0.0, 0.0)
+
+
 def test_entries_do_not_overlap():
     kept = toxicity._apart([("^trash", 3.0), ("trash", 2.9), ("^tras", 2.8), ("trashy", 2.0), ("scum", 1.0)], 10)
     assert list(kept) == ["^trash", "scum"]

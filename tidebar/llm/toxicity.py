@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,12 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import arrow_column, arrow_map, crc_bucket, table
 
-# Look-alike letters and digit substitutions, each with the Latin letter that it stands for.
+# Look-alike letters and digit substitutions, each with the Latin letter that it stands for; capitals look like other letters than their small forms.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b",
               "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "ɑ": "a", "ɡ": "g", "ı": "i"}
+CAPITALS = {"А": "a", "В": "b", "Е": "e", "К": "k", "М": "m", "Н": "h", "О": "o", "Р": "p", "С": "c", "Т": "t", "У": "y", "Х": "x", "І": "i", "Ј": "j", "Ѕ": "s",
+            "Α": "a", "Β": "b", "Ε": "e", "Ζ": "z", "Η": "h", "Ι": "i", "Κ": "k", "Μ": "m", "Ν": "n", "Ο": "o", "Ρ": "p", "Τ": "t", "Υ": "y", "Χ": "x"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Marks without a width: soft hyphen, joiners, directions, byte order, variation selectors; and the dot that a folded dotted capital I leaves.
+INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+_DOT = 0x307
 
-_FOLD = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES, **{chr(c): chr(c + 32) for c in range(65, 91)}}.items() if k != "!"}
+_SEEN = {**dict.fromkeys(INVISIBLE), **{ord(k): v for k, v in CAPITALS.items()}}
+_FOLD = {_DOT: None, **{ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES, **{chr(c): chr(c + 32) for c in range(65, 91)}}.items() if k != "!"}}
 _CALL = re.compile(r"!+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Marks an entry of the lexicon that is the beginning of a word; lengths of such entries.
@@ -27,7 +34,12 @@ START, LENGTHS = "^", range(4, 9)
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digit substitutions as plain letters; the length stays. An exclamation mark is one only before a letter, as else it ends a word."""
+    """Case folded, compatibility forms (full width and the like) as plain ones, invisible marks gone, look-alikes of both cases and digit substitutions as plain letters.
+
+    Other letters keep their accents, so the length may change. An exclamation mark is a letter only before a letter, as else it ends a word.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_SEEN).casefold())
     flat = text.translate(_FOLD)
     return _CALL.sub(lambda m: SUBSTITUTES["!"] * len(m[0]), flat) if "!" in flat else flat
 

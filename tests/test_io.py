@@ -113,16 +113,23 @@ def test_a_batch_run_again_is_the_same(spark):
     assert sorted(map(str, none.collect())) == sorted(map(str, after.collect()))
 
 
-def test_stateful_decisions_over_batches(spark, tmp_path):
+def test_decisions_of_files_out_of_order(spark, tmp_path):
+    """Three files, one a micro-batch, each tick up to six hours late: what the watermark has passed is the batch answer."""
+    import random
+
     from tidebar.operators import decide
 
-    rows = ticks(120)
-    files(spark, rows, 3, f"{tmp_path}/in")
+    rng, rows = random.Random(4), ticks(240)
+    late = sorted(rows, key=lambda r: r[TICKS.split(", ").index("ts timestamp_ntz")] + dt.timedelta(hours=rng.uniform(0, 6)))
+    for k in range(3):
+        spark.createDataFrame(late[k * 80 : k * 80 + 80], TICKS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     score = (F.col("price") / 100).alias("score")
     stream = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").select("*", score)
-    got = jobs.drain(jobs.stream_decide(stream), f"{tmp_path}/out")
-    want = decide.cooldown(spark.createDataFrame(rows, TICKS).select("*", score))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = jobs.drain(jobs.stream_decide(stream, "7 hours"), f"{tmp_path}/out")
+    scored = spark.createDataFrame(rows, TICKS).select("*", score)
+    end = scored.where(decide.can_act(F.col("score"))).agg(F.max("ts")).first()[0] - dt.timedelta(hours=7)
+    want = [tuple(r) for r in decide.cooldown(scored).collect() if r["ts"] <= end]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 4
 
 
 def test_one_evaluation_a_cycle(spark, tmp_path):

@@ -688,13 +688,17 @@ def stream_dedupe(spark, d):
     return out.select("account", "symbol", F.col("cycle").cast("timestamp_ntz").alias("cycle"))
 
 
-def _in_turn(spark, d, path: str, parts: int = 4) -> DataFrame:
-    """The ticks as a stream of files, one a micro-batch: the events are cut into stretches of time and written one after another."""
+def _in_turn(spark, d, path: str, parts: int = 4, late: str | None = None) -> DataFrame:
+    """The ticks as a stream of files, one a micro-batch: the events are cut into stretches of time and written one after another.
+
+    With ``late`` a tick goes by the time at which it comes: up to that much after its own, by a hash of its id.
+    """
     events = spark.read.parquet(f"{d}/events.parquet")
+    comes = F.col("ts") if late is None else F.col("ts") + F.expr(f"INTERVAL {late}") * (F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000)
     ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / parts for k in range(1, parts)] if ends["a"] is not None else []
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        part = events.where((F.col("ts") >= F.lit(low)) if low else F.lit(True)).where((F.col("ts") < F.lit(high)) if high else F.lit(True))
+        part = events.where((comes >= F.lit(low)) if low else F.lit(True)).where((comes < F.lit(high)) if high else F.lit(True))
         part.write.parquet(f"{path}/in/{k}")
     return ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*"))
 
@@ -713,4 +717,6 @@ def stream_bars(spark, d):
 
 @query
 def stream_decide(spark, d):
-    return jobs.drain(jobs.stream_decide(_scored_ticks(_stream(spark, d))), _folder(spark))
+    """Cooldown over a stream whose files overlap in time: each tick stands up to half an hour late."""
+    path = _folder(spark)
+    return jobs.drain(jobs.stream_decide(_scored_ticks(_in_turn(spark, d, path, late="30 minutes")), "40 minutes"), path)

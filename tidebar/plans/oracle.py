@@ -225,7 +225,7 @@ ORACLE_SQL = {
     "headroom_budget": _sql(_POS, "SELECT account, cycle, symbol, row_number() OVER (PARTITION BY account, cycle ORDER BY priority) <= floor((1500000.0 - total) / 200000.0) AND total < 1500000.0 AS accepted FROM pos JOIN uni USING (symbol) JOIN tot USING (account) CROSS JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS cycle) WHERE qty % cycle = 0"),
     "decide_cooldown": _sql(_COOL, "SELECT symbol, ts, seq, side FROM run WHERE side IS NOT NULL"),
     "stream_bars": _sql(_BARS, f"SELECT symbol, ts, {_r(*OHLCV)} FROM bars WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"),
-    "stream_decide": _sql(_COOL, "SELECT symbol, ts, seq, side FROM run WHERE side IS NOT NULL"),
+    "stream_decide": _sql(_COOL, "SELECT symbol, ts, seq, side FROM run WHERE side IS NOT NULL AND ts <= (SELECT max(ts) FROM tk WHERE score < 0.61 OR score > 0.63) - INTERVAL '40 minutes'"),
 }
 _OF = "PARTITION BY symbol ORDER BY ts"
 _AGO = "WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidebar.functions.clean import FEATURE_COLS, ensure_columns, null_to_zero, scrub, series
 from tidebar.operators.bars import fill_gaps, from_ticks
@@ -27,21 +28,71 @@ def stream_ohlcv(ticks: DataFrame, every: str = "1 hour", delay: str = DELAY) ->
     return from_ticks(zoned, every).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def stream_decide(ticks: DataFrame) -> DataFrame:
-    """Decisions with cooldown from a stream of scored ticks; the state of a symbol is whether it is held, and until when it pauses."""
-
-    def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, until = state.get if state.exists else (False, float("-inf"))
-        rows = pd.concat(batches).sort_values(["ts", "seq"])  # of one micro-batch, and only those that may act
-        sides = []
-        for now, score in zip(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["score"], strict=True):
-            side, held, until = step(held, until, now, score)
-            sides.append(side)
-        state.update((held, until))
-        out = rows[["symbol", "ts", "seq"]].assign(side=sides)
-        yield out[out["side"].notna()]
-
-    return ticks.select("symbol", "ts", "seq", "score").where(can_act(F.col("score"))).groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp_ntz, seq long, side string", "held boolean, until double", "append", GroupStateTimeout.NoTimeout)
+class _InTurn(StatefulProcessor):
+    """A symbol's decisions: ticks wait until the watermark has passed them, and then act in the order of their time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, score double")
+        self.position = handle.getValueState("position", "held boolean, until double, timer bigint")
+
+    def _ask(self, us: int, held: bool, until: float, timer: int) -> None:
+        """One timer a symbol, at the first tick that waits."""
+        due = -(-us // 1000)
+        if timer < 0 or due < timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.position.update((held, until, timer))
+
+    def _state(self) -> tuple[bool, float, int]:
+        return tuple(self.position.get()) if self.position.exists() else (False, float("-inf"), -1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            if len(part):
+                us = part["us"].tolist()
+                self.waiting.appendList(list(zip(us, part["seq"].tolist(), part["score"].tolist(), strict=True)))
+                first = min(us) if first is None else min(first, *us)
+        if first is not None:
+            self._ask(first, *self._state())
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        held, until, _ = self._state()
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        ticks = sorted(self.waiting.get())  # no more than the watermark's delay and one micro-batch bring
+        n = bisect.bisect_right(ticks, upto, key=lambda t: t[0])
+        taken = []
+        for us, seq, score in ticks[:n]:
+            side, held, until = step(held, until, us / 1e6, score)
+            if side:
+                taken.append((us, seq, side))
+        self.waiting.clear()
+        self.position.update((held, until, -1))
+        if n < len(ticks):
+            self.waiting.put(ticks[n:])
+            self._ask(ticks[n][0], held, until, -1)
+        out = pd.DataFrame(taken, columns=["us", "seq", "side"]).astype({"us": "int64", "seq": "int64"})
+        out.insert(0, "symbol", key[0])
+        yield out
+
+
+def stream_decide(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Decisions with cooldown from a stream of scored ticks: the batch answer (``decide.cooldown``) for all ticks that the watermark has passed.
+
+    Ticks may come in any order within ``delay``, over any micro-batches: they wait in keyed state and act in the order of time and
+    seq once the watermark, ``delay`` behind the latest tick that may act, has passed them. Later ones are left out, as is a tick
+    without a time. A symbol's state is the ticks that wait, whether it is held, and until when it pauses. Keyed timers need the
+    RocksDB state store: it is set on the session.
+    """
+    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    acting = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "score").where(can_act(F.col("score")) & F.col("ts").isNotNull())
+    rows = acting.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    done = rows.groupBy("symbol").transformWithStateInPandas(_InTurn(), "symbol string, us long, seq long, side string", "append", "EventTime")
+    return done.select("symbol", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "seq", "side")
 
 
 def dedupe_ticks(ticks: DataFrame, cycle: str = "60 seconds", delay: str = DELAY) -> DataFrame:

@@ -89,3 +89,23 @@ def test_sets_are_read_by_their_places(tmp_path):
 def test_prefix_is_of_the_rarest():
     h = np.arange(10, dtype=np.uint64)
     assert likeness.prefix(h, np.array([0, 1], np.uint64), np.array([5, 3])).tolist() == [2, 3, 4]
+
+
+@pytest.mark.parametrize("part", [8, 2048])
+def test_a_large_group_gives_fewer_rows_than_members(spark, tmp_path, part):
+    """Near copies that all meet in many shingles, and as many that share these but are unlike: rows grow with the sets, not with the pairs."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+    body, passage = draw(90), draw(20)
+    sets = [np.unique(np.concatenate([body, draw(5)])) for _ in range(60)] + [np.unique(np.concatenate([passage, draw(80)])) for _ in range(60)]
+    name, starts = likeness.Sets(str(tmp_path)).write(sets)
+    rows = [(key, fp, fp, len(h), pos, bytearray(likeness.histogram(h).tobytes()), name, s) for fp, (h, s) in enumerate(zip(sets, starts, strict=True)) for pos, key in enumerate((1, 2, 3) if fp < 60 else (1, 4, 5))]
+    members = spark.createDataFrame(rows, "key long, fp long, root long, n int, pos int, buckets binary, file string, start long")
+    got = [(r["a"], r["b"]) for r in likeness._meeting(members, str(tmp_path), part).collect()]
+    groups = {(k, i, j) for k in range(1, 6) for i in range(-(-120 // part)) for j in range(i + 1)} if part == 8 else range(5)
+    assert len(got) < 59 * min(len(groups), 5)
+    low = list(range(120))
+    for _ in low:
+        for a, b in got:
+            low[a] = low[b] = min(low[a], low[b])
+    assert low[:60] == [0] * 60 and low[60:] == list(range(60, 120))

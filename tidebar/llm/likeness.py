@@ -4,7 +4,8 @@ Candidates come from SimHash first: fingerprints of the five-word shingles that
 of the pairs, as at this likeness fingerprints differ in up to a dozen of 64 bits; so it is completed by prefixes. Two sets
 of likeness 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, whatever order all sets follow. The
 order puts shingles that are common in a bounded sample last, so few sets meet in a shingle. Of the sets that meet, a bound
-from two small histograms leaves out most that can't be alike; the others' sets are read from the shared folder and compared.
+from two small histograms leaves out most that can't be alike; the others' sets are read from the shared folder and compared
+in the task in which they meet, which gives only links that connect. Rows so grow with the sets and not with their pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .simhash import components, links, of_hashes, shingle_hashes
 
 #: Words of a shingle, and the likeness from which two texts are copies, as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
-#: Hashes that a task writes to one file, buckets of a histogram, members of a shingle that one task compares with each other, hashes of sets that a task keeps at hand.
-FILE, BUCKETS, MOST, HELD = 1_000_000, 64, 2048, 4_000_000
+#: Hashes that a task writes to one file, buckets of a histogram, members of a shingle that one task compares with each other, hashes of sets that a task keeps at hand, pairs that it knows to be unlike.
+FILE, BUCKETS, MOST, HELD, KNOWN = 1_000_000, 64, 2048, 4_000_000, 200_000
 
 
 def shingles(text: str) -> tuple[np.ndarray, int]:
@@ -144,31 +145,58 @@ def _by_simhash(sets: DataFrame) -> DataFrame:
     return same.union(linked.join(left, "a").join(right, "b").select("sa", "sb"))
 
 
-def _meeting(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of members (key, fp, root, n, buckets) of a key that have different roots and may be alike. A key of over ``most`` members is cut into parts, and each pair of parts is one group."""
+def _meeting(members: DataFrame, uri: str, most: int) -> DataFrame:
+    """Links (a, b) between members (key, fp, root, n, pos, buckets, file, start) of a key that have different roots and are alike: those that connect what a task has not connected yet.
+
+    ``pos`` is the place of the key among a set's shingles in the common order. Where two sets of likeness 0.8 meet first, what
+    stands from there on must hold all that they share, so a pair for which that is too little is left to another key. A key of
+    over ``most`` members is cut into parts, and each pair of parts is one group. The sets are compared where they meet: a group
+    gives fewer rows than it has members, however many pairs it has.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("k"))
     rows = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     of = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    dealt = rows.withColumn("p", F.explode(of)).select("key", "p.i", "p.j", "part", "fp", "root", "n", "buckets")
+    dealt = rows.withColumn("p", F.explode(of)).select("key", "p.i", "p.j", "part", "fp", "root", "n", "pos", "buckets", "file", "start")
     names = ["key", "i", "j"]
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Of whole groups: each row with the next of its group, the one after it, and so on, for all groups at once."""
-        fp, root, n, part, *cols = (t.column(c).to_numpy() for c in ("fp", "root", "n", "part", *names))
-        buckets, across = _buckets(t.column("buckets").combine_chunks()), cols[1] != cols[2]
-        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
-        ends = np.repeat([*starts[1:], len(fp)], np.diff([*starts, len(fp)]))
-        i, step = np.arange(len(fp)), 1
-        while len(i := i[i + step < ends[i]]):
-            j = i + step
-            ok = (root[i] != root[j]) & ~(across[i] & (part[i] == part[j]))
-            x, y = i[ok], j[ok]
-            ok = may_be_alike(n[x], n[y], buckets[x], buckets[y])
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(fp[x[ok]]), pa.array(fp[y[ok]])], ["a", "b"])
-            step += 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, unlike, moved = Sets(uri), set(), {}
+
+        def now(r: int) -> int:
+            while r in moved:
+                r = moved[r]
+            return r
+
+        def linked(t: pa.Table) -> pa.RecordBatch:
+            """Of whole groups: each row with the next of its group, the one after it, and so on, for all groups at once."""
+            fp, n, part, pos, start, *cols = (t.column(c).to_numpy() for c in ("fp", "n", "part", "pos", "start", *names))
+            root = np.array([now(r) for r in t.column("root").to_pylist()], np.int64)
+            file, buckets, across, rest = t.column("file").to_pylist(), _buckets(t.column("buckets").combine_chunks()), cols[1] != cols[2], n - pos
+            starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+            ends = np.repeat([*starts[1:], len(fp)], np.diff([*starts, len(fp)]))
+            i, step, out = np.arange(len(fp)), 1, []
+            while len(i := i[i + step < ends[i]]):
+                i = i[LEAST * n[i + step] <= OF * n[i]]  # a group's sets stand in order of their size
+                x, y = i, i + step
+                ok = (root[x] != root[y]) & ~(across[x] & (part[x] == part[y])) & ((OF + LEAST) * np.minimum(rest[x], rest[y]) >= LEAST * (n[x] + n[y]))
+                x, y = x[ok], y[ok]
+                ok = may_be_alike(n[x], n[y], buckets[x], buckets[y])
+                for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    pair = int(min(fp[a], fp[b])), int(max(fp[a], fp[b]))
+                    if root[a] == root[b] or pair in unlike:
+                        continue
+                    both = len(np.intersect1d(store.read(file[a], int(start[a]), int(n[a])), store.read(file[b], int(start[b]), int(n[b])), assume_unique=True))
+                    if OF * both >= LEAST * (n[a] + n[b] - both):
+                        out.append(pair)
+                        moved[int(root[a])] = int(root[b])
+                        root[root == root[a]] = root[b]
+                    else:
+                        if len(unlike) >= KNOWN:
+                            unlike.clear()
+                        unlike.add(pair)
+                step += 1
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -180,13 +208,13 @@ def _meeting(members: DataFrame, most: int) -> DataFrame:
                 last = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
                 at = int(last[-1]) + 1 if len(last) else 0
                 if at:
-                    yield from pairs(t.slice(0, at))
+                    yield linked(t.slice(0, at))
                 held = t.slice(at).to_batches()
                 size = t.num_rows - at
         if size:
-            yield from pairs(pa.Table.from_batches(held))
+            yield linked(pa.Table.from_batches(held))
 
-    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*names).sortWithinPartitions(*names, "n").mapInArrow(run, "a long, b long")
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -242,19 +270,21 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # members of shingles that several sets hold
     w = Window.partitionBy("key")
-    held = whole.select("fp", "n", F.explode("keys").alias("key")).withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w))
-    shared = stored(held.where("low <> high").select("key", "fp", "n").distinct())
+    held = whole.select("fp", "n", F.posexplode("keys").alias("pos", "key")).withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w))
+    shared = stored(held.where("low <> high").select("key", "fp", "n", "pos").distinct())
 
-    # what SimHash proposes, and two members of each shingle against all others: what is alike in a large group is soon one component
+    # what SimHash proposes, and each set against two of those that it meets: what is alike in a large group is soon one component
     ends = [F.min(F.struct(F.xxhash64("fp", F.lit(seed)).alias("h"), "fp", "n")).over(w) for seed in (1, 2)]
-    stars = shared.select("fp", "n", *(e.alias(f"c{i}") for i, e in enumerate(ends))).select("fp", "n", F.explode(F.array("c0", "c1")).alias("c"))
-    near = _alike(_by_simhash(sets).union(stars.where(_fits(F.col("n"), F.col("c.n"))).select(F.col("fp").alias("a"), F.col("c.fp").alias("b"))), sets, uri)
+    first_met = [F.min(F.when(_fits(F.col("n"), F.col(c)["n"]), F.col(c))).alias(c) for c in ("c0", "c1")]
+    stars = shared.select("fp", "n", *(e.alias(f"c{i}") for i, e in enumerate(ends))).groupBy("fp").agg(*first_met).select("fp", F.explode(F.array("c0", "c1")).alias("c"))
+    near = _alike(_by_simhash(sets).union(stars.select(F.col("fp").alias("a"), F.col("c.fp").alias("b"))), sets, uri)
 
-    # then all pairs of a shingle that aren't connected yet
+    # then all pairs of a shingle that aren't connected yet; shingles that the same sets hold are one
     roots = cut(components(near).distinct()).withColumnRenamed("node", "fp")
-    rooted = shared.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    apart = rooted.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high").select("key", "fp", "root")
-    more = _alike(_meeting(apart.join(sets.select("fp", "n", "buckets"), "fp"), part), sets, uri)
+    rooted = shared.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), "pos")
+    holders = F.xxhash64(F.count("*").over(w), *(F.bit_xor(F.xxhash64("fp", F.lit(seed))).over(w) for seed in (3, 4)))
+    apart = rooted.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).withColumn("key", holders).where("low <> high").groupBy("key", "fp", "root").agg(F.min("pos").alias("pos"))
+    more = cut(_meeting(apart.join(sets.select("fp", "n", "buckets", "file", "start"), "fp"), uri, part))
 
     folder.fs.delete_dir(folder.root)  # both kinds of links stand in the shared folder now
     trees = roots.select(F.col("root").alias("a"), F.col("fp").alias("b"))  # what is connected already, as trees of depth one

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import lm
+from tidebar.llm.common import crc_bucket, table
 
 
 def tokens(t):
@@ -156,3 +158,12 @@ def test_many_ranges_under_few_handles(tmp_path):
 def test_other_orders_are_refused(none):
     with pytest.raises(ValueError):
         lm.train(none, order=4)
+
+
+def test_query_has_the_whole_model(spark, smoke_dir):
+    """The registered query scores by order 3 with every n-gram, as ``train`` gives it by default."""
+    docs = table(spark, smoke_dir, "documents")
+    model = lm.train(docs.where(crc_bucket(F.col("doc_id"), 10) != 0))
+    assert model.order == 3
+    want = {r["doc_id"]: round(r["score"], 6) for r in lm.score(docs, model).collect()}
+    assert {r["doc_id"]: round(r["score"], 6) for r in lm.query(spark, smoke_dir).collect()} == want

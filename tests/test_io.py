@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidebar.operators import backtest as bt
@@ -138,3 +139,44 @@ def test_one_evaluation_a_cycle(spark, tmp_path):
     stream = spark.readStream.schema("account long, symbol string, ts timestamp_ntz").parquet(f"{tmp_path}/in/*")
     out = jobs.drain(jobs.dedupe_ticks(stream), f"{tmp_path}/out")
     assert sorted((r["account"], r["symbol"], r["cycle"].minute) for r in out.collect()) == [(1, "a", 0), (1, "a", 1), (1, "a", 3), (1, "b", 0), (2, "a", 0)]
+
+
+def test_walk_is_step_by_step():
+    import random
+
+    import numpy as np
+
+    from tidebar.operators import decide
+
+    rng = random.Random(8)
+    for _ in range(200):
+        now = np.sort(np.array([rng.randrange(20_000) / 2 for _ in range(rng.randrange(60))], float))
+        score = np.array([rng.choice([0.1, 0.5, 0.61, 0.62, 0.63, 0.9]) for _ in now], float)
+        held, until = rng.random() < 0.5, rng.choice([float("-inf"), 3000.0])
+        want, h, u = [], held, until
+        for i, (t, x) in enumerate(zip(now.tolist(), score.tolist(), strict=True)):
+            side, h, u = decide.step(h, u, t, x)
+            want += [(i, side)] if side else []
+        at, sides, after, free = decide.walk(now, score, held, until)
+        assert (list(zip(at.tolist(), sides, strict=True)), after, free) == (want, h, u)
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_a_stretch_of_several_files_is_one_micro_batch(spark, tmp_path, monkeypatch, gap):
+    """Many files a stretch: as many in each, one stretch at once, and the decisions are the batch's."""
+    from tidebar.operators import decide
+    from tidebar.plans import catalog
+
+    monkeypatch.setattr(catalog, "FILE_ROWS", 300)
+    monkeypatch.setattr(catalog, "LEAST_ROWS", 50)
+    n = 6000
+    rows = spark.range(0, n, 1, 6).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 30_000_000 + F.lit(864_000_000_000 if gap else 0) * (F.col("id") >= n // 2).cast("long")).cast("timestamp_ntz").alias("ts"), F.lit("s").alias("event_type"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    stream = catalog._scored_ticks(catalog._in_turn(spark, str(tmp_path), f"{tmp_path}/s", late="30 minutes"))
+    files = [len(list(p.glob("*.parquet"))) for p in sorted((tmp_path / "s" / "in").iterdir())]
+    assert len(set(files)) == 1 and files[0] > 1 and len(files) == (2 if gap else 4)
+    got = jobs.drain(jobs.stream_decide(stream, "40 minutes"), f"{tmp_path}/out")
+    scored = catalog._scored_ticks(catalog._events(spark, str(tmp_path)))
+    end = scored.where(decide.can_act(F.col("score"))).agg(F.max("ts")).first()[0] - dt.timedelta(minutes=40)
+    want = [tuple(r) for r in decide.cooldown(scored).collect() if r["ts"] <= end]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 4

@@ -59,6 +59,21 @@ def step(held: bool, until: float, now: float, score: float | None) -> tuple[str
     return None, held, until
 
 
+def walk(now: np.ndarray, score: np.ndarray, held: bool, until: float) -> tuple[np.ndarray, list[str], bool, float]:
+    """As ``step`` for one tick after another in the order of time: which ticks act, their sides, and the state after all. Work grows with the acts."""
+    may = np.flatnonzero(score > BUY_ABOVE), np.flatnonzero(score < SELL_BELOW)
+    at, sides = [], []
+    while True:
+        own = may[held]
+        k = np.searchsorted(own, np.searchsorted(now, until, "left"))
+        if k == len(own):
+            return np.array(at, np.int64), sides, held, until
+        at.append(int(own[k]))
+        sides.append(("BUY", "SELL")[held])
+        until = float(now[at[-1]]) + (PAUSE_BUY, PAUSE_SELL)[held]
+        held = not held
+
+
 def can_act(score: Column) -> Column:
     """Whether a tick of this score may be acted on in some state; other ticks leave every state as it is."""
     return ~F.isnan(score) & ((score < SELL_BELOW) | (score > BUY_ABOVE))

@@ -688,19 +688,27 @@ def stream_dedupe(spark, d):
     return out.select("account", "symbol", F.col("cycle").cast("timestamp_ntz").alias("cycle"))
 
 
+#: Events that one file of a stream is made for, and the least that it gets where a stretch of time has several.
+FILE_ROWS, LEAST_ROWS = 500_000, 1000
+
+
 def _in_turn(spark, d, path: str, parts: int = 4, late: str | None = None) -> DataFrame:
-    """The ticks as a stream of files, one a micro-batch: the events are cut into stretches of time and written one after another.
+    """The ticks as a stream of files, one stretch of time a micro-batch: the events are cut into stretches and written one after another.
 
-    With ``late`` a tick goes by the time at which it comes: up to that much after its own, by a hash of its id.
+    All stretches with rows have as many files, as a micro-batch takes that many: a file that came after the others of its stretch
+    would be late. With ``late`` a tick goes by the time at which it comes: up to that much after its own, by a hash of its id.
     """
     events = spark.read.parquet(f"{d}/events.parquet")
     comes = F.col("ts") if late is None else F.col("ts") + F.expr(f"INTERVAL {late}") * (F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000)
     ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / parts for k in range(1, parts)] if ends["a"] is not None else []
-    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        part = events.where((comes >= F.lit(low)) if low else F.lit(True)).where((comes < F.lit(high)) if high else F.lit(True))
-        part.write.parquet(f"{path}/in/{k}")
-    return ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*"))
+    inside = [((comes >= F.lit(low)) if low else F.lit(True)) & ((comes < F.lit(high)) if high else F.lit(True)) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+    rows = [r for r in events.agg(*(F.count_if(c).alias(str(k)) for k, c in enumerate(inside))).first()]
+    files = max(1, min(max(rows) // FILE_ROWS, min((n for n in rows if n), default=0) // LEAST_ROWS))
+    for k, (c, n) in enumerate(zip(inside, rows, strict=True)):
+        if n or not any(rows):
+            events.where(c).repartition(files).write.parquet(f"{path}/in/{k}")
+    return ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in/*"))
 
 
 @query

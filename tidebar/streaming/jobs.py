@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidebar.functions.clean import FEATURE_COLS, ensure_columns, null_to_zero, scrub, series
 from tidebar.operators.bars import fill_gaps, from_ticks
-from tidebar.operators.decide import can_act, step
+from tidebar.operators.decide import can_act, walk
 from tidebar.operators.features import HALO, v2_finite
 from tidebar.operators.indicators import macd_of_parts, macd_parts
 from tidebar.operators.sequences import sequence_lookback
@@ -28,12 +28,16 @@ def stream_ohlcv(ticks: DataFrame, every: str = "1 hour", delay: str = DELAY) ->
     return from_ticks(zoned, every).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+#: Ticks in one row of a symbol's state.
+TOGETHER = 50_000
+
+
 class _InTurn(StatefulProcessor):
-    """A symbol's decisions: ticks wait until the watermark has passed them, and then act in the order of their time."""
+    """A symbol's decisions: ticks wait until the watermark has passed them, and then act in the order of their time. They wait as arrays, many in a row of state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, score double")
+        self.waiting = handle.getListState("waiting", "us binary, seq binary, score binary")
         self.position = handle.getValueState("position", "held boolean, until double, timer bigint")
 
     def _ask(self, us: int, held: bool, until: float, timer: int) -> None:
@@ -49,35 +53,32 @@ class _InTurn(StatefulProcessor):
     def _state(self) -> tuple[bool, float, int]:
         return tuple(self.position.get()) if self.position.exists() else (False, float("-inf"), -1)
 
+    def _wait(self, *ticks: np.ndarray) -> None:
+        self.waiting.appendList([tuple(c[at : at + TOGETHER].tobytes() for c in ticks) for at in range(0, len(ticks[0]), TOGETHER)])
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            if len(part):
-                us = part["us"].tolist()
-                self.waiting.appendList(list(zip(us, part["seq"].tolist(), part["score"].tolist(), strict=True)))
-                first = min(us) if first is None else min(first, *us)
-        if first is not None:
-            self._ask(first, *self._state())
+        parts = [[p["us"].astype("int64").to_numpy(), p["seq"].astype("int64").to_numpy(), p["score"].astype("float64").to_numpy()] for p in rows if len(p)]
+        if parts:
+            ticks = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            self._wait(*ticks)
+            self._ask(int(ticks[0].min()), *self._state())
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         held, until, _ = self._state()
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        ticks = sorted(self.waiting.get())  # no more than the watermark's delay and one micro-batch bring
-        n = bisect.bisect_right(ticks, upto, key=lambda t: t[0])
-        taken = []
-        for us, seq, score in ticks[:n]:
-            side, held, until = step(held, until, us / 1e6, score)
-            if side:
-                taken.append((us, seq, side))
+        rows = list(self.waiting.get())  # no more than the watermark's delay and one micro-batch bring
+        us, seq, score = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), t) for k, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((score, seq, us))
+        us, seq, score = us[order], seq[order], score[order]
+        n = int(np.searchsorted(us, upto, "right"))
+        at, sides, held, until = walk(us[:n] / 1e6, score[:n], held, until)
         self.waiting.clear()
         self.position.update((held, until, -1))
-        if n < len(ticks):
-            self.waiting.put(ticks[n:])
-            self._ask(ticks[n][0], held, until, -1)
-        out = pd.DataFrame(taken, columns=["us", "seq", "side"]).astype({"us": "int64", "seq": "int64"})
-        out.insert(0, "symbol", key[0])
-        yield out
+        if n < len(us):
+            self._wait(us[n:], seq[n:], score[n:])
+            self._ask(int(us[n]), held, until, -1)
+        yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(at), dtype=object), "us": us[at], "seq": seq[at], "side": pd.Series(sides, dtype=object)})
 
 
 def stream_decide(ticks: DataFrame, delay: str = DELAY) -> DataFrame:

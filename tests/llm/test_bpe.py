@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -79,3 +80,26 @@ def test_chunks_are_found_again(odd_rows):
 def test_other_vocabularies_are_refused():
     with pytest.raises(Exception):
         bpe.Decoder("/nowhere.json")
+
+
+def test_few_chunks_are_shared_without_need(spark):
+    """Of chunks that no other document has, under one in a hundred is taken for a shared one, at 16 bits for each shared chunk."""
+    digests = [bpe._digest(f"chunk {i}") for i in range(1 << 16)]
+    bitmap = bpe._bitmap(spark.createDataFrame([(bytearray(d),) for d in digests], "h binary"), 1 << 20)
+    assert all(bpe._marked(d, bitmap) for d in digests)
+    assert sum(bpe._marked(bpe._digest(f"other {i}"), bitmap) for i in range(10_000)) < 100
+
+
+def test_texts_do_not_move(spark):
+    """Documents that share a passage are kept as the chunks they share and ids: not half of their characters."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(1000)
+    rows = [(i, f"{words(2000)} {passage} {words(2000)}") for i in range(12)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("stored-*"))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: expected(t) for i, t in rows}
+    letters = lambda x: len(x) if isinstance(x, str) else sum(map(letters, x)) if isinstance(x, (tuple, list)) else 0
+    held = sum(letters(r) for p in set(folder.glob("stored-*")) - before for r in spark.read.parquet(str(p)).collect())
+    assert held < 0.5 * sum(len(t) for _, t in rows)

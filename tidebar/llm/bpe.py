@@ -3,10 +3,12 @@
 A rolling hash over the characters cuts each text into chunks; equal passages give equal chunks wherever they stand. Spark
 counts chunk hashes over all documents; a chunk that several documents have is encoded once, and its ids are joined to
 every place where it stands. A chunk's ids hold inside it, but not where two chunks meet: a join is repaired by encoding
-the text around it anew, wider and wider, until the new ids agree exactly with those of both chunks at an edge.
+the text around it anew, wider and wider, until the new ids agree exactly with those of both chunks at an edge. So of an
+encoded stretch only the ids between its outermost edges and the few characters outside them are needed further on: these move,
+and no document's text does.
 
-Which chunks may be shared is told to the scan by a bitmap of 16 bits for each shared chunk, 32 MB at most. Where hashes
-collide in it, a chunk is only treated as shared without need.
+Which chunks may be shared is told to the scan by a bitmap of 16 bits for each shared chunk, 32 MB at most, in which each sets
+four. Where all four of another chunk are set (one in 400), it is only treated as shared without need.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import re
 from itertools import chain
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +32,8 @@ from .common import arrow_map, cut, kept, stored, table, texts
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Characters that the rolling hash sees, and the mean, least and most length of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
-#: Least and most bits of the shared-chunk bitmap, and words that a task's memo holds.
-BITMAP_BITS, MEMO_WORDS = (1 << 20, 1 << 28), 250_000
+#: Least and most bits of the shared-chunk bitmap, words that a task's memo holds, and chunks that a task knows it has sent.
+BITMAP_BITS, MEMO_WORDS, SENT = (1 << 20, 1 << 28), 250_000, 250_000
 #: A chunk with over one in HOT of all places, and LEAST_HOT places at least, is hot: there are fewer than HOT such chunks.
 HOT, LEAST_HOT = 1000, 10_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
@@ -101,6 +104,7 @@ class Encoder:
         self.most = memo
         self.chars = 0
         self.marks = {m: tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        self.dtype = np.uint16 if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) <= 0xFFFF else np.uint32
 
     def _learn(self, words: set[str]) -> None:
         memo, rest = self.memo, []
@@ -153,27 +157,45 @@ def _last_edge(text: str, encoder: Encoder, ids: list[int]) -> tuple[int, int] |
     return None
 
 
-def join_all(encoder: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
-    """The ids of all parts in a row, each text of a part with its own ids.
+class Piece(NamedTuple):
+    """An encoded stretch of text: the ids between its first edge and its last, and what stands outside; without an edge all of it is head, and there are no ids."""
+
+    head: str
+    ids: bytes | None
+    tail: str
+
+
+def piece(encoder: Encoder, text: str, ids: list[int]) -> Piece:
+    first = _first_edge(text, encoder, ids)
+    last = _last_edge(text, encoder, ids) if first else None
+    if first is None or last is None or last[0] < first[0]:
+        return Piece(text, None, "")
+    return Piece(text[: first[0]], np.array(ids[first[1] : last[1]], encoder.dtype).tobytes(), text[last[0] :])
 
-    A part's ids hold from its first edge to its last. What lies between the last edge of one part and the first of the next
+
+def join_pieces(encoder: Encoder, pieces: list[Piece]) -> list[int]:
+    """The ids of all pieces in a row.
+
+    A piece's ids hold from its first edge to its last. What lies between the last edge of one piece and the first of the next
     is encoded anew, once; at both edges the new ids must agree with the given ones, or the stretch grows to farther edges. A
-    part without an edge belongs to such a stretch as a whole, so the work is linear even in texts that are one long word.
+    piece without an edge belongs to such a stretch as a whole, so the work is linear even in texts that are one long word.
     """
     settled: list[int] = []
     open_: list[str] = []
-    for text, ids in parts:
-        first = _first_edge(text, encoder, ids)
-        last = _last_edge(text, encoder, ids) if first else None
-        if first is None or last is None or last[0] < first[0]:
-            open_.append(text)
-            continue
-        settled += encoder.ids("".join([*open_, text[: first[0]]]))
-        settled += ids[first[1] : last[1]]
-        open_ = [text[last[0] :]]
+    for head, ids, tail in pieces:
+        open_.append(head)
+        if ids is not None:
+            settled += encoder.ids("".join(open_))
+            settled += np.frombuffer(ids, encoder.dtype).tolist()
+            open_ = [tail]
     return settled + encoder.ids("".join(open_))
 
 
+def join_all(encoder: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
+    """The ids of all parts in a row, each text of a part with its own ids."""
+    return join_pieces(encoder, [piece(encoder, *p) for p in parts])
+
+
 def _picked(of: list[str], ids: list[int]) -> str:
     return " ".join(itemgetter(*ids)(of)) if len(ids) > 1 else of[ids[0]] if ids else ""
 
@@ -203,23 +225,30 @@ class Decoder:
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each shared hash, by its low bits: or-ed in Spark into words of 64 bits, at most ``bits`` / 64 rows."""
-    at = F.pmod(F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long"), F.lit(bits))
-    words = hashes.select(at.alias("at")).select(F.expr("shiftright(at, 6)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    """The bits of ``_slots`` for each shared hash: or-ed in Spark into words of 64 bits, at most ``bits`` / 64 rows."""
+    slots = F.array(*(F.pmod(F.conv(F.hex(F.substring("h", k, 4)), 16, 10).cast("long"), F.lit(bits)) for k in (1, 5, 9, 13)))
+    words = hashes.select(F.explode(slots).alias("at")).select(F.expr("shiftright(at, 6)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
     out = np.zeros(bits // 64, np.uint64)
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _slot(digest: bytes, bits: int) -> int:
-    return int.from_bytes(digest[:4], "big") % bits
+def _slots(digest: bytes, bits: int) -> list[int]:
+    return [int.from_bytes(digest[k : k + 4], "big") % bits for k in (0, 4, 8, 12)]
+
+
+def _marked(digest: bytes, bitmap: np.ndarray) -> bool:
+    return all(int(bitmap[s >> 6]) >> (s & 63) & 1 for s in _slots(digest, 64 * len(bitmap)))
 
 
 def _pack(ids: list[int]) -> bytes:
     return np.array(ids, np.uint32).tobytes() if ids and max(ids) > 0xFFFF else np.array(ids, np.uint16).tobytes()
 
 
+_PIECE = pa.struct([("at", pa.int32()), ("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string())])
+
+
 def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids themselves.
 
@@ -257,39 +286,47 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
         encoder, decoder, bits = kept(("encoder", path), lambda: Encoder(path)), kept(("decoder", path), lambda: Decoder(path)), bitmap.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """Documents without a chunk that may be shared are done here; the others go on with their text and chunks."""
+            """Documents without a chunk that may be shared are done here; the others go on as such chunks, and the pieces between them encoded."""
             alone, met = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at, refs = 0, []
+                at, own, refs, chunks, pieces = 0, 0, [], [], []
                 for end in chunk_ends(text):
                     d = _digest(text[at:end])
-                    s = _slot(d, n_bits)
-                    if int(bits[s >> 6]) >> (s & 63) & 1:
-                        refs.append((d, at, end))
+                    if _marked(d, bits):
+                        if own < at:
+                            pieces.append({"at": own, **piece(encoder, text[own:at], encoder.ids(text[own:at]))._asdict()})
+                        refs.append({"h": d, "at": at})
+                        chunks.append(text[at:end])
+                        own = end
                     at = end
-                if refs:
-                    met.append((doc_id, text, refs))
-                else:
+                if not refs:
                     alone.append((doc_id, encoder.ids(text)))
+                    continue
+                if own < at:
+                    pieces.append({"at": own, **piece(encoder, text[own:], encoder.ids(text[own:]))._asdict()})
+                met.append((doc_id, xxhash.xxh3_128_digest(f"{doc_id} {text}".encode("utf-8", "surrogatepass")), pieces, refs, chunks))
             none = [None] * len(met)
             first = [pa.concat_arrays([a, pa.array(m, a.type)]) for a, m in zip(finish(decoder, alone), ([x[0] for x in met], none, none, none, none), strict=True)]
             pad = [None] * len(alone)
-            key = [xxhash.xxh3_128_digest(f"{x[0]} {x[1]}".encode("utf-8", "surrogatepass")) for x in met]
-            refs = pa.array(pad + [[{"h": h, "a": a, "b": b} for h, a, b in x[2]] for x in met], pa.list_(pa.struct([("h", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])))
-            return pa.RecordBatch.from_arrays([*first, pa.array(pad + [x[1] for x in met], pa.string()), pa.array(pad + key, pa.binary()), refs], [*names, "text", "key", "refs"])
+            rest = [pa.array(pad + [x[k] for x in met], t) for k, t in ((1, pa.binary()), (2, pa.list_(_PIECE)), (3, pa.list_(pa.struct([("h", pa.binary()), ("at", pa.int32())]))), (4, pa.list_(pa.string())))]
+            return pa.RecordBatch.from_arrays([*first, *rest], [*names, "key", "pieces", "refs", "chunks"])
 
         return run
 
-    scanned = stored(arrow_map(base, scan, f"{done_schema}, text string, key binary, refs array<struct<h:binary,a:int,b:int>>"))
-    met = scanned.where("key is not null").select("doc_id", "key", "text", "refs")
+    piece_schema = "at:int,head:string,ids:binary,tail:string"
+    scanned = stored(arrow_map(base, scan, f"{done_schema}, key binary, pieces array<struct<{piece_schema}>>, refs array<struct<h:binary,at:int>>, chunks array<string>"))
+    met = scanned.where("key is not null")
 
     def chunks():
+        sent: set[bytes] = set()
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             own: dict[bytes, str] = {}
-            for text, refs in zip(batch.column("text").to_pylist(), batch.column("refs").to_pylist(), strict=True):
-                for r in refs:
-                    if r["h"] not in own:
-                        own[r["h"]] = text[r["a"] : r["b"]]
+            for refs, texts_ in zip(batch.column("refs").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+                own.update((r["h"], t) for r, t in zip(refs, texts_, strict=True) if r["h"] not in sent)
+            if len(sent) > SENT:
+                sent.clear()
+            sent.update(own)
             return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.string())], ["h", "chunk"])
 
         return run
@@ -298,37 +335,30 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
         encoder = kept(("encoder", path), lambda: Encoder(path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("h"), pa.array([np.array(encoder.ids(t), np.uint32).tobytes() for t in batch.column("chunk").to_pylist()], pa.binary())], ["h", "ids"])
+            made = [piece(encoder, t, encoder.ids(t)) for t in batch.column("chunk").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("h"), *(pa.array([getattr(p, c) for p in made], t) for c, t in (("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string())))], ["h", "head", "ids", "tail"])
 
         return run
 
-    once = arrow_map(arrow_map(met, chunks, "h binary, chunk string").groupBy("h").agg(F.first("chunk").alias("chunk")), encode_chunks, "h binary, ids binary")
-    places = met.dropDuplicates(["key"]).select("key", F.explode("refs").alias("r")).select("key", F.col("r.h").alias("h"), F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+    once = arrow_map(arrow_map(met.select("refs", "chunks"), chunks, "h binary, chunk string").groupBy("h").agg(F.first("chunk").alias("chunk")), encode_chunks, "h binary, head string, ids binary, tail string")
+    places = met.dropDuplicates(["key"]).select("key", F.explode("refs").alias("r")).select("key", F.col("r.h").alias("h"), F.col("r.at").alias("at"))
     # a hot chunk's ids are copied, and its places dealt out over the copies
-    places = places.join(F.broadcast(hot), "h", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("key", "a"), F.col("k")).cast("int"), F.lit(0))).drop("k")
-    once = once.join(F.broadcast(hot), "h", "left").select("h", "ids", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("copy"))
-    given = places.join(once, ["h", "copy"]).groupBy("key").agg(F.collect_list(F.struct("a", "b", "ids")).alias("given"))
+    places = places.join(F.broadcast(hot), "h", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("key", "at"), F.col("k")).cast("int"), F.lit(0))).drop("k")
+    once = once.join(F.broadcast(hot), "h", "left").select("h", "head", "ids", "tail", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("copy"))
+    given = places.join(once, ["h", "copy"]).groupBy("key").agg(F.collect_list(F.struct("at", "head", "ids", "tail")).alias("given"))
 
     def assemble():
         encoder, decoder = kept(("encoder", path), lambda: Encoder(path)), kept(("decoder", path), lambda: Decoder(path))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, text, given_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("given").to_pylist(), strict=True):
-                parts, at = [], 0
-                for g in sorted(given_, key=lambda g: g["a"]):
-                    if g["a"] > at:
-                        parts.append((text[at : g["a"]], encoder.ids(text[at : g["a"]])))
-                    parts.append((text[g["a"] : g["b"]], np.frombuffer(g["ids"], np.uint32).tolist()))
-                    at = g["b"]
-                if at < len(text):
-                    parts.append((text[at:], encoder.ids(text[at:])))
-                rows.append((doc_id, join_all(encoder, parts)))
+            for doc_id, pieces, given_ in zip(batch.column("doc_id").to_pylist(), batch.column("pieces").to_pylist(), batch.column("given").to_pylist(), strict=True):
+                rows.append((doc_id, join_pieces(encoder, [Piece(p["head"], p["ids"], p["tail"]) for p in sorted(pieces + given_, key=itemgetter("at"))])))
             return pa.RecordBatch.from_arrays(finish(decoder, rows), names)
 
         return run
 
-    rest = arrow_map(met.select("doc_id", "key", "text").join(given, "key").select("doc_id", "text", "given"), assemble, done_schema)
+    rest = arrow_map(met.select("doc_id", "key", "pieces").join(given, "key").select("doc_id", "pieces", "given"), assemble, done_schema)
     return scanned.where("key is null").select(*names).union(rest)
 
 

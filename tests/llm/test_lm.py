@@ -167,3 +167,26 @@ def test_query_has_the_whole_model(spark, smoke_dir):
     assert model.order == 3
     want = {r["doc_id"]: round(r["score"], 6) for r in lm.score(docs, model).collect()}
     assert {r["doc_id"]: round(r["score"], 6) for r in lm.query(spark, smoke_dir).collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 100_000])
+def test_index(n):
+    """Keys are found with their values, whatever bytes these need; others are not."""
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    values = [rng.integers(1, 400, n), rng.integers(0, 1 << 40, n)]
+    index = lm.Index(lm.Index.arrays(key, values))
+    hit, at = index.find(np.concatenate([key, key + np.uint64(1)]))
+    assert hit.tolist() == list(range(n))
+    assert all((got == want).all() for got, want in zip(index.values(at), values, strict=True))
+
+
+def test_arrays_are_small(spark):
+    """Under 16 bytes of all arrays for each different trigram, and nothing but arrays left in the folder."""
+    rng = np.random.default_rng(4)
+    train = [" ".join(f"w{x}" for x in rng.integers(0, 500, 400)) for _ in range(100)]
+    triples = {x for t in train for w in [["<s>", *tokens(t)]] for x in zip(w, w[1:], w[2:])}
+    store = lm.Store(lm.train(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")).uri)
+    found = store.fs.get_file_info(lm.pafs.FileSelector(store.root))
+    assert all(f.type == lm.pafs.FileType.File for f in found)
+    assert sum(f.size for f in found) < 16 * len(triples)

@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one.
 
     What is put there (checkpoints, and folders named ``stored-``, ``sets-``, ``lm-`` and ``pipeline-`` with a random name) is
-    read for as long as a result is used, so nothing here removes it: whoever runs the job clears the folder after it.
+    read for as long as a result is used, so nothing here removes it, but for blocks that ``lm.train`` has merged into its arrays: whoever
+    runs the job clears the folder after it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,13 +64,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """As ``cut``, as a compressed table: for rows that hold texts."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries inside drop their shuffle files as they end: for such as are run once, whose results are written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def kept(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in the life of a Python worker: for objects that take long to load. A worker runs one task at a time."""
     held = sys.__dict__.setdefault("_tidebar_kept", {})

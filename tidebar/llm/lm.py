@@ -4,7 +4,9 @@ Words are 64-bit hashes. Each task counts what it reads and sends one block of s
 range is merged with array operations. A range's arrays are written once to the shared folder; workers map them, a few hundred at
 once, or copy and map them where the folder is not a mounted one. N-grams of the highest order are stored, each with its count,
 where they are merged, and do not move again; only how many kinds of each count follow a context is dealt out by the context, one
-row a range and context. ``train`` can leave the weight of those seen once to the lower order (``singles=False``); probabilities
+row a range and context. In the shuffle of trigrams the most frequent words have names of two bytes. With order 3 the arrays are
+indexes: sorted keys shortened to 32 bits in buckets, values as codes into a table of those that occur, and the weight left by a context
+stands beside its bigram; shuffle files and merged blocks are dropped once they are used. ``train`` can leave the weight of those seen once to the lower order (``singles=False``); probabilities
 after each context sum to one either way. N-grams are dealt out by the last word, those that end in a hot one by the last two,
 trigrams that end in two hot ones by all three; ranges grow in number with the characters of the table, and each is a partition
 of its own, so what a task merges doesn't grow until there are ``MOST_RANGES``.
@@ -16,8 +18,9 @@ import math
 import mmap
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, cut, shared_dir, stored, table, texts
+from .common import crc_bucket, cut, shared_dir, shuffles_dropped, stored, table, texts
 
 #: Tokens that a task counts or scores at once, characters (and as many a document) that a hash range is made for, and shares of all tokens: a word with more than one in HOT a range, and LEAST_HOT in all, is hot.
 BLOCK, RANGE_CHARS, DOC_CHARS, MOST_RANGES, HOT, LEAST_HOT = 1_000_000, 8_000_000, 6, 1 << 16, 4, 512
+#: Words that have names of two bytes in the shuffle of trigrams.
+SHORT = 0xFFFF
 #: Files that a task maps at once: those longest mapped give way.
 MOST_MAPPED = 256
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,11 +92,19 @@ class Store:
         self.held: dict[str, list[np.ndarray]] = {}
 
     def write(self, name: str, arrays: list[np.ndarray]) -> None:
+        """Arrays of one length."""
+        self._write(name, [np.array([len(arrays[0])], np.int64), *arrays])
+
+    def write_all(self, name: str, arrays: list[np.ndarray]) -> None:
+        """Arrays of any types and lengths."""
+        head = np.array([len(arrays), *chain.from_iterable((_TYPES.index(a.dtype), len(a)) for a in arrays)], np.int64)
+        self._write(name, [head, *arrays])
+
+    def _write(self, name: str, parts: list[np.ndarray]) -> None:
         """Under a name of its own first: a task that runs twice leaves one whole file."""
         own = f"{self.root}/{name}.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(own) as out:
-            out.write(np.array([len(arrays[0])], np.int64).tobytes())
-            for a in arrays:
+            for a in parts:
                 out.write(a.tobytes())
         try:
             self.fs.move(own, f"{self.root}/{name}")
@@ -101,37 +114,117 @@ class Store:
             self.fs.delete_file(own)
 
     def read(self, name: str, dtypes: list[type]) -> list[np.ndarray]:
-        """Mapped, not loaded; a range without a file is empty."""
+        """What ``write`` wrote, mapped, not loaded; a range without a file is empty."""
+
+        def cut_up(whole: mmap.mmap | None) -> list[np.ndarray]:
+            if whole is None:
+                return [np.empty(0, t) for t in dtypes]
+            n, at, out = int(np.frombuffer(whole, np.int64, 1)[0]), 8, []
+            for t in dtypes:
+                out.append(np.frombuffer(whole, t, n, at))
+                at += n * np.dtype(t).itemsize
+            return out
+
+        return self._held(name, cut_up)
+
+    def read_all(self, name: str) -> list[np.ndarray]:
+        """What ``write_all`` wrote, mapped; nothing where there is no file."""
+
+        def cut_up(whole: mmap.mmap | None) -> list[np.ndarray]:
+            if whole is None:
+                return []
+            k = int(np.frombuffer(whole, np.int64, 1)[0])
+            at, out = 8 * (1 + 2 * k), []
+            for of, n in np.frombuffer(whole, np.int64, 2 * k, 8).reshape(k, 2).tolist():
+                out.append(np.frombuffer(whole, _TYPES[of], n, at))
+                at += n * _TYPES[of].itemsize
+            return out
+
+        return self._held(name, cut_up)
+
+    def _held(self, name: str, cut_up: Callable[[mmap.mmap | None], list[np.ndarray]]) -> list[np.ndarray]:
         if name not in self.held:
             while len(self.held) >= MOST_MAPPED:
                 self.held.pop(next(iter(self.held)))  # unmapped once no array of it is in use
-            if self.fs.get_file_info(f"{self.root}/{name}").type == pafs.FileType.NotFound:
-                self.held[name] = [np.empty(0, t) for t in dtypes]
-            else:
-                if isinstance(self.fs, pafs.LocalFileSystem):
-                    f = open(f"{self.root}/{name}", "rb")  # noqa: SIM115  the map outlives the file object
-                else:
-                    f = tempfile.TemporaryFile()  # without a name: gone with the worker
-                    with self.fs.open_input_stream(f"{self.root}/{name}") as source:
-                        while part := source.read(1 << 22):
-                            f.write(part)
-                    f.flush()
-                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-                f.close()
-                n, at, out = int(np.frombuffer(whole, np.int64, 1)[0]), 8, []
-                for t in dtypes:
-                    out.append(np.frombuffer(whole, t, n, at))
-                    at += n * np.dtype(t).itemsize
-                self.held[name] = out
+            self.held[name] = cut_up(self._mapped(name))
         return self.held[name]
 
+    def _mapped(self, name: str) -> mmap.mmap | None:
+        if self.fs.get_file_info(f"{self.root}/{name}").type == pafs.FileType.NotFound:
+            return None
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            f = open(f"{self.root}/{name}", "rb")  # noqa: SIM115  the map outlives the file object
+        else:
+            f = tempfile.TemporaryFile()  # without a name: gone with the worker
+            with self.fs.open_input_stream(f"{self.root}/{name}") as source:
+                while part := source.read(1 << 22):
+                    f.write(part)
+            f.flush()
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        f.close()
+        return whole
+
+
+_TYPES = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.float64)]
+
+
+def _coded(values: list[np.ndarray]) -> list[np.ndarray]:
+    """Which of the different rows each row is, in as few bytes as these need, and a table of them for each column of values."""
+    code, size = np.zeros(len(values[0]), np.int64), 1
+    for v in values:
+        own, back = np.unique(v, return_inverse=True)
+        rows, code = np.unique(code * len(own) + back, return_inverse=True)
+        size = len(rows)
+    first = np.zeros(size, np.int64)
+    first[code] = np.arange(len(code))
+    return [code.astype(np.min_scalar_type(max(0, size - 1))), *(v[first[: len(v)]].astype(np.float64) for v in values)]
+
+
+class Index:
+    """Values by 64-bit keys: sorted keys without the bits that name their bucket (4 to 8 keys), of the rest 32 bits; values as codes.
+
+    A key that isn't there is taken for one that is about once in 2 ** 29 times.
+    """
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.starts, self.low, self.code, *self.tables = arrays
+
+    @staticmethod
+    def arrays(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        key = key * _SALT
+        order = np.argsort(key)
+        key, bits = key[order], min(16, max(1, len(key).bit_length() - 3))
+        starts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+        return [starts, ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *_coded([v[order] for v in values])]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the places of those."""
+        return self.find_spread(key * _SALT)
+
+    def find_spread(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for keys times ``_SALT``, of which the upper 48 bits count."""
+        bits = (len(self.starts) - 1).bit_length() - 1
+        bucket, low = (key >> np.uint64(64 - bits)).astype(np.int64), ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        last = end.copy()
+        while (at < end).any():  # all at once by halves
+            middle = np.minimum((at + end) >> 1, len(self.low) - 1)
+            less, open_ = self.low[middle] < low, at < end
+            at, end = np.where(open_ & less, middle + 1, at), np.where(open_ & ~less, middle, end)
+        hit = np.flatnonzero(at < last)
+        hit = hit[self.low[at[hit]] == low[hit]]
+        return hit, at[hit]
+
+    def values(self, at: np.ndarray) -> list[np.ndarray]:
+        code = self.code[at]
+        return [t[code] for t in self.tables]
+
 
 def _store(uri: str) -> Store:
     return Store(uri)
 
 
 _U, _C, _B, _G = [np.uint64, np.int64], [np.uint64, np.int64], [np.uint64, np.uint32], [np.uint64, np.float32]
-_PAIRS, _ONE, _TWO, _THREE = [np.uint64, np.uint32, np.uint32], [np.uint64, np.float32, np.float64], [np.uint64, np.float32], [np.uint64, np.uint32]
 
 
 @dataclass(frozen=True)
@@ -192,6 +285,28 @@ def _of_six(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
 
 
+def _named(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The place of each word among those with a name; ``SHORT`` for others."""
+    if not len(names):
+        return np.full(len(x), SHORT, np.uint16)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return np.where(names[at] == x, at, SHORT).astype(np.uint16)
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of each number as a row of six bytes."""
+    return (x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _of_names(t: pa.Table, name: str, rest: str, names: np.ndarray) -> np.ndarray:
+    at, six = _column(t, name, np.uint16), _column(t, rest, np.uint8).reshape(-1, 6)
+    out = np.zeros(len(at), np.uint64)
+    known = at < SHORT
+    out[known] = names[at[known]]
+    out[~known] = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel() << np.uint64(16)
+    return out
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in columns that stand in order."""
     n = len(columns[0])
@@ -215,14 +330,15 @@ def _range(h: np.ndarray, w: np.ndarray, hot: np.ndarray, shift: np.uint64) -> n
     return r
 
 
-def _dealt(of: np.ndarray, columns: list[np.ndarray], kind: str = "", sort: bool = True) -> pa.RecordBatch:
-    """One row for each range, with its part of each column as bytes."""
+def _dealt(of: np.ndarray, columns: list[np.ndarray], kind: str = "", sort: bool = True, some: tuple[tuple[np.ndarray, np.ndarray], ...] = ()) -> pa.RecordBatch:
+    """One row for each range, with its part of each column as bytes; of ``some`` columns only what is marked."""
     if sort:
         order = np.argsort(of, kind="stable")
         of, columns = of[order], [c[order] for c in columns]
     at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     ends = [*at[1:], len(of)] if len(at) else []
     parts = [pa.array([c[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for c in columns]
+    parts += [pa.array([c[s:e][m[s:e]].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for c, m in some]
     parts += [pa.nulls(len(at), pa.binary())] * (6 - len(parts))
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(of[at].astype(np.int32)), *parts], ["kind", "r", *"abcdef"])
 
@@ -277,12 +393,14 @@ def _numbers(merged: DataFrame, kind: str, n: int) -> np.ndarray:
     return out
 
 
-def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
+def _train_triples(base: DataFrame, model: Model, singles: bool, names: np.ndarray) -> Model:
     """Order 3 on top of the words: raw counts of trigrams, kinds of words before a bigram (raw counts after a begin), kinds of words before a word.
 
     A trigram is dealt out by its last word, by its last two if the last is hot, by all three if both are; so kinds before a bigram
     are whole where its trigrams are merged, but for those of two hot words, whose parts are merged in a range of the bigram.
+    ``names`` are words in order that stand in the shuffle by their place.
     """
+    named = base.sparkSession.sparkContext.broadcast(names)
     uri, hot, shift, n_ranges = model.uri, model.hot, np.uint64(64 - model.bits), 1 << model.bits
     begin = (BEGIN & UPPER) >> np.uint64(16)
     up = lambda x: x << np.uint64(16)
@@ -305,14 +423,13 @@ def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
             r, u, v, w, n = r[order], u[order], v[order], w[order], n[order]
             first = np.concatenate([[True], r[1:] != r[:-1]])
             delta = np.where(first, w, w - np.concatenate([[np.uint64(0)], w[:-1]]))
-            yield _dealt(r, [delta, *_six(v >> np.uint64(16)), *_six(u >> np.uint64(16)), n], sort=False)
+            short = [_named(x, named.value) for x in (v, u)]
+            yield _dealt(r, [delta, *short, n], sort=False, some=tuple((_bytes_of(x), s == SHORT) for x, s in zip((v, u), short, strict=True)))
 
     def of_pairs(own: str, v: np.ndarray, w: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> list[pa.RecordBatch]:
         """Writes whole bigrams, in order of w and v, and tells what they mean for words and contexts."""
         kinds = np.where(v == up(begin), n, kinds)
-        key = mix(v, w)
-        order = np.argsort(key)
-        _store(uri).write(own, [key[order], n[order].astype(np.uint32), kinds[order].astype(np.uint32)])
+        _store(uri).write_all(own, Index.arrays(mix(v, w), [n, kinds]))
         at = _starts(w)
         word, before = w[at], np.diff([*at, len(w)])
         more = (before > 1) | _in(word, hot)
@@ -327,9 +444,8 @@ def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
     def merge(t: pa.Table) -> pa.Table:
         own = t.column("r")[0].as_py()
         w = np.concatenate([np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in t.column("a").to_pylist()])
-        v = up(_of_six(_column(t, "b", np.uint32), _column(t, "c", np.uint16)))
-        u = up(_of_six(_column(t, "d", np.uint32), _column(t, "e", np.uint16)))
-        n = _column(t, "f", np.uint32).astype(np.int64)
+        v, u = _of_names(t, "b", "e", named.value), _of_names(t, "c", "f", named.value)
+        n = _column(t, "d", np.uint32).astype(np.int64)
         order = np.lexsort((u, v, w))
         u, v, w, n = u[order], v[order], w[order], n[order]
         at = _starts(w, v, u)
@@ -345,14 +461,16 @@ def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
         out.append(_dealt(np.zeros(1, np.uint64), [np.array(_of_counts(n), np.int64)[None, :]], "triples"))
         key = mix(u, mix(v, w))
         own_ones = np.flatnonzero(n > (0 if singles else 1))
-        own_ones = own_ones[np.argsort(key[own_ones])]
-        _store(uri).write(f"t{own}", [key[own_ones], n[own_ones].astype(np.uint32)])
-        key, of = mix(u, v), _range(u, v, hot, shift)
+        _store(uri).write_all(f"t{own}", Index.arrays(key[own_ones], [n[own_ones]]))
+        key, of = mix(u, v) * _SALT >> np.uint64(16), _range(u, v, hot, shift)
         order = np.lexsort((key, of))
         key, of, n = key[order], of[order], n[order]
         at = _starts(of, key)
         times, once, packed = _packed(_by_kind(at, n)) if len(at) else (np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint16))
-        out.append(_dealt(np.repeat(of[at], times), [np.repeat(key[at], times), once, packed], "two", sort=False))
+        key, of = np.repeat(key[at], times), np.repeat(of[at], times)
+        first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
+        delta = np.where(first, key, key - np.concatenate([[np.uint64(0)], key[:-1]])[: len(key)])
+        out.append(_dealt(of, [*_six(delta), once, packed], "two", sort=False))
         return pa.Table.from_batches(out)
 
     def merge_parts(t: pa.Table) -> pa.Table:
@@ -363,8 +481,8 @@ def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
         return pa.Table.from_batches(of_pairs(f"w{t.column('r')[0].as_py()}", v[at], w[at], np.add.reduceat(n, at), np.add.reduceat(kinds, at)))
 
     groups = lambda df: df.repartitionById(n_ranges, "r").groupBy("r")
-    merged = stored(groups(base.mapInArrow(count, _DEALT)).applyInArrow(merge, _DEALT))
-    parts = stored(groups(merged.where("kind = 'part'")).applyInArrow(merge_parts, _DEALT))
+    merged = stored(groups(base.mapInArrow(count, _DEALT)).applyInArrow(merge, _DEALT), f"{uri}/merged")
+    parts = stored(groups(merged.where("kind = 'part'")).applyInArrow(merge_parts, _DEALT), f"{uri}/parts")
     both = merged.where("kind IN ('pairs', 'before', 'one')").unionByName(parts)
     stat = _numbers(both, "pairs", 5)
     of_words = _before(both, uri, n_ranges, model.words)
@@ -378,25 +496,29 @@ def _train_triples(base: DataFrame, model: Model, singles: bool) -> Model:
         total = _column(t, "f", np.uint32).astype(np.int64)
         key, taken = _sums(v, taken)
         _, total = _sums(v, total)
-        _store(uri).write(f"g{t.column('r')[0].as_py()}", [key, (taken / total).astype(np.float32), total.astype(np.float64)])
+        _store(uri).write_all(f"g{t.column('r')[0].as_py()}", Index.arrays(key, [(taken / total).astype(np.float32), total]))
         return pa.table({"n": [len(key)]})
 
     def merge_two(t: pa.Table) -> pa.Table:
         r, own = t.column("r")[0].as_py(), _store(uri)
-        once, packed = _column(t, "b", np.uint8), _column(t, "c", np.uint16)
-        key, taken = _sums(_column(t, "a", np.uint64), once * d_triple[0] + (packed >> np.uint16(8)) * d_triple[1] + (packed & np.uint16(255)) * d_triple[2])
-        of = np.ones(len(key))
-        for kind in "bw":
-            known, n, _ = own.read(f"{kind}{r}", _PAIRS)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                hit = known[at] == key
-                of[hit] = n[at[hit]]
-        own.write(f"h{r}", [key, (taken / of).astype(np.float32)])
+        once, packed = _column(t, "c", np.uint8), _column(t, "d", np.uint16)
+        key = np.concatenate([np.cumsum(_of_six(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)), dtype=np.uint64) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)])
+        key, taken = _sums(key, once * d_triple[0] + (packed >> np.uint16(8)) * d_triple[1] + (packed & np.uint16(255)) * d_triple[2])
+        for kind in "bw":  # beside the bigrams, in their order: every context is one
+            arrays = own.read_all(f"{kind}{r}")
+            if arrays:
+                index = Index(arrays)
+                hit, at = index.find_spread(key << np.uint64(16))
+                left = np.ones(len(index.low), np.float32)
+                left[at] = taken[hit] / index.values(at)[0]
+                own.write_all(f"h{kind}{r}", _coded([left]))
         return pa.table({"n": [len(key)]})
 
     groups(both.where("kind = 'one'")).applyInArrow(merge_one, "n long").agg(F.sum("n")).first()
     groups(merged.where("kind = 'two'")).applyInArrow(merge_two, "n long").agg(F.sum("n")).first()
+    store = _store(uri)
+    for name in ("merged", "parts"):  # all of it is in the arrays now
+        store.fs.delete_dir(f"{store.root}/{name}")
     kinds = int(stat[4])
     return replace(model, kinds=kinds, discounts=d_word, spare=_spare(d_word, of_words, model.words, kinds), of_pairs=d_pair, of_triples=d_triple)
 
@@ -437,16 +559,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", singl
         key, n = _sums(_column(t, "a", np.uint64), _column(t, "b", np.uint32).astype(np.int64))
         _store(uri).write(f"u{t.column('r')[0].as_py()}", [key, n])
         hot = n > n.sum() / shares
-        return pa.table({"words": [len(key)], "tokens": [int(n.sum())], "hot": pa.array([key[hot].view(np.int64).tolist()], pa.list_(pa.int64())), "n": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
+        top = key[np.argsort(n, kind="stable")[-max(1, SHORT // n_ranges) :]]
+        return pa.table({"top": pa.array([top.view(np.int64).tolist()], pa.list_(pa.int64())), "words": [len(key)], "tokens": [int(n.sum())], "hot": pa.array([key[hot].view(np.int64).tolist()], pa.list_(pa.int64())), "n": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
 
-    found = cut(base.mapInArrow(count_words, _DEALT).repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_words, "words long, tokens long, hot array<long>, n array<long>"))
+    with shuffles_dropped(spark):
+        found = stored(base.mapInArrow(count_words, _DEALT).repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_words, "top array<long>, words long, tokens long, hot array<long>, n array<long>"))
     total = found.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     words, tokens = total["words"] or 0, total["tokens"] or 0
     hot_rows = found.select(F.explode(F.arrays_zip("hot", "n")).alias("x")).where(F.col("x.n") > tokens / shares).select("x.hot").collect()  # fewer than shares, as counts add up to all tokens
     hot = np.sort(np.array([r["hot"] for r in hot_rows], np.int64).view(np.uint64))
 
     if order == 3:
-        return _train_triples(base, Model(uri, bits, tokens, words, 0, (), 0.0, (), n_docs, np.unique(hot & UPPER)), singles)
+        top = found.select(F.explode("top").alias("w")).collect()  # as many words of each range, SHORT and one a range at most
+        names = np.unique(np.array([r["w"] for r in top], np.int64).view(np.uint64) & UPPER)[:SHORT]
+        with shuffles_dropped(spark):
+            return _train_triples(base, Model(uri, bits, tokens, words, 0, (), 0.0, (), n_docs, np.unique(hot & UPPER)), singles, names)
 
     def count_pairs(batches):
         for block in _blocks(batches):
@@ -537,19 +664,23 @@ class Scorer:
                 out[s:e][hit] = value[i[hit]]
         return out
 
-    def _look(self, prefix: str, dtypes: list[type], ranges: np.ndarray, keys: np.ndarray, *defaults: float) -> list[np.ndarray]:
-        """The values of keys in any order, one array for each value that is stored with a key."""
+    def _look(self, prefix: str, ranges: np.ndarray, keys: np.ndarray, *defaults: float) -> list[np.ndarray]:
+        """The values of keys in any order, one array for each value that is stored with a key, and a last one for what stands beside, if asked for."""
         out = [np.full(len(keys), d) for d in defaults]
         order = np.argsort(ranges, kind="stable")
         ranges, keys = ranges[order], keys[order]
         at = _starts(ranges)
         for s, e in zip(at, [*at[1:], len(ranges)][: len(at)], strict=True):
-            known, *values = self.store.read(f"{prefix}{int(ranges[s])}", dtypes)
-            if len(known):
-                i = np.minimum(np.searchsorted(known, keys[s:e]), len(known) - 1)
-                hit = known[i] == keys[s:e]
-                for o, value in zip(out, values, strict=True):
-                    o[order[s:e][hit]] = value[i[hit]]
+            arrays = self.store.read_all(f"{prefix}{int(ranges[s])}")
+            if not arrays:
+                continue
+            index = Index(arrays)
+            hit, i = index.find(keys[s:e])
+            values = index.values(i)
+            if len(values) < len(out) and (beside := self.store.read_all(f"h{prefix}{int(ranges[s])}")):
+                values.append(beside[1][beside[0][i]])
+            for o, value in zip(out, values, strict=False):
+                o[order[s:e][hit]] = value
         return out
 
     def _of_three(self, block: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -560,19 +691,18 @@ class Scorer:
         v[starts] = begin
         pair, ranges = mix(v, w), _range(v, w, m.hot, self.shift)
         wide = _in(w, m.hot) & _in(v, m.hot)
-        count, kinds = np.zeros(len(w)), np.zeros(len(w))
+        count, kinds, after = np.zeros(len(w)), np.zeros(len(w)), np.ones(len(w))
         for prefix, own in (("b", ~wide), ("w", wide)):
-            count[own], kinds[own] = self._look(prefix, _PAIRS, ranges[own], pair[own], 0.0, 0.0)
+            count[own], kinds[own], after[own] = self._look(prefix, ranges[own], pair[own], 0.0, 0.0, 1.0)
         contexts, back = np.unique(v, return_inverse=True)
-        left, total = self._look("g", _ONE, contexts >> self.shift, contexts, 1.0, 1.0)
+        left, total = self._look("g", contexts >> self.shift, contexts, 1.0, 1.0)
         p = np.maximum(kinds - _less(kinds.astype(np.int64), m.of_pairs), 0) / total[back] + left[back] * low
         inner = np.ones(len(w), bool)
         inner[starts] = False
         i = np.flatnonzero(inner)
         u = v[i - 1]
-        (n,) = self._look("t", _THREE, _range_of_three(u, v[i], w[i], m.hot, self.shift), mix(u, pair[i]), 0.0)
-        (left,) = self._look("h", _TWO, ranges[i - 1], pair[i - 1], 1.0)
-        p[i] = np.maximum(n - _less(n.astype(np.int64), m.of_triples), 0) / np.maximum(count[i - 1], 1) + left * p[i]
+        (n,) = self._look("t", _range_of_three(u, v[i], w[i], m.hot, self.shift), mix(u, pair[i]), 0.0)
+        p[i] = np.maximum(n - _less(n.astype(np.int64), m.of_triples), 0) / np.maximum(count[i - 1], 1) + after[i - 1] * p[i]
         return p
 
     def score(self, block: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

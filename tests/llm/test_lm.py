@@ -5,11 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.llm import lm
-from tidebar.llm.common import crc_bucket, table
+from tidebar.llm.common import crc_bucket, stored, table
 
 
 def tokens(t):
@@ -190,3 +191,49 @@ def test_arrays_are_small(spark):
     found = store.fs.get_file_info(lm.pafs.FileSelector(store.root))
     assert all(f.type == lm.pafs.FileType.File for f in found)
     assert sum(f.size for f in found) < 16 * len(triples)
+
+
+def test_trigrams_move_once(spark, monkeypatch):
+    """What is merged and moves again is under two bytes for each different trigram."""
+    sizes = []
+
+    def measured(df, path=None):
+        out = stored(df, path)
+        if path and "/merged" in path:
+            store = lm.Store(path)
+            sizes.append(sum(f.size for f in store.fs.get_file_info(lm.pafs.FileSelector(store.root)) if f.path.endswith(".parquet")))
+        return out
+
+    monkeypatch.setattr(lm, "stored", measured)
+    rng = np.random.default_rng(4)
+    train = [" ".join(f"w{x}" for x in rng.integers(0, 1000, 400)) for _ in range(100)]
+    triples = {x for t in train for w in [["<s>", *tokens(t)]] for x in zip(w, w[1:], w[2:])}
+    lm.train(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string").coalesce(1))
+    assert sizes and sum(sizes) < 2 * len(triples)
+
+
+def test_hashes():
+    """Equal words have equal hashes and others have others, at every length, place and cut; each text has its end."""
+    odd = ["a b", "", "  ", "abcdefgh abcdefghi ABCDEFGHI", "a\x1c\x85 x\x0by", "w" * 64 + " " + "w" * 65, "q" * 1000 + "R w", "日本 😀 É é", "a", " a", "b ", "x " * 300_000, "c"]
+    for part in (pa.array(odd), pa.concat_arrays([pa.array(["zz  "]), pa.array(odd)]).slice(1), pa.array(odd, pa.large_string())):
+        got, words = [], [w for t in odd for w in tokens(t)]
+        for h, sizes in lm.hashes(part):
+            assert len(h) == sizes.sum()
+            got += h.tolist()
+        assert len(got) == len(words)
+        assert len(set(zip(got, words))) == len(set(got)) == len(set(words))
+    assert not list(lm.hashes(pa.array([], pa.string())))
+
+
+def test_order_of_keys_alike_in_their_upper_bits():
+    """Keys that differ in the lowest bits alone still come in order."""
+    key = np.random.default_rng(1).integers(0, 50, 1000).astype(np.uint64) + np.uint64(1 << 60)
+    order, ordered = lm._ordered(key)
+    assert ordered.tolist() == sorted(key.tolist()) == key[order].tolist()
+    distinct, back = lm._distinct(key)
+    assert distinct.tolist() == sorted(set(key.tolist())) and (distinct[back] == key).all()
+    columns = [np.random.default_rng(k).integers(0, 9, 1000) for k in range(3)]
+    for size in (9, 1 << 40):
+        rows, n = lm._kinds(columns, size)
+        want = Counter(zip(*(c.tolist() for c in columns)))
+        assert dict(zip(zip(*(r.tolist() for r in rows)), n.tolist())) == want and list(zip(*rows)) == sorted(want)

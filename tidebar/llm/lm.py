@@ -3,13 +3,15 @@
 Words are 64-bit hashes. Each task counts what it reads and sends one block of sorted counts to each hash range, so that a
 range is merged with array operations. A range's arrays are written once to the shared folder; workers map them, a few hundred at
 once, or copy and map them where the folder is not a mounted one. N-grams of the highest order are stored, each with its count,
-where they are merged, and do not move again; only how many kinds of each count follow a context is dealt out by the context, one
-row a range and context. In the shuffle of trigrams the most frequent words have names of two bytes. With order 3 the arrays are
-indexes: sorted keys shortened to 32 bits in buckets, values as codes into a table of those that occur, and the weight left by a context
-stands beside its bigram; shuffle files and merged blocks are dropped once they are used. ``train`` can leave the weight of those seen once to the lower order (``singles=False``); probabilities
-after each context sum to one either way. N-grams are dealt out by the last word, those that end in a hot one by the last two,
-trigrams that end in two hot ones by all three; ranges grow in number with the characters of the table, and each is a partition
-of its own, so what a task merges doesn't grow until there are ``MOST_RANGES``.
+where they are merged, and do not move again. With order 2 how many kinds of each count follow a context is dealt out by the context, one
+row a range and context, and bigrams by the last word, by both if it is hot. With order 3 trigrams are dealt out by the middle word: the context
+before it and the bigram behind it are both whole there, so that only how many words stand before a word has to move again. Trigrams around a
+hot word are dealt out by the first two words, by all three if the first is hot too; what that cuts up is summed up in parts. In their shuffle the most
+frequent words have names of two bytes, columns are pressed, and half of the ranges moves at a time. Arrays of order 3 are indexes: sorted keys
+shortened to 32 bits in buckets, counts as codes into a table of those that occur; shuffle files and merged blocks are dropped once they are used.
+``train`` can leave the weight of those seen once to the lower order (``singles=False``); probabilities after each context sum to one either way.
+Ranges grow in number with the characters of the table, and each is a partition of its own, so what a task merges doesn't grow until there are
+``MOST_RANGES``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -35,6 +38,8 @@ from .common import crc_bucket, cut, shared_dir, shuffles_dropped, stored, table
 BLOCK, RANGE_CHARS, DOC_CHARS, MOST_RANGES, HOT, LEAST_HOT = 1_000_000, 8_000_000, 6, 1 << 16, 4, 512
 #: Words that have names of two bytes in the shuffle of trigrams.
 SHORT = 0xFFFF
+#: Rounds in which trigrams are moved and merged, each a part of the ranges: as much less of them lies in shuffle files at once.
+ROUNDS = 2
 #: Files that a task maps at once: those longest mapped give way.
 MOST_MAPPED = 256
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -43,14 +48,61 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 UPPER = np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def hashes(text: str) -> np.ndarray:
-    """Hash of each token: the words between white space, A-Z lower-cased, and one end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z, and white space as in the contract
-    digest = xxhash.xxh64_intdigest
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter((digest(w) for w in words), np.uint64, len(words))
-    out[-1] = END
-    return out
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Of eight bytes the first so many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of text that are hashed at once, if a text isn't longer; bytes from which on a word is hashed on its own.
+AT_ONCE, LONG_WORD = 1 << 19, 64
+
+
+def _stirred(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (h ^ w) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``hashes`` of texts as bytes, of which each begins at an offset."""
+    word = _IN_WORD[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]  # where one text meets the next
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = _stirred(size.astype(np.uint64) * _SALT, eight[start] & _FIRST[np.minimum(size, 8)])
+    at, k = np.flatnonzero(size > 8), 8
+    while len(at) and k < LONG_WORD:
+        h[at] = _stirred(h[at], eight[start[at] + k] & _FIRST[np.minimum(size[at] - k, 8)])
+        k += 8
+        at = at[size[at] > k]
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(padded[start[i] : start[i] + size[i]].tobytes())
+    sizes = np.diff(np.searchsorted(start, offsets)) + 1
+    out = np.empty(len(h) + len(sizes), np.uint64)
+    end = np.cumsum(sizes) - 1
+    inside = np.ones(len(out), bool)
+    inside[end] = False
+    out[inside], out[end] = _stirred(h, _SALT), END
+    return out, sizes
+
+
+def hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash of each token of texts in turn, and how many each text has, some texts at once: the words between white space, A-Z lower-cased, and one end."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    s = 0
+    while s < len(texts):
+        e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + AT_ONCE, "right")) - 1)
+        yield _hashes(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
+        s = e
 
 
 def mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -165,25 +217,42 @@ class Store:
         return whole
 
 
-_TYPES = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.float64)]
+_TYPES = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64)]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def _coded(values: list[np.ndarray]) -> list[np.ndarray]:
     """Which of the different rows each row is, in as few bytes as these need, and a table of them for each column of values."""
-    code, size = np.zeros(len(values[0]), np.int64), 1
+    bits = 16 // len(values)
+    small = np.ones(len(values[0]), bool)
     for v in values:
-        own, back = np.unique(v, return_inverse=True)
-        rows, code = np.unique(code * len(own) + back, return_inverse=True)
-        size = len(rows)
-    first = np.zeros(size, np.int64)
-    first[code] = np.arange(len(code))
-    return [code.astype(np.min_scalar_type(max(0, size - 1))), *(v[first[: len(v)]].astype(np.float64) for v in values)]
+        small &= v < 1 << bits
+    packed = sum(v.astype(np.int64) << bits * k for k, v in enumerate(values))
+    kinds = np.flatnonzero(np.bincount(packed[small], minlength=1))
+    place = np.zeros(1 << 16, np.int64)
+    place[kinds] = np.arange(len(kinds))
+    code = np.where(small, place[packed & 0xFFFF], 0)
+    if not small.any():
+        kinds = kinds[:0]
+    tables = [kinds >> bits * k & (1 << bits) - 1 for k in range(len(values))]
+    large = np.flatnonzero(~small)
+    if len(large):
+        of = [v[large] for v in values]
+        order = np.lexsort(of)
+        at = _starts(*(v[order] for v in of))
+        code[large[order]] = len(kinds) + np.repeat(np.arange(len(at)), np.diff([*at, len(order)]))
+        tables = [np.concatenate([t, v[order][at]]) for t, v in zip(tables, of, strict=True)]
+    return [_narrow(code), *map(_narrow, tables)]
 
 
 class Index:
     """Values by 64-bit keys: sorted keys without the bits that name their bucket (4 to 8 keys), of the rest 32 bits; values as codes.
 
-    A key that isn't there is taken for one that is about once in 2 ** 29 times.
+    Where a bucket starts is kept in two bytes, as what it is off the place at which it would start if all had as many keys. A key that isn't there is taken for one that is about once in 2 ** 29 times.
     """
 
     def __init__(self, arrays: list[np.ndarray]):
@@ -192,27 +261,38 @@ class Index:
     @staticmethod
     def arrays(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
         key = key * _SALT
-        order = np.argsort(key)
-        key, bits = key[order], min(16, max(1, len(key).bit_length() - 3))
-        starts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
-        return [starts, ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *_coded([v[order] for v in values])]
+        order, key = _ordered(key)
+        return Index.of_spread(key, [v[order] for v in values])
+
+    @staticmethod
+    def of_spread(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        """The same from keys times ``_SALT``, in order."""
+        bits = min(16, max(1, len(key).bit_length() - 3))
+        starts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        off = starts - Index._even(np.arange((1 << bits) + 1), len(key), bits) + (1 << 15)
+        return [off.astype(np.uint16) if off.min() >= 0 and off.max() < 1 << 16 else starts.astype(np.uint32), ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *_coded(values)]
+
+    @staticmethod
+    def _even(bucket: np.ndarray, n: int, bits: int) -> np.ndarray:
+        return bucket * n >> bits
+
+    def _start(self, bucket: np.ndarray, bits: int) -> np.ndarray:
+        start = self.starts[bucket].astype(np.int64)
+        return start if self.starts.dtype == np.uint32 else start + self._even(bucket, len(self.low), bits) - (1 << 15)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and the places of those."""
-        return self.find_spread(key * _SALT)
-
-    def find_spread(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for keys times ``_SALT``, of which the upper 48 bits count."""
+        key = key * _SALT
         bits = (len(self.starts) - 1).bit_length() - 1
         bucket, low = (key >> np.uint64(64 - bits)).astype(np.int64), ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
-        last = end.copy()
-        while (at < end).any():  # all at once by halves
-            middle = np.minimum((at + end) >> 1, len(self.low) - 1)
-            less, open_ = self.low[middle] < low, at < end
-            at, end = np.where(open_ & less, middle + 1, at), np.where(open_ & ~less, middle, end)
-        hit = np.flatnonzero(at < last)
-        hit = hit[self.low[at[hit]] == low[hit]]
+        at, end = self._start(bucket, bits), self._start(bucket + 1, bits)
+        if not len(self.low) or not len(key):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        step = 1 << int((end - at).max()).bit_length()
+        while step := step >> 1:  # all at once: a step where all keys that it passes are less
+            to = at + step
+            at = np.where((to <= end) & (self.low[np.minimum(to, len(self.low)) - 1] < low), to, at)
+        hit = np.flatnonzero((at < end) & (self.low[np.minimum(at, len(self.low) - 1)] == low))
         return hit, at[hit]
 
     def values(self, at: np.ndarray) -> list[np.ndarray]:
@@ -229,7 +309,7 @@ _U, _C, _B, _G = [np.uint64, np.int64], [np.uint64, np.int64], [np.uint64, np.ui
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, and the numbers that hold for all: hash bits of a range, training tokens, distinct words, bigram kinds, discounts of words and bigrams, training documents, the words that bigrams are dealt out by both words for, and the discounts of trigrams if there are any."""
+    """Where the arrays are, and the numbers that hold for all: hash bits of a range, training tokens, distinct words, bigram kinds, discounts of words and bigrams, training documents, the hot words, and the discounts of trigrams if there are any."""
 
     uri: str
     bits: int
@@ -252,15 +332,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Token hashes of whole documents, each with its begin, about ``BLOCK`` at once."""
     held, size = [], 0
     for batch in batches:
-        for t in batch.column("text"):
-            h = hashes(t.as_py())
-            held += [[BEGIN], h]
-            size += len(h) + 1
+        for h, sizes in hashes(batch.column("text")):
+            held.append(np.insert(h, np.cumsum(sizes) - sizes, BEGIN))
+            size += len(held[-1])
             if size >= BLOCK:
-                yield np.concatenate(held).astype(np.uint64)
+                yield np.concatenate(held)
                 held, size = [], 0
     if held:
-        yield np.concatenate(held).astype(np.uint64)
+        yield np.concatenate(held)
 
 
 def _tiles(n: np.ndarray) -> np.ndarray:
@@ -285,28 +364,81 @@ def _of_six(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
 
 
-def _named(x: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The place of each word among those with a name; ``SHORT`` for others."""
-    if not len(names):
-        return np.full(len(x), SHORT, np.uint16)
-    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-    return np.where(names[at] == x, at, SHORT).astype(np.uint16)
+@dataclass(frozen=True)
+class Names:
+    """Words in order of frequency, the most frequent first: their places are their names. The same words in order, and the name of each."""
+
+    words: np.ndarray
+    in_order: np.ndarray
+    names: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray) -> Names:
+        names = np.argsort(words)
+        return Names(words, words[names], names.astype(np.uint16))
+
+    def named(self, x: np.ndarray) -> np.ndarray:
+        """The name of each word; ``SHORT`` for those without."""
+        if not len(self.words):
+            return np.full(len(x), SHORT, np.uint16)
+        at = np.minimum(np.searchsorted(self.in_order, x), len(self.words) - 1)
+        return np.where(self.in_order[at] == x, self.names[at], SHORT).astype(np.uint16)
+
+    def back(self, names: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Words by their names, those without one from the rest, in turn."""
+        out = np.zeros(len(names), np.uint64)
+        known = names < SHORT
+        out[known], out[~known] = self.words[names[known]], rest
+        return out
+
+
+def _pressed(columns: list[np.ndarray]) -> bytes:
+    """Columns of any lengths and unsigned types, pressed: the first bytes of all numbers stand together, then the second ones."""
+    head = np.array([len(columns), *chain.from_iterable((_TYPES.index(c.dtype), len(c)) for c in columns)], np.int64).tobytes()
+    raw = b"".join([head, *(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _bytes_of(x: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of each number as a row of six bytes."""
-    return (x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _unpressed(row: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(memoryview(row)[8:], decompressed_size=int(np.frombuffer(row, np.int64, 1)[0]), codec="zstd", asbytes=True)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (1 + 2 * k), []
+    for of, n in np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2).tolist():
+        size = _TYPES[of].itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(_TYPES[of]).ravel())
+        at += n * size
+    return out
 
 
-def _of_names(t: pa.Table, name: str, rest: str, names: np.ndarray) -> np.ndarray:
-    at, six = _column(t, name, np.uint16), _column(t, rest, np.uint8).reshape(-1, 6)
-    out = np.zeros(len(at), np.uint64)
-    known = at < SHORT
-    out[known] = names[at[known]]
-    out[~known] = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel() << np.uint64(16)
+def _deltas(x: np.ndarray) -> np.ndarray:
+    out = x.copy()
+    out[1:] -= x[:-1]
     return out
 
 
+def _sent(of: np.ndarray, columns: list[np.ndarray], kind: str, some: tuple[tuple[np.ndarray, np.ndarray], ...] = ()) -> pa.RecordBatch:
+    """One row for each range (these stand in order), with its part of each column, of the first column differences; of ``some`` columns only what is marked."""
+    at = _starts(of)
+    rows = [_pressed([_deltas(columns[0][s:e]), *(c[s:e] for c in columns[1:]), *(c[s:e][m[s:e]] for c, m in some)]) for s, e in zip(at, [*at[1:], len(of)][: len(at)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(of[at].astype(np.int32)), pa.array(rows, pa.binary())], ["kind", "r", "a"])
+
+
+_SENT = "kind string, r int, a binary"
+
+
+def _received(t: pa.Table, kind: str, types: list[type]) -> list[np.ndarray]:
+    """The columns of all rows of a kind that ``_sent`` made."""
+    rows = [_unpressed(a) for k, a in zip(t.column("kind").to_pylist(), t.column("a").to_pylist(), strict=True) if k == kind]
+    if not rows:
+        return [np.empty(0, x) for x in types]
+    return [np.concatenate([np.cumsum(c, dtype=np.uint64) if not k else c for c in column]).astype(x) for k, (column, x) in enumerate(zip(zip(*rows, strict=True), types, strict=True))]
+
+
+def _order_of(ranges: np.ndarray) -> np.ndarray:
+    """In order of ranges, of which there are ``MOST_RANGES`` at most."""
+    return np.argsort(ranges.astype(np.uint16), kind="stable")
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in columns that stand in order."""
     n = len(columns[0])
@@ -330,20 +462,19 @@ def _range(h: np.ndarray, w: np.ndarray, hot: np.ndarray, shift: np.uint64) -> n
     return r
 
 
-def _dealt(of: np.ndarray, columns: list[np.ndarray], kind: str = "", sort: bool = True, some: tuple[tuple[np.ndarray, np.ndarray], ...] = ()) -> pa.RecordBatch:
-    """One row for each range, with its part of each column as bytes; of ``some`` columns only what is marked."""
+def _dealt(of: np.ndarray, columns: list[np.ndarray], kind: str = "", sort: bool = True) -> pa.RecordBatch:
+    """One row for each range, with its part of each column as bytes."""
     if sort:
         order = np.argsort(of, kind="stable")
         of, columns = of[order], [c[order] for c in columns]
     at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     ends = [*at[1:], len(of)] if len(at) else []
     parts = [pa.array([c[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for c in columns]
-    parts += [pa.array([c[s:e][m[s:e]].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for c, m in some]
-    parts += [pa.nulls(len(at), pa.binary())] * (6 - len(parts))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(of[at].astype(np.int32)), *parts], ["kind", "r", *"abcdef"])
+    parts += [pa.nulls(len(at), pa.binary())] * (4 - len(parts))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(of[at].astype(np.int32)), *parts], ["kind", "r", *"abcd"])
 
 
-_DEALT = "kind string, r int, a binary, b binary, c binary, d binary, e binary, f binary"
+_DEALT = "kind string, r int, a binary, b binary, c binary, d binary"
 
 
 def _column(t: pa.Table, name: str, dtype: type) -> np.ndarray:
@@ -368,6 +499,13 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
 
 
+def _of_ranges(counts: DataFrame, words: int) -> list[int]:
+    """How many words have one to four before them, from each range's counts of those and of all that it has."""
+    more = counts.select(*(F.col("n")[i].alias(f"n{i}") for i in range(5))).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(5))).first()
+    n = [more[f"n{i}"] or 0 for i in range(5)]
+    return [n[0] + words - n[4], *n[1:4]]  # words that no array has follow one word only
+
+
 def _before(merged: DataFrame, uri: str, n_ranges: int, words: int) -> list[int]:
     """Writes how many words stand before each word that more than one or a hot range's do, and gives how many words have one to four."""
 
@@ -376,9 +514,7 @@ def _before(merged: DataFrame, uri: str, n_ranges: int, words: int) -> list[int]
         _store(uri).write(f"c{t.column('r')[0].as_py()}", [word, n])
         return pa.table({"n": pa.array([[*_of_counts(n), len(n)]], pa.list_(pa.int64()))})
 
-    more = merged.where("kind = 'before'").repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_before, "n array<long>").select(*(F.col("n")[i].alias(f"n{i}") for i in range(5))).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(5))).first()
-    n = [more[f"n{i}"] or 0 for i in range(5)]
-    return [n[0] + words - n[4], *n[1:4]]  # words that no array has follow one word only
+    return _of_ranges(merged.where("kind = 'before'").repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_before, "n array<long>"), words)
 
 
 def _spare(d: tuple[float, float, float], of_words: list[int], words: int, kinds: int) -> float:
@@ -393,129 +529,161 @@ def _numbers(merged: DataFrame, kind: str, n: int) -> np.ndarray:
     return out
 
 
-def _train_triples(base: DataFrame, model: Model, singles: bool, names: np.ndarray) -> Model:
+def _kinds(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of three columns of numbers under size, in order, and how often each stands."""
+    bits = np.int64(max(1, size - 1).bit_length())
+    if 3 * bits < 64:
+        key = np.sort((columns[0] << 2 * bits) | (columns[1] << bits) | columns[2])
+        at, mask = _starts(key), (np.int64(1) << bits) - 1
+        return [key[at] >> 2 * bits, key[at] >> bits & mask, key[at] & mask], np.diff([*at, len(key)])
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = _starts(*columns)
+    return [c[at] for c in columns], np.diff([*at, len(order)])
+
+
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of 64-bit keys, and the keys in it: their upper bits are sorted with places below, which is right but where keys differ further down alone."""
+    below = (np.uint64(1) << np.uint64(len(key).bit_length())) - np.uint64(1)
+    order = (np.sort((key & ~below) | np.arange(len(key), dtype=np.uint64)) & below).astype(np.int64)
+    ordered = key[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    return order, ordered
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys, and where each different key begins in it."""
+    order, key = _ordered(key)
+    return order, _starts(key)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and which of them each key is."""
+    order, key = _ordered(key)
+    at, back = _starts(key), np.empty(len(key), np.int64)
+    back[order] = np.repeat(np.arange(len(at)), np.diff([*at, len(key)]))
+    return key[at], back
+
+
+def _train_triples(base: DataFrame, model: Model, singles: bool, named: np.ndarray) -> Model:
     """Order 3 on top of the words: raw counts of trigrams, kinds of words before a bigram (raw counts after a begin), kinds of words before a word.
 
-    A trigram is dealt out by its last word, by its last two if the last is hot, by all three if both are; so kinds before a bigram
-    are whole where its trigrams are merged, but for those of two hot words, whose parts are merged in a range of the bigram.
-    ``names`` are words in order that stand in the shuffle by their place.
+    A trigram is dealt out by its middle word, by its first two if the middle one is hot, by all three if both are. So its context and, unless the
+    middle word is hot, the bigram it ends in are whole where it is merged. Of bigrams that begin with a hot word and of contexts of two hot words
+    parts are merged in a range of their own. A begin is hot; before it stands another one. ``named`` are the words with names, the most frequent first.
     """
-    named = base.sparkSession.sparkContext.broadcast(names)
+    named = base.sparkSession.sparkContext.broadcast(named)
     uri, hot, shift, n_ranges = model.uri, model.hot, np.uint64(64 - model.bits), 1 << model.bits
-    begin = (BEGIN & UPPER) >> np.uint64(16)
-    up = lambda x: x << np.uint64(16)
+    begin = BEGIN & UPPER
 
-    def count(batches):
+    def count(batches, part):
+        names = Names.of(named.value)
         for block in _blocks(batches):
-            block &= UPPER
-            ok = block != up(begin)
-            v = np.concatenate([block[:1], block[:-1]])
-            u = np.concatenate([v[:1], v[:-1]])
-            u = np.where(v == up(begin), np.uint64(0), u)
-            u, v, w = u[ok], v[ok], block[ok]
-            order = np.lexsort((u, v, w))
-            u, v, w = u[order], v[order], w[order]
-            at = _starts(w, v, u)
-            n = np.diff([*at, len(w)]).astype(np.uint32)
-            u, v, w = u[at], v[at], w[at]
-            r = _range_of_three(u, v, w, hot, shift)
-            order = np.argsort(r, kind="stable")
-            r, u, v, w, n = r[order], u[order], v[order], w[order], n[order]
-            first = np.concatenate([[True], r[1:] != r[:-1]])
-            delta = np.where(first, w, w - np.concatenate([[np.uint64(0)], w[:-1]]))
-            short = [_named(x, named.value) for x in (v, u)]
-            yield _dealt(r, [delta, *short, n], sort=False, some=tuple((_bytes_of(x), s == SHORT) for x, s in zip((v, u), short, strict=True)))
-
-    def of_pairs(own: str, v: np.ndarray, w: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> list[pa.RecordBatch]:
-        """Writes whole bigrams, in order of w and v, and tells what they mean for words and contexts."""
-        kinds = np.where(v == up(begin), n, kinds)
-        _store(uri).write_all(own, Index.arrays(mix(v, w), [n, kinds]))
-        at = _starts(w)
-        word, before = w[at], np.diff([*at, len(w)])
-        more = (before > 1) | _in(word, hot)
-        out = [_dealt(np.zeros(1, np.uint64), [np.array([*_of_counts(kinds), len(kinds)], np.int64)[None, :]], "pairs"), _dealt(word[more] >> shift, [word[more], before[more].astype(np.int64)], "before")]
-        order = np.argsort(v, kind="stable")
-        v, kinds = v[order], kinds[order]
-        at = _starts(v)
-        of = _by_kind(at, kinds).astype(np.uint32)
-        total = np.add.reduceat(kinds, at) if len(at) else kinds
-        return [*out, _dealt(v[at] >> shift, [*_six(v[at] >> np.uint64(16)), *of, total.astype(np.uint32)], "one", sort=False)]
-
-    def merge(t: pa.Table) -> pa.Table:
-        own = t.column("r")[0].as_py()
-        w = np.concatenate([np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in t.column("a").to_pylist()])
-        v, u = _of_names(t, "b", "e", named.value), _of_names(t, "c", "f", named.value)
-        n = _column(t, "d", np.uint32).astype(np.int64)
-        order = np.lexsort((u, v, w))
-        u, v, w, n = u[order], v[order], w[order], n[order]
-        at = _starts(w, v, u)
-        u, v, w, n = u[at], v[at], w[at], np.add.reduceat(n, at)
-        at = _starts(w, v)
-        pair_v, pair_w, pair_n, kinds = v[at], w[at], np.add.reduceat(n, at), np.diff([*at, len(w)])
-        wide = _in(pair_v, hot) & _in(pair_w, hot)
-        out = of_pairs(f"b{own}", *(x[~wide] for x in (pair_v, pair_w, pair_n, kinds)))
-        key = mix(pair_v[wide], pair_w[wide])
-        out.append(_dealt(key >> shift, [pair_v[wide], pair_w[wide], pair_n[wide], kinds[wide]], "part"))
-        ok = v != up(begin)
-        u, v, w, n = u[ok], v[ok], w[ok], n[ok]
-        out.append(_dealt(np.zeros(1, np.uint64), [np.array(_of_counts(n), np.int64)[None, :]], "triples"))
-        key = mix(u, mix(v, w))
-        own_ones = np.flatnonzero(n > (0 if singles else 1))
-        _store(uri).write_all(f"t{own}", Index.arrays(key[own_ones], [n[own_ones]]))
-        key, of = mix(u, v) * _SALT >> np.uint64(16), _range(u, v, hot, shift)
-        order = np.lexsort((key, of))
-        key, of, n = key[order], of[order], n[order]
-        at = _starts(of, key)
-        times, once, packed = _packed(_by_kind(at, n)) if len(at) else (np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint16))
-        key, of = np.repeat(key[at], times), np.repeat(of[at], times)
-        first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
-        delta = np.where(first, key, key - np.concatenate([[np.uint64(0)], key[:-1]])[: len(key)])
-        out.append(_dealt(of, [*_six(delta), once, packed], "two", sort=False))
+            words, at = _distinct(block & UPPER)
+            first = int(np.searchsorted(words, begin))
+            w, v = at[1:], at[:-1]
+            u = np.where(v == first, first, np.concatenate([v[:1], v[:-1]]))
+            (v, u, w), n = _kinds([x[w != first] for x in (v, u, w)], len(words))
+            r = _range_of_three(*(words[x] for x in (u, v, w)), *(_in(words, hot)[x] for x in (u, v)), shift)
+            mine = np.flatnonzero(r % np.uint64(ROUNDS) == part)
+            order = mine[_order_of(r[mine])]
+            v, u, w = v[order], u[order], w[order]
+            short = names.named(words)
+            yield _sent(r[order] // np.uint64(ROUNDS), [words[v], short[u], short[w], n[order].astype(np.uint32)], "triple", tuple((words[x], short[x] == SHORT) for x in (u, w)))
+
+    def numbers(kind: str, x: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([0], pa.int32()), pa.array([np.array(x, np.int64).tobytes()], pa.binary())], ["kind", "r", "a"])
+
+    def of_pairs(own: str, v: np.ndarray, w: np.ndarray, spread: np.ndarray, kinds: np.ndarray) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
+        """Writes whole bigrams, and tells what they mean for the second words and, by kinds, for the first ones."""
+        _store(uri).write_all(own, Index.of_spread(spread, [kinds]))
+        order, at = _groups(w)
+        word, before = w[order][at], np.diff([*at, len(w)][: len(at) + 1])
+        out = [numbers("pairs", [*_of_counts(kinds), len(kinds)]), _sent(word >> shift, [word, before.astype(np.uint32)], "before")]
+        order, at = _groups(v)
+        kinds = kinds[order]
+        return out, [v[order][at], np.add.reduceat(kinds, at) if len(at) else kinds, *_by_kind(at, kinds)]
+
+    def merge(t: pa.Table, part: int) -> pa.Table:
+        own, names, rows = t.column("r")[0].as_py() * ROUNDS + part, Names.of(named.value), [_unpressed(x) for x in t.column("a").to_pylist()]
+        v = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in rows])
+        u, w = (np.concatenate([names.back(x[k], x[k + 3]) for x in rows]) for k in (1, 2))
+        n = np.concatenate([x[3] for x in rows]).astype(np.int64)
+        del rows
+        spread = mix(u, mix(v, w)) * _SALT
+        order, at = _groups(spread)
+        n, order = np.add.reduceat(n[order], at), order[at]
+        u, v, w, spread = u[order], v[order], w[order], spread[order]
+        real, wide = v != begin, _in(v, hot)
+        stored_ones = real & (n > (0 if singles else 1))
+        _store(uri).write_all(f"t{own}", Index.of_spread(spread[stored_ones], [n[stored_ones]]))
+        out = [numbers("triples", _of_counts(n[real]))]
+
+        key = mix(v, w)
+        order, at = _groups(key * _SALT)
+        kinds = np.where(v[order[at]] == begin, np.add.reduceat(n[order], at), np.diff([*at, len(order)]))
+        order = order[at]
+        whole = ~wide[order]
+        ones = order[whole]
+        more, one = of_pairs(f"p{own}", v[ones], w[ones], key[ones] * _SALT, kinds[whole])
+        _store(uri).write_all(f"g{own}", Index.arrays(one[0], one[1:]))
+        part, kinds = order[~whole], kinds[~whole]
+        order = np.argsort(w[part])
+        order = order[_order_of(key[part[order]] >> shift)]
+        part, kinds = part[order], kinds[order]
+        out += [*more, _sent(key[part] >> shift, [w[part], np.searchsorted(hot, v[part]).astype(np.uint32), kinds.astype(np.uint32)], "part")]
+
+        u, v, n = u[real], v[real], n[real]
+        key = mix(u, v)
+        order, at = _groups(key * _SALT)
+        of_context = [np.add.reduceat(n[order], at) if len(at) else n, *_by_kind(at, n[order])]
+        order = order[at]
+        part = wide[real][order] & _in(u[order], hot)
+        _store(uri).write_all(f"x{own}", Index.of_spread(key[order[~part]] * _SALT, [x[~part] for x in of_context]))
+        key, of_context = key[order[part]], [x[part] for x in of_context]
+        order = np.argsort(key)
+        out.append(_sent(key[order] >> shift, [key[order], *(x[order].astype(np.uint64) for x in of_context)], "two"))
         return pa.Table.from_batches(out)
 
     def merge_parts(t: pa.Table) -> pa.Table:
-        v, w, n, kinds = (_column(t, c, d) for c, d in zip("abcd", (np.uint64, np.uint64, np.int64, np.int64), strict=True))
-        order = np.lexsort((v, w))
-        v, w, n, kinds = v[order], w[order], n[order], kinds[order]
-        at = _starts(w, v)
-        return pa.Table.from_batches(of_pairs(f"w{t.column('r')[0].as_py()}", v[at], w[at], np.add.reduceat(n, at), np.add.reduceat(kinds, at)))
+        own = t.column("r")[0].as_py()
+        w, v, kinds = _received(t, "part", [np.uint64, np.int64, np.int64])
+        v = hot[v]
+        spread = mix(v, w) * _SALT
+        order, at = _groups(spread)
+        kinds = np.add.reduceat(kinds[order], at) if len(at) else kinds
+        order = order[at]
+        out, one = of_pairs(f"w{own}", v[order], w[order], spread[order], kinds)
+        out.append(_sent(one[0] >> shift, [one[0], *(x.astype(np.uint64) for x in one[1:])], "one"))
+        key, *of_context = _received(t, "two", [np.uint64, *[np.int64] * 4])
+        if len(key):
+            _store(uri).write_all(f"y{own}", Index.arrays(*_all_sums(key, of_context)))
+        return pa.Table.from_batches(out)
+
+    def merge_words(t: pa.Table) -> pa.Table:
+        own = t.column("r")[0].as_py()
+        word, n = _sums(*_received(t, "before", [np.uint64, np.int64]))
+        _store(uri).write(f"c{own}", [word[n > 1], n[n > 1]])
+        key, *of_one = _received(t, "one", [np.uint64, *[np.int64] * 4])
+        if len(key):
+            _store(uri).write_all(f"z{own}", Index.arrays(*_all_sums(key, of_one)))
+        return pa.table({"n": pa.array([[*_of_counts(n), len(n)]], pa.list_(pa.int64()))})
 
     groups = lambda df: df.repartitionById(n_ranges, "r").groupBy("r")
-    merged = stored(groups(base.mapInArrow(count, _DEALT)).applyInArrow(merge, _DEALT), f"{uri}/merged")
-    parts = stored(groups(merged.where("kind = 'part'")).applyInArrow(merge_parts, _DEALT), f"{uri}/parts")
-    both = merged.where("kind IN ('pairs', 'before', 'one')").unionByName(parts)
+    of_part = lambda k: lambda t: merge(t, k)
+    for k in range(ROUNDS):
+        of_round = base.mapInArrow(partial(count, part=k), _SENT).repartitionById(n_ranges // ROUNDS, "r").groupBy("r")
+        merged = stored(of_round.applyInArrow(of_part(k), _SENT), f"{uri}/merged/{k}")
+    merged = base.sparkSession.read.schema(merged.schema).parquet(*(f"{uri}/merged/{k}" for k in range(ROUNDS)))
+    parts = stored(groups(merged.where("kind IN ('part', 'two')")).applyInArrow(merge_parts, _SENT), f"{uri}/parts")
+    both = merged.unionByName(parts)
     stat = _numbers(both, "pairs", 5)
-    of_words = _before(both, uri, n_ranges, model.words)
+    of_words = _of_ranges(groups(both.where("kind IN ('before', 'one')")).applyInArrow(merge_words, "n array<long>"), model.words)
     d_word, d_pair, d_triple = _discounts(of_words), _discounts(stat[:4].tolist()), _discounts(_numbers(merged, "triples", 4).tolist())
     if not singles:
         d_triple = 1.0, *d_triple[1:]
-
-    def merge_one(t: pa.Table) -> pa.Table:
-        v = up(_of_six(_column(t, "a", np.uint32), _column(t, "b", np.uint16)))
-        taken = sum(_column(t, c, np.uint32) * d for c, d in zip("cde", d_pair, strict=True))
-        total = _column(t, "f", np.uint32).astype(np.int64)
-        key, taken = _sums(v, taken)
-        _, total = _sums(v, total)
-        _store(uri).write_all(f"g{t.column('r')[0].as_py()}", Index.arrays(key, [(taken / total).astype(np.float32), total]))
-        return pa.table({"n": [len(key)]})
-
-    def merge_two(t: pa.Table) -> pa.Table:
-        r, own = t.column("r")[0].as_py(), _store(uri)
-        once, packed = _column(t, "c", np.uint8), _column(t, "d", np.uint16)
-        key = np.concatenate([np.cumsum(_of_six(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)), dtype=np.uint64) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)])
-        key, taken = _sums(key, once * d_triple[0] + (packed >> np.uint16(8)) * d_triple[1] + (packed & np.uint16(255)) * d_triple[2])
-        for kind in "bw":  # beside the bigrams, in their order: every context is one
-            arrays = own.read_all(f"{kind}{r}")
-            if arrays:
-                index = Index(arrays)
-                hit, at = index.find_spread(key << np.uint64(16))
-                left = np.ones(len(index.low), np.float32)
-                left[at] = taken[hit] / index.values(at)[0]
-                own.write_all(f"h{kind}{r}", _coded([left]))
-        return pa.table({"n": [len(key)]})
-
-    groups(both.where("kind = 'one'")).applyInArrow(merge_one, "n long").agg(F.sum("n")).first()
-    groups(merged.where("kind = 'two'")).applyInArrow(merge_two, "n long").agg(F.sum("n")).first()
     store = _store(uri)
     for name in ("merged", "parts"):  # all of it is in the arrays now
         store.fs.delete_dir(f"{store.root}/{name}")
@@ -523,11 +691,17 @@ def _train_triples(base: DataFrame, model: Model, singles: bool, names: np.ndarr
     return replace(model, kinds=kinds, discounts=d_word, spare=_spare(d_word, of_words, model.words, kinds), of_pairs=d_pair, of_triples=d_triple)
 
 
-def _range_of_three(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, shift: np.uint64) -> np.ndarray:
+def _all_sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    order, at = _groups(key)
+    return key[order][at], [np.add.reduceat(x[order], at) if len(at) else x for x in values]
+
+
+def _range_of_three(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot_u: np.ndarray, hot_v: np.ndarray, shift: np.uint64) -> np.ndarray:
     """The range of each trigram."""
-    r = _range(v, w, hot, shift)
-    wide = _in(w, hot) & _in(v, hot)
-    r[wide] = mix(u[wide], mix(v[wide], w[wide])) >> shift
+    r = v >> shift
+    one, both = hot_v & ~hot_u, hot_v & hot_u
+    r[one] = mix(u[one], v[one]) >> shift
+    r[both] = mix(u[both], mix(v[both], w[both])) >> shift
     return r
 
 
@@ -559,21 +733,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", singl
         key, n = _sums(_column(t, "a", np.uint64), _column(t, "b", np.uint32).astype(np.int64))
         _store(uri).write(f"u{t.column('r')[0].as_py()}", [key, n])
         hot = n > n.sum() / shares
-        top = key[np.argsort(n, kind="stable")[-max(1, SHORT // n_ranges) :]]
-        return pa.table({"top": pa.array([top.view(np.int64).tolist()], pa.list_(pa.int64())), "words": [len(key)], "tokens": [int(n.sum())], "hot": pa.array([key[hot].view(np.int64).tolist()], pa.list_(pa.int64())), "n": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
+        top = np.argsort(n, kind="stable")[-max(1, SHORT // n_ranges) :]
+        return pa.table({"top": pa.array([key[top].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([n[top].tolist()], pa.list_(pa.int64())), "words": [len(key)], "tokens": [int(n.sum())], "hot": pa.array([key[hot].view(np.int64).tolist()], pa.list_(pa.int64())), "n": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
 
     with shuffles_dropped(spark):
-        found = stored(base.mapInArrow(count_words, _DEALT).repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_words, "top array<long>, words long, tokens long, hot array<long>, n array<long>"))
+        found = stored(base.mapInArrow(count_words, _DEALT).repartitionById(n_ranges, "r").groupBy("r").applyInArrow(merge_words, "top array<long>, top_n array<long>, words long, tokens long, hot array<long>, n array<long>"))
     total = found.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     words, tokens = total["words"] or 0, total["tokens"] or 0
     hot_rows = found.select(F.explode(F.arrays_zip("hot", "n")).alias("x")).where(F.col("x.n") > tokens / shares).select("x.hot").collect()  # fewer than shares, as counts add up to all tokens
     hot = np.sort(np.array([r["hot"] for r in hot_rows], np.int64).view(np.uint64))
 
     if order == 3:
-        top = found.select(F.explode("top").alias("w")).collect()  # as many words of each range, SHORT and one a range at most
-        names = np.unique(np.array([r["w"] for r in top], np.int64).view(np.uint64) & UPPER)[:SHORT]
+        top = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.*").collect()  # as many words of each range, SHORT and one a range at most
+        word, n = (np.array([r[k] for r in top], np.int64) for k in ("top", "top_n"))
+        word, first = np.unique(word.view(np.uint64) & UPPER, return_index=True)
+        named = word[np.argsort(-n[first], kind="stable")][:SHORT]
+        hot = np.unique(np.append(hot & UPPER, BEGIN & UPPER))
         with shuffles_dropped(spark):
-            return _train_triples(base, Model(uri, bits, tokens, words, 0, (), 0.0, (), n_docs, np.unique(hot & UPPER)), singles, names)
+            return _train_triples(base, Model(uri, bits, tokens, words, 0, (), 0.0, (), n_docs, hot), singles, named)
 
     def count_pairs(batches):
         for block in _blocks(batches):
@@ -664,51 +841,60 @@ class Scorer:
                 out[s:e][hit] = value[i[hit]]
         return out
 
-    def _look(self, prefix: str, ranges: np.ndarray, keys: np.ndarray, *defaults: float) -> list[np.ndarray]:
-        """The values of keys in any order, one array for each value that is stored with a key, and a last one for what stands beside, if asked for."""
-        out = [np.full(len(keys), d) for d in defaults]
-        order = np.argsort(ranges, kind="stable")
-        ranges, keys = ranges[order], keys[order]
+    def _look(self, prefix: str, ranges: np.ndarray, keys: np.ndarray, out: list[np.ndarray], to: np.ndarray) -> None:
+        """Puts the values of keys in any order, as many as are stored with a key, into as many arrays at the given places, where there are any."""
+        order = _order_of(ranges)
+        ranges, keys, to = ranges[order], keys[order], to[order]
         at = _starts(ranges)
         for s, e in zip(at, [*at[1:], len(ranges)][: len(at)], strict=True):
             arrays = self.store.read_all(f"{prefix}{int(ranges[s])}")
-            if not arrays:
-                continue
-            index = Index(arrays)
-            hit, i = index.find(keys[s:e])
-            values = index.values(i)
-            if len(values) < len(out) and (beside := self.store.read_all(f"h{prefix}{int(ranges[s])}")):
-                values.append(beside[1][beside[0][i]])
-            for o, value in zip(out, values, strict=False):
-                o[order[s:e][hit]] = value
-        return out
+            if arrays:
+                index = Index(arrays)
+                hit, i = index.find(keys[s:e])
+                for o, value in zip(out, index.values(i), strict=True):
+                    o[to[s:e][hit]] = value
+
+    def _of_three(self, words: np.ndarray, back: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The probability of each token by the two before it, from those of words alone; tokens are places of words."""
+        m, begin = self.model, len(words)
+        words = np.append(words, BEGIN) & UPPER
+        hot = _in(words, m.hot)
+        total, left = np.ones(len(words)), np.ones(len(words))
+        of = [np.zeros(len(words)) for _ in range(4)]
+        for prefix, own in (("g", ~hot), ("z", hot)):
+            at = np.flatnonzero(own)
+            self._look(prefix, words[at] >> self.shift, words[at], of, at)
+        known = of[0] > 0
+        total[known] = of[0][known]
+        left[known] = (sum(k * d for k, d in zip(of[1:], m.of_pairs, strict=True)) / total)[known]
+
+        before = np.concatenate([[begin], back[:-1]])
+        before[starts] = begin
+        v, w, hot_v = words[before], words[back], hot[before]
+        pair, kinds = mix(v, w), np.zeros(len(w))
+        for prefix, at in (("p", np.flatnonzero(~hot_v)), ("w", np.flatnonzero(hot_v))):
+            self._look(prefix, (v if prefix == "p" else pair)[at] >> self.shift, pair[at], [kinds], at)
+        p = np.maximum(kinds - _less(kinds.astype(np.int64), m.of_pairs), 0) / total[before] + left[before] * low
 
-    def _of_three(self, block: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The probability of each token by the two before it, from those of words alone."""
-        m, begin = self.model, BEGIN & UPPER
-        w = block & UPPER
-        v = np.concatenate([[begin], w[:-1]])
-        v[starts] = begin
-        pair, ranges = mix(v, w), _range(v, w, m.hot, self.shift)
-        wide = _in(w, m.hot) & _in(v, m.hot)
-        count, kinds, after = np.zeros(len(w)), np.zeros(len(w)), np.ones(len(w))
-        for prefix, own in (("b", ~wide), ("w", wide)):
-            count[own], kinds[own], after[own] = self._look(prefix, ranges[own], pair[own], 0.0, 0.0, 1.0)
-        contexts, back = np.unique(v, return_inverse=True)
-        left, total = self._look("g", contexts >> self.shift, contexts, 1.0, 1.0)
-        p = np.maximum(kinds - _less(kinds.astype(np.int64), m.of_pairs), 0) / total[back] + left[back] * low
         inner = np.ones(len(w), bool)
         inner[starts] = False
         i = np.flatnonzero(inner)
-        u = v[i - 1]
-        (n,) = self._look("t", _range_of_three(u, v[i], w[i], m.hot, self.shift), mix(u, pair[i]), 0.0)
-        p[i] = np.maximum(n - _less(n.astype(np.int64), m.of_triples), 0) / np.maximum(count[i - 1], 1) + after[i - 1] * p[i]
+        u, v, w, hot_u, hot_v, context, low = v[i - 1], v[i], w[i], hot_v[i - 1], hot_v[i], pair[i - 1], p[i]
+        key, n, of = mix(u, pair[i]), np.zeros(len(i)), [np.zeros(len(i)) for _ in range(4)]
+        ranges, both = np.where(hot_v, context, v) >> self.shift, hot_u & hot_v
+        for prefix, at in (("x", np.flatnonzero(~both)), ("y", np.flatnonzero(both))):
+            self._look(prefix, ranges[at], context[at], of, at)
+        seen = np.flatnonzero(of[0])  # no trigram of another context is there
+        ranges[both] = key[both] >> self.shift
+        self._look("t", ranges[seen], key[seen], [n], seen)
+        left = sum(k[seen] * d for k, d in zip(of[1:], m.of_triples, strict=True))
+        p[i[seen]] = (np.maximum(n[seen] - _less(n[seen].astype(np.int64), m.of_triples), 0) + left * low[seen]) / of[0][seen]
         return p
 
     def score(self, block: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each document of a block of token hashes; a document's tokens start at starts."""
         m = self.model
-        words, back = np.unique(block, return_inverse=True)
+        words, back = _distinct(block)
         count = self._find("u", _U, words >> self.shift, words, 0.0)
         before = self._find("c", _C, words >> self.shift, words if m.order == 2 else words & UPPER, 1.0)
         before[count == 0] = 0
@@ -717,7 +903,7 @@ class Scorer:
         total = lambda x: np.add.reduceat(x, starts)
         known, based = total((count > 0)[back].astype(np.int64)), total(base[back])
         if m.order == 3:
-            return known, based, total(np.log10(self._of_three(block, starts, low[back])))
+            return known, based, total(np.log10(self._of_three(words, back, starts, low[back])))
         h = np.concatenate([[BEGIN], block[:-1]])
         h[starts] = BEGIN
         contexts, back_h = np.unique(h, return_inverse=True)
@@ -743,22 +929,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
 
-        def done(ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(h) for h in held])
-            known, base, p = scorer.score(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (sizes.astype(np.int64), known, base, p, 10 ** np.minimum(-p / sizes, 300)))], names)
+        def done(ids: list[pa.Array], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            block, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            known, base, p = scorer.score(block, np.cumsum(sizes) - sizes)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *map(pa.array, (sizes.astype(np.int64), known, base, p, 10 ** np.minimum(-p / sizes, 300)))], names)
 
+        ids, held, size = [], [], 0
         for batch in batches:
-            ids, held, size = [], [], 0
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(doc_id)
-                held.append(hashes(t.as_py()))
-                size += len(held[-1])
+            at = 0
+            for h, sizes in hashes(batch.column("text")):
+                ids.append(batch.column("doc_id").slice(at, len(sizes)))
+                held.append((h, sizes))
+                at, size = at + len(sizes), size + len(h)
                 if size >= BLOCK:
                     yield done(ids, held)
                     ids, held, size = [], [], 0
-            if ids:
-                yield done(ids, held)
+        if held:
+            yield done(ids, held)
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
